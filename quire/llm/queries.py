@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, sharding, simhash, token_counts
+from quire.llm import decontaminate, language_id, sharding, simhash, token_counts, toxicity
 from quire.llm.common import work_path
 
 
@@ -23,6 +23,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fitted = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    found = toxicity.score(docs, fitted)
+    return found.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity.flagged").alias("flagged_by_language"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +54,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, docs.where(~language_id.held_out()))
+    return found.select(
+        "doc_id",
+        language_id.held_out().alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,8 +79,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
 }
 
