@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language_id, sharding, simhash, token_counts, toxicity
+from quire.llm import decontaminate, embedding_dedup, language_id, license_scan, packing, sharding, simhash, suffix_dedup, token_counts, toxicity
 from quire.llm.common import work_path
 
 
@@ -14,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("license.sentences", ",").alias("sentences"),
+        F.array_join("license.rules", ",").alias("rules"),
+        F.array_join("license.licenses", ",").alias("licenses"),
+        "license.restricted",
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         _table(spark, sf_dir, "documents"),
@@ -23,6 +34,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fitted = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -36,6 +52,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,14 +97,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql()}
