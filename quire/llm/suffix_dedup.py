@@ -128,9 +128,10 @@ def multikey_quicksort(words: np.ndarray, small: int = 4096) -> np.ndarray:
 
 def _sorted_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of one bucket: suffixes equal to a neighbour, and its first and last one (``edge``) for the buckets beside it."""
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if not len(pdf):
+    held = [b for b in batches if len(b)]
+    if not held:
         return
+    pdf = pd.concat(held, ignore_index=True)
     words = pdf[["w0", "w1", "w2", "w3"]].to_numpy(np.int64)
     order = multikey_quicksort(words)
     w = words[order]
