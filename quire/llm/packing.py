@@ -66,7 +66,7 @@ def pack(
 ) -> DataFrame:
     """Sequences of at most ``capacity`` words: a row per piece with its sequence, place, start and size.
 
-    A document of more than ``capacity`` words is cut into pieces of that size
+    Words end at ASCII white space. A document of more than ``capacity`` words is cut into pieces of that size
     and a rest; the pieces of one document never share a sequence, nor do two
     documents of one duplicate cluster (``cluster``; else texts that are equal
     but for case and white space). At most ``per_source`` pieces of one source

@@ -1,0 +1,435 @@
+"""Each operator against a plain brute-force version on small, awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quire.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    packing,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
+from quire.llm.common import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, found string"
+
+
+def frame(spark, rows):
+    """Documents with columns whose names the operators use themselves."""
+    full = [(i, t, lang, s, len(t) if t is not None else None, 1, "x", "y") for i, t, lang, s in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+def sentence(r, n, words="ab cde fghi jk lmn opq rst uvw xyz die und le".split()):
+    return " ".join(r.choice(words) + r.choice("aeiou") * r.randrange(3) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(5)
+    base = [sentence(r, r.randrange(1, 300)) for _ in range(25)]
+    out = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(base)]
+    out += [(100 + i, base[3], "en", "s0") for i in range(6)]  # copies
+    for i in range(6):  # near copies: one word changed
+        w = base[5].split()
+        w[len(w) // 2] = f"new{i}"
+        out.append((200 + i, " ".join(w), "fr", None))
+    passage = sentence(r, 130)
+    out += [(300 + i, f"{sentence(r, 20)} {passage} {sentence(r, 30)}", "de", "s1") for i in range(4)]
+    out += [(400, None, None, None), (401, "", "en", "s1"), (402, " \n\t ", "en", "s1"), (403, "é" * 500, "fr", "s2")]
+    out += [(404, "a" * 1500, "en", "s2"), (405, "ab" * 700, "en", "s2"), (None, "no id here", "en", "s2"), (7, base[7], "en", "s1")]
+    out += [(500, sentence(r, 6000), "en", "s0"), (501, "Hé! <|endoftext|> O'Neil x", "en", "s0")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).repartition(3).cache()
+
+
+def key(x):
+    return tuple((v is not None, v) for v in x)
+
+
+def same(found, wanted):
+    assert sorted(map(tuple, found), key=key) == sorted(wanted, key=key)
+
+
+def test_license_sequences(spark):
+    texts = [
+        "Hello. Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.",
+        "ALL RIGHTS RESERVED!\nSome words.\nNo part of this work may be reproduced without permission",
+        "No part of this work may be reproduced without permission. All rights reserved.",
+        "Released under the MIT License. Released under the MIT License.",
+        "unreleased under the MIT License", None, "", "...", "Licensed under CC BY-NC 4.0." * 1,
+    ]
+    found = license_scan.scan(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).orderBy("doc_id")
+    got = [(r.license.rules, r.license.licenses, r.license.restricted) for r in found.collect()]
+    assert got[0] == (["apache2-header", "apache2-line"], ["Apache-2.0"], False)
+    assert got[1] == (["reserved", "reserved-strict"], ["Proprietary"], True)
+    assert got[2] == (["reserved"], ["Proprietary"], True)
+    assert got[3] == (["mit-line"], ["MIT"], False)
+    assert got[4:8] == [([], [], False)] * 4
+    assert got[8] == (["ccbync-line"], ["CC-BY-NC-4.0"], True)
+    assert found.where("doc_id = 3").first().license.sentences == ["mit-short", "mit-short"]
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert license_scan.scan(frame(spark, [])).count() == 0
+    assert license_scan.scan(frame(spark, [(1, "All rights reserved.", None, None)]), rules=[], sentences={}).first().license.rules == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"])
+def test_token_counts(spark, docs, rows, tmp_path, name):
+    path = public_tokenizers.path(name)
+    count = token_counts.counter(path)
+    wanted = []
+    for i, t, _, _ in rows:
+        n = count([t or ""])[0]
+        wanted.append((i, len((t or "").encode()), n, n > 512))
+    for _ in range(2):  # the second run only reads the cache
+        same(token_counts.token_counts(docs, path, str(tmp_path)).collect(), wanted)
+    cached = spark.read.parquet(str(tmp_path))
+    assert cached.count() == len({t or "" for _, t, _, _ in rows})
+    assert token_counts.token_counts(frame(spark, []), path, str(tmp_path / "new")).count() == 0
+
+
+def repeats_of(texts, length):
+    seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    for t in texts:
+        hit = np.zeros(len(t) + 1, bool)
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] > 1:
+                hit[p : p + length] = True
+        kept = bytes(b for b, h in zip(t, hit) if not h)
+        spans = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
+        yield len(t), int(hit.sum()), spans, hashlib.sha256(kept).hexdigest()
+
+
+def test_suffix_dedup(spark, docs, rows):
+    found = suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    wanted = repeats_of([(t or "").encode() for _, t, _, _ in rows], 400)
+    same(found.collect(), [(r[0], *w) for r, w in zip(rows, wanted)])
+    assert suffix_dedup.dedup(frame(spark, [])).count() == 0
+
+
+def test_suffix_dedup_of_short_strings_over_many_texts(spark):
+    r = random.Random(1)
+    words = ["ab", "cd", "ef", "longer"]
+    rows = [(i, sentence(r, 60, words), None, None) for i in range(120)]
+    found = suffix_dedup.dedup(frame(spark, rows).repartition(5), length=60, gram=20)
+    wanted = repeats_of([t.encode() for _, t, _, _ in rows], 60)
+    same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), [(x[0], *w) for x, w in zip(rows, wanted)])
+
+
+def test_anchors_do_not_depend_on_steps(monkeypatch):
+    r = random.Random(2)
+    data = sentence(r, 3000).encode() + b"z" * 3000
+    whole = suffix_dedup.anchors(data)
+    monkeypatch.setattr(suffix_dedup, "STEP", 1000)
+    assert (suffix_dedup.anchors(data) == whole).all()
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(0)
+    words = r.integers(-3, 3, (5000, 4))
+    order = suffix_dedup.multikey_quicksort(words, small=8)
+    assert (words[order] == words[np.lexsort(words.T[::-1])]).all()
+
+
+def test_cut_keeps_rows_and_columns(spark, docs, rows):
+    found = suffix_dedup.cut(docs)
+    assert found.columns == docs.columns and found.count() == len(rows)
+    left = {r.doc_id: r.text for r in found.collect()}
+    assert left[100] == "" or len(rows[3][1]) < 400
+    assert left[400] is None and left[500] == next(t for i, t, _, _ in rows if i == 500)
+
+
+def test_toxicity_finds_held_out_words(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        words = sentence(r, r.randrange(5, 60)).split()
+        if i % 4 == 0:
+            words.insert(r.randrange(len(words)), r.choice(["vileword", "nastyword"]))
+        rows.append((i, " ".join(words), r.choice(["en", "fr"]), "s"))
+        labels.append((i, 0, int(i % 4 == 0)))
+    rows += [(900, None, None, None), (901, "", "en", None), (None, "x", "en", None)]
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame(labels + [(1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    fitted = toxicity.fit(docs, marks.where(~toxicity.held_out()))
+    found = toxicity.score(docs, fitted)
+    assert set(found.columns) == {*docs.columns, "toxicity"}
+    got = {x.doc_id: x.toxicity.score for x in found.collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+    assert 0 <= got[900] == got[901] <= 1
+    whole, parts = fitted[0], toxicity.hashed_words("ab cd vileword " * 9, fitted[0].buckets)
+    one = whole.score(parts)
+    old, toxicity.PIECE = toxicity.PIECE, 4
+    assert whole.score(parts) == pytest.approx(one, abs=1e-6)
+    toxicity.PIECE = old
+    empty = toxicity.fit(docs, marks.limit(0))
+    assert toxicity.score(docs, empty).count() == len(rows)
+
+
+def plain_best_fit(pieces, capacity, per_source):
+    bins, chosen = [], []
+    for size, source, cluster in pieces:
+        fits = [
+            (capacity - sum(p[0] for p in b), i)
+            for i, b in enumerate(bins)
+            if sum(p[0] for p in b) + size <= capacity
+            and all(p[2] != cluster or cluster < 0 for p in b)
+            and (source < 0 or sum(p[1] == source for p in b) < per_source)
+        ]
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([])
+        bins[i].append((size, source, cluster))
+        chosen.append(i)
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_against_a_scan(seed):
+    r = random.Random(seed)
+    pieces = [(r.randrange(1, 60), r.randrange(-1, 4), r.randrange(-1, 30)) for _ in range(200)]
+    assert packing.best_fit(pieces, 60, 2) == plain_best_fit(pieces, 60, 2)
+
+
+def test_packing(spark, docs, rows):
+    found = packing.pack(docs, capacity=256, per_source=2, units_per_shard=3000).collect()
+    units = Counter()
+    for p in found:
+        units[p.doc_id] += p.n_units
+    wanted = Counter()
+    for i, t, _, _ in rows:
+        wanted[i] += len((t or "").encode().split())  # words end at ASCII white space
+    assert units == +wanted
+    texts = {i: b" ".join((t or "").lower().encode().split()) for i, t, _, _ in rows}
+    bins = defaultdict(list)
+    for p in found:
+        bins[p.seq_shard, p.seq].append(p)
+    for b in bins.values():
+        assert sum(p.n_units for p in b) == 256 - b[0].residual <= 256
+        assert sorted(p.slot for p in b) == list(range(len(b)))
+        assert len({texts[p.doc_id] for p in b}) == len(b)
+        assert all(n <= 2 for s, n in Counter(p.source for p in b).items() if s is not None)
+    assert len({p.seq_shard for p in found}) > 1
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups_of(n, linked):
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(n)]
+
+
+def test_simhash(spark, docs, rows):
+    prints = [plain_fingerprint(t) for _, t, _, _ in rows]
+    tops = groups_of(len(rows), lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 3)
+    least = defaultdict(list)
+    for r, top in zip(rows, tops):
+        least[top].append(r[0])
+    wanted = [(r[0], p - (1 << 64) if p >> 63 else p, min((x for x in least[t] if x is not None), default=None)) for r, p, t in zip(rows, prints, tops)]
+    same(simhash.near_duplicates(docs).select("doc_id", "fp", "component_id").collect(), wanted)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len(set(tops))
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_simhash_links_are_all_found(spark):
+    r = random.Random(9)
+    prints = set()
+    for _ in range(60):
+        x = r.getrandbits(64)
+        prints.add(x)
+        for _ in range(4):
+            y = x
+            for b in r.sample(range(64), r.randrange(1, 5)):
+                y ^= 1 << b
+            prints.add(y)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    pairs = {frozenset(x) for x in found.collect()}
+    m = (1 << 64) - 1
+    wanted = {frozenset((a, b)) for a in signed for b in signed if a < b and bin((a ^ b) & m).count("1") <= 3}
+    assert pairs == wanted
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)] + [(9, 9)]
+    linked = {frozenset(e) for e in edges}
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    tops = groups_of(len(nodes), lambda i, j: frozenset((nodes[i], nodes[j])) in linked)
+    found = components(spark.createDataFrame(edges, "src long, dst long"))
+    same(found.collect(), [(n, nodes[t]) for n, t in zip(nodes, tops)])
+
+
+def test_sharding(spark, docs, rows):
+    found = pd.DataFrame([x.asDict() for x in sharding.shard(docs, 5).collect()])
+    assert len(found) == len(rows)
+    sizes = [len((t or "").encode()) + 16 for _, t, _, _ in rows]
+    assert found["size"].sum() == sum(sizes)
+    assert sorted(found.text_crc32) == sorted(zlib.crc32((t or "").encode()) for _, t, _, _ in rows)
+    for _, part in found.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert found.groupby("shard")["size"].sum().sub(sum(sizes) / 5).abs().max() <= max(sizes)
+    assert sharding.shard(frame(spark, [])).count() == 0
+
+
+def test_a_hot_text_is_spread_over_shards(spark):
+    rows = [(i, "same text " * 20 if i % 3 else f"text {i}" * 25, None, None) for i in range(3000)]
+    found = sharding.shard(frame(spark, rows), 10, sample=300).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()
+    assert len(found) == 10 and found.n.max() - found.n.min() <= 500
+
+
+def test_language_id(spark):
+    r = random.Random(6)
+    vocab = {"en": "the and of with thing", "fr": "le que été mais où", "de": "der und nicht über groß"}
+    rows = [(i, sentence(r, r.randrange(3, 80), vocab[lang].split()), lang, "s") for i in range(300) for lang in [r.choice(list(vocab))]]
+    rows += [(900, None, "en", None), (901, "123 !", "en", None), (902, "", None, None), (None, "le que", None, None)]
+    docs = frame(spark, rows)
+    found = language_id.identify(docs, docs.where(~language_id.held_out()))
+    got = {x.doc_id: (x.language.lang, x.language.score) for x in found.collect()}
+    held = [x for x in rows if x[0] is not None and x[0] < 900 and zlib.crc32(str(x[0]).encode()) % 4 == 2]
+    assert np.mean([got[i][0] == lang for i, _, lang, _ in held]) > 0.97
+    assert [got[i] for i in (900, 901, 902)] == [("und", 0.0)] * 3 and got[None][0] == "fr"
+    assert all(0 <= s <= 1 for _, s in got.values())
+    assert language_id.known(docs).count() == 301 and language_id.known(docs).columns == docs.columns
+    unlearned = language_id.identify(docs, docs.limit(0)).select("language.lang").distinct().collect()
+    assert [x.lang for x in unlearned] == ["und"]
+
+
+def test_phrases_against_a_search_in_the_labelled_text():
+    r = random.Random(8)
+    labelled = {"a": sentence(r, 200), "b": sentence(r, 150, ["xy", "yz", "zx"])}
+    model = language_id.build(labelled)
+    lines = {n: "".join(map(chr, language_id.symbols_of(t, model.symbols)[0])) for n, t in labelled.items()}
+    texts = [sentence(r, 90), "xyz yzx " * 30, "q", "ab cdx", "ÀÉ " * 4]
+    found, _ = language_id.phrases(texts, model)
+    for i, t in enumerate(texts):
+        line = "".join(map(chr, language_id.symbols_of(t, model.symbols)[0]))
+        for k, n in enumerate(model.names):
+            count = 0
+            for at in range(0, len(line), language_id.BLOCK):
+                block, here = line[at : at + language_id.BLOCK], ""
+                count += 1
+                for c in block:
+                    if here + c in lines[n]:
+                        here += c
+                    else:
+                        count += 1
+                        here = c if c in lines[n] else ""
+            assert found[i, k] == count
+
+
+def plain_hits(text, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, met = cut(text), set(), set()
+    for name, t in items:
+        item = cut(t)
+        for i in range(max(1, len(item) - 12)) if item else ():
+            w = item[i : i + 13]
+            for at in range(len(words) - len(w) + 1):
+                if words[at : at + len(w)] == w:
+                    hit |= set(range(at, at + len(w)))
+                    met.add(str(name))
+    return len(words), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
+
+
+def test_decontamination(spark):
+    r = random.Random(7)
+    items = [(i, sentence(r, r.choice([3, 8, 13, 20, 40]))) for i in range(30)] + [(50, None), (51, "?!"), (52, "Été O'Neil"), (2, "second two")]
+    rows = []
+    for i in range(60):
+        t = sentence(r, 60)
+        if i % 3 == 0:
+            item = r.choice(items[:30])[1].split()
+            a = r.randrange(max(1, len(item) - 13))
+            t += " -- " + " ".join(item[a : a + 15]).upper() + ", " + sentence(r, r.choice([0, 400]))
+        rows.append((i, t, None, None))
+    rows += [(900, None, None, None), (901, "", None, None), (902, "x été O'NEIL!", None, None), (902, "a été o’neil", None, None)]
+    docs = frame(spark, rows)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = [(i, *plain_hits(t, items)) for i, t, _, _ in rows]
+    for block in (64 << 20, 500):  # in one automaton, or in several one after another
+        found = decontaminate.scan(docs, table, out="f", block_bytes=block)
+        same(found.select("doc_id", "f.n_words", "f.n_hit", "f.n_items", "f.items_sha256").collect(), wanted)
+    for x in found.where("f.n_hit > 0").collect():
+        parts = [x.text.encode()[s.start : s.end].decode() for s in x.f.spans]
+        assert sum(len(decontaminate.words(p)) for p in parts) == x.f.n_hit
+    kept = decontaminate.clean(docs, table)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(not (n and 20 * n >= w) for _, w, n, _, _ in wanted)
+    assert decontaminate.clean(docs, table.limit(0)).count() == len(rows)
+
+
+def test_embedding_dedup(spark):
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(12, 16))
+    x = [c + r.normal(size=16) * r.choice([0.05, 0.3]) for c in centres for _ in range(25)]
+    rows = [(i, [float(np.float32(v)) for v in y], int(i % 3)) for i, y in enumerate(x)]
+    rows += [(1000 + i, rows[0][1], 0) for i in range(5)] + [(1010, [2 * v for v in rows[0][1]], 0)]
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [None] * 16, [1.0, 2.0]]
+    rows += [(2000 + i, v, 0) for i, v in enumerate(odd)] + [(3000, rows[0][1], None), (3001, rows[0][1], None)]
+    good = lambda v: v and all(c is not None and np.isfinite(c) for c in v) and any(v)
+
+    def cos(i, j):
+        a, b = rows[i], rows[j]
+        if a[2] != b[2] or a[2] is None or not good(a[1]) or not good(b[1]) or len(a[1]) != len(b[1]):
+            return 0
+        p, q = np.array(a[1]), np.array(b[1])
+        return p @ q / np.sqrt(p @ p) / np.sqrt(q @ q)
+
+    n = len(rows)
+    linked = [[i != j and cos(i, j) >= 0.93 for j in range(n)] for i in range(n)]
+    tops = groups_of(n, lambda i, j: linked[i][j])
+    wanted = [(rows[i][0], sum(linked[i]), rows[tops[i]][0], tops[i] == i) for i in range(n)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for options in ({}, {"cell_rows": 20, "block_rows": 8, "sample_rows": 150}):
+        same(embedding_dedup.near_duplicates(table, **options).collect(), wanted)
+    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+    assert embedding_dedup.near_duplicates(table.where("label is null")).count() == 2
+
+
+def test_queries_have_the_agreed_columns(spark):
+    from quire.llm.queries import ORACLE_SQL, QUERIES
+
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)
