@@ -1,4 +1,8 @@
-"""The flows from books to scenes and from scenes to an index."""
+"""The flows from books to scenes and from scenes to an index.
+
+``store(rows, name)`` keeps a table and gives it back (``sources.tables.stored``):
+what a model has answered is written once and only read afterwards.
+"""
 
 from __future__ import annotations
 
@@ -29,26 +33,30 @@ def label(chunks: DataFrame, labeller: Callable, check: Callable | None = None)
     return cut.select("book_id", F.struct("chunk_index", "place").alias("ord"), "s.*")
 
 
-def to_scenes(numbered: DataFrame, metadata: DataFrame, rights: DataFrame, labeller: Callable) -> tuple[DataFrame, DataFrame]:
+def to_scenes(
+    numbered: DataFrame, metadata: DataFrame, rights: DataFrame, labeller: Callable, store: Callable
+) -> tuple[DataFrame, DataFrame]:
     """(scene records, excluded books with a reason): books are gated before any chunk goes to the labeller."""
     books = metadata.join(rights.withColumnRenamed("book_id", "ID"), "ID", "left")
     gated = books.select(F.col("ID").alias("book_id"), gates.book_gate(F.col("rights"), F.col("Subjects")).alias("reason"))
     passed = gated.where("reason is null").select("book_id")
     kept = numbered.join(passed, "book_id", "left_semi")
-    labels = label(paragraphs.chunks(kept), labeller)
+    labels = store(label(paragraphs.chunks(kept), labeller), "labels")
     shares = gates.share_of_other(labels)
     labels = labels.join(shares.where("passes").select("book_id"), "book_id", "left_semi")
     titled = kept.withColumn("chapter_title", F.col("heading"))
     excluded = gated.where("reason is not null").unionByName(
         shares.where("not passes").select("book_id", F.lit("other").alias("reason"))
     )
-    return scenes.records(labels, titled, metadata), excluded
+    return store(scenes.records(labels, titled, metadata), "scenes"), store(excluded, "excluded")
 
 
-def to_index(records: DataFrame, enricher: Callable, embed: Callable, model: str) -> tuple[DataFrame, DataFrame]:
+def to_index(
+    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Callable
+) -> tuple[DataFrame, DataFrame]:
     """(relational mirror of all scenes, indexed scenes): facets are asked for where they are missing."""
     positioned = relational.mirror(records).select("scene_id", "pos")
     open_scenes = enrich.todo(records).join(positioned, "scene_id")
-    facets = enrich.ask(enrich.batched(open_scenes), enricher)
-    full = enrich.applied(records, facets, model)
-    return relational.mirror(full), enrich.indexed(full, embed)
+    facets = store(enrich.ask(store(enrich.batched(open_scenes), "batches"), enricher), "facets")
+    full = store(enrich.applied(records, facets, model), "enriched")
+    return relational.mirror(full), store(enrich.indexed(full, embed), "index")

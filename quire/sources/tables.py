@@ -28,6 +28,16 @@ def read_through(inputs: DataFrame, path: str, schema: str, key: str, make: Call
     return spark.read.schema(schema).parquet(path).join(inputs.select(key).distinct(), key, "left_semi")
 
 
+def stored(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a DataFrame as the named table of a folder and gives it back as read from there."""
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    return put
+
+
 def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
     """Records of JSON files with ``_file``; what cannot be parsed comes as null fields and its text in ``corrupt``."""
     full = f"{schema}, {corrupt} string"
