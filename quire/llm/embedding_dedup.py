@@ -181,6 +181,8 @@ def near_duplicates(
                 c = sent.value.get(kind)
                 x, n = _unit(pdf["v"].iloc[at])
                 angles = np.zeros((len(x), 1)) if c is None else np.arccos(np.clip((x / n[:, None]) @ c.T, -1, 1))
+                # cells without members have no radius, and nobody visits them
+                radius = np.array([own[k][0] + reach if k in own else -1.0 for k in range(angles.shape[1])])
                 for r, i in enumerate(at.tolist()):
                     node, home = int(pdf["node"].iloc[i]), int(pdf["home"].iloc[i])
                     blocks = -(-own[home][1] // block_rows)
@@ -188,9 +190,8 @@ def near_duplicates(
                     out += [(i, home, min(b, o), max(b, o), 0 if b <= o else 1, b == o) for o in range(blocks)]
                     # as a member, it waits for visitors in its block; as a visitor it sees all blocks of later cells
                     out.append((i, home, -1, b, 1, False))
-                    for cell in range(home + 1, angles.shape[1]):
-                        if cell in own and angles[r, cell] <= own[cell][0] + reach:
-                            out += [(i, cell, -1, o, 0, False) for o in range(-(-own[cell][1] // block_rows))]
+                    for cell in np.flatnonzero(angles[r, home + 1 :] <= radius[home + 1 :]) + home + 1:
+                        out += [(i, cell, -1, o, 0, False) for o in range(-(-own[cell][1] // block_rows))]
             picked = pdf.iloc[[o[0] for o in out]].reset_index(drop=True)
             for name, k in (("cell", 1), ("low", 2), ("high", 3), ("side", 4), ("same", 5)):
                 picked[name] = [o[k] for o in out]

@@ -114,5 +114,40 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql()}
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_OP9 = f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) as p from i where len(w) > 0)),
+lens as (select distinct n from win),
+grams as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') as s
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, lens where len(w) >= n)),
+hits as (select doc_id, p, n, item_id from grams join win using (n, s)),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by 1),
+its as (select doc_id, count(distinct item_id) as n_items,
+  string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from hits group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)"""
+_OP10 = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+least_ as (select x, min(y) as m from reach group by 1), n as (select x, count(*) as n from links group by 1)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id,
+  vec_id <= coalesce(m, vec_id) as kept
+from embeddings left join least_ l on l.x = vec_id left join n on n.x = vec_id"""
+
+#: DuckDB SQL for the queries that SQL can express. It has no XXH64, tokenizers, trained models or bin packing.
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op9_decontamination": _OP9,
+    "op10_embedding_dedup": _OP10,
+}
