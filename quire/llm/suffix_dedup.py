@@ -19,7 +19,7 @@ STEP = 1 << 19  # window starts that are looked at together
 CELL = 16
 LOW = (1 << 21) - 1
 BASE = 0x9E3779B97F4A7C15
-RUN = "core long, full long, uid binary, run long"
+RUN = "core long, full long, uid binary, runs array<long>"
 SUFFIX = "w0 long, w1 long, w2 long, w3 long, uid binary, pos long"
 
 
@@ -147,12 +147,21 @@ def _sorted_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _refined(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Runs whose full string occurs twice (repeated as they are), and one run of each full string that shares a core with another."""
-    kinds = rows.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "run")).alias("one"))
+    one = F.struct("uid", F.get("runs", F.lit(0)).alias("run"))
+    kinds = rows.groupBy("core", "full").agg(F.sum(F.size("runs")).alias("n"), F.min(one).alias("one"))
     kinds = save(kinds, f"{name}-kinds")
     solved = rows.join(kinds.where("n > 1").select("core", "full"), ["core", "full"], "left_semi")
     mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
     left = kinds.join(mixed, "core", "left_semi").select("one.uid", "one.run")
-    return solved.select("uid", "run"), left
+    return solved.select("uid", F.explode("runs").alias("run")), left
+
+
+def _grouped(found: Iterator[tuple[int, int, int]], uid: bytes) -> list[tuple]:
+    """A row per kind of run of a text, with all runs of that kind: periodic text has very many of one kind."""
+    by: dict[tuple[int, int], list[int]] = {}
+    for core, full, run in found:
+        by.setdefault((core, full), []).append(run)
+    return [(core, full, uid, runs) for (core, full), runs in by.items()]
 
 
 def _per_text(texts: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
@@ -221,26 +230,20 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     twice = long.select("text").mapInPandas(hashes, "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     twice = save(twice.where("n > 1").select("core"), "anchors")
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                parts = []
-                for uid, text in zip(pdf["uid"].iloc[at : at + 256], pdf["text"].iloc[at : at + 256]):
-                    data = _bytes(text)
-                    a = anchors(data, length, gram)
-                    full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
-                    packed = _pack(a[:, 0], a[:, 1], a[:, 2])
-                    parts.append(pd.DataFrame({"core": a[:, 3], "full": np.array(full, np.int64), "uid": [uid] * len(a), "run": packed}))
-                yield pd.concat(parts)
-
-    candidates = save(long.mapInPandas(runs, RUN).join(twice, "core", "left_semi"), "runs")
+    def runs(r) -> list[tuple]:
+        data = _bytes(r.text)
+        a = anchors(data, length, gram)
+        full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
+        return _grouped(zip(a[:, 3].tolist(), full, _pack(a[:, 0], a[:, 1], a[:, 2]).tolist()), r.uid)
+
+    candidates = save(long.mapInPandas(_over_texts(runs, RUN, ["core", "full", "uid", "runs"]), RUN).join(twice, "core", "left_semi"), "runs")
     solved, left = _refined(candidates, "runs")
 
     def split(r) -> list[tuple]:
         data = _bytes(r.text)
-        return [(core, full, r.uid, run) for x in r.runs for core, full, run in cells(data, int(x), length)]
+        return _grouped((c for x in r.runs for c in cells(data, int(x), length)), r.uid)
 
-    small = _per_text(long, left).mapInPandas(_over_texts(split, RUN, ["core", "full", "uid", "run"]), RUN)
+    small = _per_text(long, left).mapInPandas(_over_texts(split, RUN, ["core", "full", "uid", "runs"]), RUN)
     small = save(small, "cells")
     solved_cells, left = _refined(small, "cells")
     left = save(left, "open-cells")
