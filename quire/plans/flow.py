@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.hooks import answered
-from quire.operators import enrich, gates, paragraphs, relational, scenes
+from quire.operators import enrich, gates, paragraphs, relational, scenes, upsert
 from quire.sources import archive
 
 LABELS = (
@@ -60,3 +60,17 @@ def to_index(
     facets = store(enrich.ask(store(enrich.batched(open_scenes), "batches"), enricher), "facets")
     full = store(enrich.applied(records, facets, model), "enriched")
     return relational.mirror(full), store(enrich.indexed(full, embed), "index")
+
+
+def refreshed(mirror: DataFrame, index: DataFrame | None, records: DataFrame, embed: Callable) -> tuple[DataFrame, DataFrame]:
+    """The mirror and the index with ``records`` in place of their rows of the same ids.
+
+    All records go to the mirror, those with a summary to the index. An index
+    that has other vector columns than the new rows is left out and built anew.
+    """
+    rows = upsert.replaced(mirror, relational.mirror(records), ["scene_id"])
+    fresh = enrich.indexed(records, embed)
+    kinds = lambda df: {c for c, kind in df.dtypes if kind == "array<float>"}
+    if index is None or kinds(index) != kinds(fresh):
+        return rows, fresh
+    return rows, upsert.merged(index, fresh, ["scene_id"], ["scene_id"])

@@ -149,6 +149,10 @@ def test_the_whole_flow(spark, tmp_path):
     assert paragraphs.chunks(numbered.where("book_id = '11'")).count() == 2
     mirror, index = flow.to_index(records, enricher, embed, "stub", store)
     assert mirror.where("enriched = 1").count() == index.count() == len(got)
+    again = spark.read.parquet(f"{tmp_path}/enriched").limit(1)
+    for old, n in ((index, len(got)), (index.withColumnRenamed("summary_vec", "other"), 1), (None, 1)):
+        rows, fresh = flow.refreshed(mirror, old, again, embed)
+        assert rows.count() == len(got) and fresh.count() == n
 
 
 def test_stream_upserts(spark, tmp_path):
