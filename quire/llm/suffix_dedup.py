@@ -17,6 +17,7 @@ LENGTH = 400  # bytes of a repeated string
 GRAM = 100  # bytes of an anchor
 STEP = 1 << 19  # window starts that are looked at together
 CELL = 16
+FLUSH = 50_000  # rows that a task holds before it passes them on
 LOW = (1 << 21) - 1
 BASE = 0x9E3779B97F4A7C15
 RUN = "core long, full long, uid binary, runs array<long>"
@@ -47,13 +48,15 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def anchor_blocks(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Rows ``first, last, anchor, hash``: runs of window starts whose window has its least gram hash at one place.
 
     Windows of equal bytes have their anchor at an equal offset, wherever they
-    stand, so they can only be found among runs whose anchors have equal hashes.
+    stand, so they can only be found among runs whose anchors have equal
+    hashes. A very long text comes in blocks; a run between two is not cut.
     """
-    whole, span, rows = np.frombuffer(data, np.uint8), length - gram + 1, []
+    whole, span = np.frombuffer(data, np.uint8), length - gram + 1
+    held = np.empty((0, 4), np.int64)
     for at in range(0, len(data) - length + 1, STEP):
         h = _grams(whole[at : at + STEP + length - 1], gram)
         x = (h & ~np.uint64(LOW)) | np.arange(len(h), dtype=np.uint64)
@@ -65,14 +68,19 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         last = np.concatenate([first[1:] - 1, [n - 1]])
         p = place[first]
-        rows.append(np.stack([first + at, last + at, p + at, h[p].view(np.int64)], axis=1))
-    if not rows:
-        return np.empty((0, 4), np.int64)
-    out = np.concatenate(rows)
-    joins = np.flatnonzero((out[1:, 2] == out[:-1, 2]) & (out[1:, 0] == out[:-1, 1] + 1))  # runs that a step has cut
-    for j in joins[::-1]:
-        out[j, 1] = out[j + 1, 1]
-    return np.delete(out, joins + 1, axis=0)
+        block = np.stack([first + at, last + at, p + at, h[p].view(np.int64)], axis=1)
+        if len(held) and held[-1, 2] == block[0, 2]:
+            block[0, 0] = held[-1, 0]
+            held = held[:-1]
+        if len(held):
+            yield held
+        held = block
+    if len(held):
+        yield held
+
+
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    return np.concatenate([np.empty((0, 4), np.int64), *anchor_blocks(data, length, gram)])
 
 
 def _number(data: bytes) -> int:
@@ -174,10 +182,11 @@ def _over_texts(emit: Callable, schema: str, columns: list[str]):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                out += emit(r)
-                if len(out) > 100_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
+                for row in emit(r):
+                    out.append(row)
+                    if len(out) >= FLUSH:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
             yield pd.DataFrame(out, columns=columns)
 
     return run
@@ -224,32 +233,41 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [anchors(_bytes(t), length, gram)[:, 3] for t in pdf["text"]]
-            yield pd.DataFrame({"core": np.concatenate([np.empty(0, np.int64), *found])})
+            found, n = [], 0
+            for t in pdf["text"]:
+                for block in anchor_blocks(_bytes(t), length, gram):
+                    found.append(block[:, 3])
+                    n += len(block)
+                    if n > FLUSH:
+                        yield pd.DataFrame({"core": np.concatenate(found)})
+                        found, n = [], 0
+            if found:
+                yield pd.DataFrame({"core": np.concatenate(found)})
 
     twice = long.select("text").mapInPandas(hashes, "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     twice = save(twice.where("n > 1").select("core"), "anchors")
 
-    def runs(r) -> list[tuple]:
+    def runs(r) -> Iterator[tuple]:
         data = _bytes(r.text)
-        a = anchors(data, length, gram)
-        full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
-        return _grouped(zip(a[:, 3].tolist(), full, _pack(a[:, 0], a[:, 1], a[:, 2]).tolist()), r.uid)
+        for a in anchor_blocks(data, length, gram):
+            full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
+            yield from _grouped(zip(a[:, 3].tolist(), full, _pack(a[:, 0], a[:, 1], a[:, 2]).tolist()), r.uid)
 
     candidates = save(long.mapInPandas(_over_texts(runs, RUN, ["core", "full", "uid", "runs"]), RUN).join(twice, "core", "left_semi"), "runs")
     solved, left = _refined(candidates, "runs")
 
-    def split(r) -> list[tuple]:
+    def split(r) -> Iterator[tuple]:
         data = _bytes(r.text)
-        return _grouped((c for x in r.runs for c in cells(data, int(x), length)), r.uid)
+        for at in range(0, len(r.runs), FLUSH):
+            yield from _grouped((c for x in r.runs[at : at + FLUSH] for c in cells(data, int(x), length)), r.uid)
 
     small = _per_text(long, left).mapInPandas(_over_texts(split, RUN, ["core", "full", "uid", "runs"]), RUN)
     small = save(small, "cells")
     solved_cells, left = _refined(small, "cells")
     left = save(left, "open-cells")
 
-    def suffixes(r) -> list[tuple]:
-        data, out = _bytes(r.text), []
+    def suffixes(r) -> Iterator[tuple]:
+        data = _bytes(r.text)
         for x in r.runs:
             first, last, _ = _unpack(int(x))
             for p in range(first, last + 1):
@@ -257,8 +275,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
                 head = int.from_bytes(s[:16].ljust(16, b"\0"), "big")
                 tail = int.from_bytes(hashlib.blake2b(s, digest_size=16).digest(), "big")
                 words = [(n >> shift & (1 << 64) - 1) - (1 << 63) for n in (head, tail) for shift in (64, 0)]
-                out.append((*words, r.uid, p))
-        return out
+                yield (*words, r.uid, p)
 
     columns = ["w0", "w1", "w2", "w3", "uid", "pos"]
     listed = save(_per_text(long, left).mapInPandas(_over_texts(suffixes, SUFFIX, columns), SUFFIX), "suffixes")
@@ -291,14 +308,11 @@ def covered(runs, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal spans of bytes that the windows of ``runs`` cover."""
     if runs is None or not len(runs):
         return []
-    x = np.asarray(runs, np.int64)
+    x = np.sort(np.asarray(runs, np.int64))
     first = x >> 20
-    edges = np.zeros(n + 2, np.int64)
-    np.add.at(edges, first, 1)
-    np.add.at(edges, np.minimum(first + ((x >> 10) & 1023) + length, n), -1)
-    inside = np.concatenate([[0], (np.cumsum(edges[:n]) > 0).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(inside)).tolist()
-    return list(zip(turns[::2], turns[1::2]))
+    end = np.maximum.accumulate(np.minimum(first + ((x >> 10) & 1023) + length, n))
+    new = np.flatnonzero(first[1:] > end[:-1]) + 1
+    return list(zip(first[np.concatenate([[0], new])].tolist(), end[np.concatenate([new - 1, [-1]])].tolist()))
 
 
 def keep(data: bytes, spans: list[tuple[int, int]]) -> bytes:
