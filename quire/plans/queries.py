@@ -357,6 +357,57 @@ def position_of_id(spark, sf_dir):
     return _scenes(spark, sf_dir).select("scene_id", text.position(F.col("scene_id")).alias("pos"))
 
 
+def _records(spark, sf_dir):
+    """Scenes with all record fields that the relational table takes; the facets are null."""
+    rows = _scenes(spark, sf_dir).drop("dominant_tone", "prev_tone", "next_tone")
+    none = ["dominant_tone", "prev_tone", "next_tone", "author", "intensity", "arc", "chapter_title", "summary", "enrich_model"]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in none})
+    return rows.withColumns(
+        {
+            "language": F.lit("en"),
+            "stitch_status": F.lit("complete"),
+            "scene_title": F.concat(F.lit("turn "), F.col("pos").cast("string")),
+            "word_count": text.word_count(F.col("text")).cast("int"),
+            "start_paragraph_index": F.col("pos").cast("int"),
+            "end_paragraph_index": F.col("pos").cast("int"),
+            "descriptors": F.lit(None).cast("array<string>"),
+            "enriched": F.lit(False),
+            "schema_version": F.lit(1),
+        }
+    )
+
+
+@query(f"""with {SCENES} select scene_id, book_id, cast(pos as int) as pos, prev_scene_id, next_scene_id, 'turn ' || pos as scene_title,
+  cast(len(list_filter(string_split(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' '), lambda x: x <> '')) as int) as word_count,
+  '[]' as descriptors, 0 as enriched, '1' as schema_version from scenes""")
+def mirror_rows(spark, sf_dir):
+    columns = ["scene_id", "book_id", "pos", "prev_scene_id", "next_scene_id", "scene_title", "word_count", "descriptors", "enriched", "schema_version"]
+    return relational.mirror(_records(spark, sf_dir)).select(*columns)
+
+
+@query(f"""with {SCENES} select scene_id, book_id, pos, case when pos % 2 = 0 then 2 else 1 end as version from scenes where pos % 2 = 0 or pos % 3 <> 0""")
+def upsert_two_keys(spark, sf_dir):
+    rows = _scenes(spark, sf_dir).select("scene_id", "book_id", "pos")
+    old = rows.where("pos % 3 <> 0").withColumn("version", F.lit(1))
+    return upsert.replaced(old, rows.where("pos % 2 = 0").withColumn("version", F.lit(2)), ["version"])
+
+
+@query(f"""with {SCENES}, f as (select *, case when pos % 2 = 0 then dominant_tone end as tone from scenes)
+select scene_id, tone as dominant_tone, lag(tone) over w as prev_tone, lead(tone) over w as next_tone, pos % 2 = 0 as enriched,
+  case when pos % 2 = 0 then 'stub' end as enrich_model from f window w as (partition by book_id order by pos)""")
+def enrichment_applied(spark, sf_dir):
+    facets = _scenes(spark, sf_dir).where("pos % 2 = 0").select(
+        "scene_id",
+        "dominant_tone",
+        F.lit("low").alias("intensity"),
+        F.lit("steady").alias("arc"),
+        F.array(*[F.lit(x) for x in "abcde"]).alias("descriptors"),
+        F.lit("One.").alias("summary"),
+    )
+    made = enrich.applied(_records(spark, sf_dir), facets, "stub")
+    return made.select("scene_id", "dominant_tone", "prev_tone", "next_tone", "enriched", "enrich_model")
+
+
 # -- vectors: embeddings stand for summaries, reversed ones for descriptors; rows 3, 7, 11 and 20 give the queries
 
 
