@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import components, save
+from quire.llm.common import components, save, text_key
 
 BITS = 64
 SHINGLE = 3
@@ -50,7 +50,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fp", shi
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``src, dst`` of distinct fingerprints (``fp``, no repeats) that differ in ``radius`` bits or fewer.
 
-    Multi-index hashing. The 64 bits fall into ``radius // 2 + 1`` segments, so
+    Multi-index hashing. The 64 bits fall into ``radius // 2 + 1`` segments (two at least), so
     that two linked fingerprints differ by one bit or none in some segment.
     Each fingerprint is stored once per segment, and looks up the ball of
     radius 1 around its own segment value. The ball only clears set bits: of
@@ -59,7 +59,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     43,744 others within three bits, and rows that share a fingerprint have
     been merged before, so links stay in proportion to the fingerprints.
     """
-    parts = radius // 2 + 1
+    parts = max(2, radius // 2 + 1)
     width = -(-BITS // parts)
     mask = (1 << width) - 1
     own = F.array(
@@ -87,7 +87,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, ``fp`` (signed long), ``root`` and ``component_id``.
+    """Per row of ``docs``: ``id_col``, ``text_key``, ``fp`` (signed long), ``root`` and ``component_id``.
 
     ``component_id`` is the smallest ``id_col`` reachable over links of
     ``radius`` bits or fewer, ``root`` a number that the rows of one component
@@ -97,15 +97,17 @@ def near_duplicates(
     whose ids are all null has a null ``component_id``. An empty table gives an
     empty result; further columns are ignored.
     """
-    marked = save(with_fingerprint(docs.select(id_col, text_col), text_col, "fp", shingle).drop(text_col), "simhash")
-    prints = save(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = with_fingerprint(rows, "text", "fp", shingle).select("id", text_key(F.col("text")).alias("text_key"), "fp")
+    marked = save(marked, "simhash")
+    prints = save(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     joined = components(links(prints.select("fp"), radius))
     rooted = prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = save(rooted.select("fp", "root").join(least, "root"), "simhash-groups")
-    return marked.join(named, "fp").select(id_col, "fp", "root", "component_id")
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), "text_key", "fp", "root", "component_id")
 
 
 def keep_one(
@@ -117,10 +119,11 @@ def keep_one(
     that repeats within its component.
     """
     groups = near_duplicates(docs, id_col, text_col, shingle, radius)
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select("fp", id_col, "root").distinct()
-    stay = stay.groupBy("root").agg(F.min("fp").alias("_q_fp"), F.min(id_col).alias("_q_id"))
-    hashed = with_fingerprint(docs, text_col, "_q_own", shingle)
-    found = hashed.join(
-        stay.drop("root"), (F.col("_q_own") == F.col("_q_fp")) & F.col(id_col).eqNullSafe(F.col("_q_id")), "left_semi"
+    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root")
+    stay = stay.agg(F.min(F.struct("text_key", id_col)).alias("one"))
+    stay = save(stay.select(F.col("one.text_key").alias("_q_key"), F.col(f"one.{id_col}").alias("_q_id")), "kept")
+    keyed = docs.withColumn("_q_own", text_key(F.col(text_col)))
+    found = keyed.join(
+        stay, (F.col("_q_own") == F.col("_q_key")) & F.col(id_col).eqNullSafe(F.col("_q_id")), "left_semi"
     )
     return found.dropDuplicates([id_col, "_q_own"]).drop("_q_own").select(*docs.columns)
