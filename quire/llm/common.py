@@ -16,6 +16,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the session's Arrow batches to ``rows``: texts differ in length by orders of magnitude, workers' memory doesn't."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession):
     """Within it Spark removes a query's shuffle files as soon as that query has ended."""

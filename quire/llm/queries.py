@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, embedding_dedup, language_id, license_scan, packing, sharding, simhash, suffix_dedup, token_counts, toxicity
-from quire.llm.common import work_path
+from quire.llm.common import small_batches, work_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
