@@ -80,18 +80,27 @@ def pack(
     columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    folded = F.trim(F.regexp_replace(F.lower(text), r"[\s]+", " "))
-    rows = docs.select(
+    blank = F.translate(F.lower(text), "\t\n\r\f\x0b", " " * 5)
+    folded = F.trim(F.regexp_replace(blank, " {2,}", " "))
+    # folded is a column of its own, so that it is made once a row; the empty ones go after the write for the same reason
+    held = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
-        (cluster if cluster is not None else F.xxhash64(folded)).alias("cluster"),
-        F.when(folded == "", 0)
-        .otherwise(F.length(folded) - F.length(F.translate(folded, " ", "")) + 1)
+        (cluster if cluster is not None else F.lit(None).cast("long")).alias("given"),
+        folded.alias("folded"),
+        F.xxhash64(F.col(id_col), text).alias("h"),
+    )
+    rows = held.select(
+        "doc_id",
+        "source",
+        F.coalesce("given", F.xxhash64("folded")).alias("cluster"),
+        F.when(F.col("folded") == "", 0)
+        .otherwise(F.length("folded") - F.length(F.translate("folded", " ", "")) + 1)
         .cast("long")
         .alias("units"),
-        F.xxhash64(F.col(id_col), text).alias("h"),
-    ).where("units > 0")
-    rows = save(rows, "lengths")
+        "h",
+    )
+    rows = save(rows, "lengths").where("units > 0")
     total = rows.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
     shards = max(1, -(-total // units_per_shard))
 
