@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
 from quire.operators import enrich, gates, paragraphs, relational, scenes, search, upsert
-from quire.sources import archive
+from quire.sources import archive, tables
+from quire.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -332,6 +333,18 @@ def upsert_latest(spark, sf_dir):
     return newest.select("user_id", "event_type", "event_id", "value")
 
 
+@query("select user_id, event_type, arg_max(event_id, struct_pack(ts := ts, e := event_id)) as event_id from events group by 1, 2")
+def stream_upsert(spark, sf_dir):
+    """The same as a file stream: each micro-batch is merged into the table of the one before it."""
+    path = tables.scratch(spark, "stream")
+    schema = _t(spark, sf_dir, "events").schema
+    keys = ["user_id", "event_type"]
+    stream = ingest.start(spark, f"{sf_dir}/event[s].parquet", schema, path, f"{path}/marks", keys, ["ts", "event_id"])
+    stream.awaitTermination()
+    last = max(p["batchId"] for p in stream.recentProgress if p["numInputRows"])
+    return spark.read.schema(schema).parquet(f"{path}/v{last}").select(*keys, "event_id")
+
+
 @query("""select user_id, event_type, arg_max(event_id, event_id) as event_id from events group by 1, 2""")
 def upsert_merge(spark, sf_dir):
     events = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,12 @@ from quire.operators.gates import pending
 from quire.operators.upsert import merged
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``, or a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+
+
 def ensure(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``, made empty if it is not there."""
     spark.createDataFrame([], schema).write.mode("append").parquet(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quire.operators.upsert import latest, merged
 
@@ -27,7 +28,7 @@ def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataF
     return write
 
 
-def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: str | StructType, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
     """Upserts each new Parquet file of a folder; runs until what is there has been read."""
     rows = spark.readStream.schema(schema).parquet(source)
     writer = rows.writeStream.foreachBatch(upsert_into(path, keys, order)).option("checkpointLocation", checkpoint)
