@@ -64,7 +64,6 @@ def _compare(threshold: float, tile: int):
         a, na = _unit(left["v"])
         b, nb = _unit(right["v"])
         node_a, node_b = left["node"].to_numpy(), right["node"].to_numpy()
-        home_a, home_b = left["home"].to_numpy(), right["home"].to_numpy()
         copies_a, copies_b = left["n"].to_numpy(), right["n"].to_numpy()
         links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -74,8 +73,6 @@ def _compare(threshold: float, tile: int):
             hit = cos >= threshold
             if same:
                 hit[np.arange(hit.shape[0]), at + np.arange(hit.shape[0])] = False
-            else:  # a pair of cells meets in the cell of the higher number
-                hit &= (home_a[s, None] < home_b[None, :]) | (home_a[s, None] == home_b[None, :])
             links_a[s] += hit @ copies_b
             if not same:
                 links_b += copies_a[s] @ hit
@@ -108,10 +105,10 @@ def near_duplicates(
     label, spherical k-means on at most ``sample_rows`` vectors in all gives
     cells of about ``cell_rows``; every vector goes to its nearest centre, and
     also visits each cell whose radius plus the angle of ``threshold`` reaches
-    it, so no link between cells is lost. Within a cell, blocks of at most
-    ``block_rows`` meet pair by pair as tasks of their own, in tiled matrix
-    products of doubles; they give counts of links and a spanning forest, never
-    all pairs. A vector that is null or zero, has components that are null or
+    it, so no link between cells is lost. Blocks of about ``block_rows``
+    vectors, of one cell or of a cell and a visiting one, meet pair by pair as
+    groups of their own, in tiled matrix products of doubles; they give counts
+    of links and a spanning forest, never all pairs. A vector that is null or zero, has components that are null or
     not finite, or a null label links with nothing. Vectors of different
     lengths never link. Null ids count as rows, but name no component unless
     all its ids are null. No rows give no rows; further columns are ignored.
@@ -167,41 +164,54 @@ def near_duplicates(
 
     placed = save(distinct.mapInPandas(homes, "node long, n long, kind string, v array<double>, home long, angle double"), "homes")
     cells = placed.groupBy("kind", "home").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
-    cells = cells.toPandas()  # one row per cell: as many as there are centres at most
-    sizes = {k: dict(zip(g["home"], zip(g["radius"], g["rows"]))) for k, g in cells.groupby("kind")}
+    cells = save(cells.withColumn("blocks", F.ceil(F.col("rows") / block_rows)), "cells")
+    # one row per cell: as many as there are centres at most
+    sizes = {k: g.set_index("home")[["radius", "blocks"]] for k, g in cells.toPandas().groupby("kind")}
     told = spark.sparkContext.broadcast(sizes)
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per pair of blocks that a vector takes part in; side 0 are a cell's visitors or its first block."""
+        """A row per block of a later cell that may hold links of a vector; ``guests`` is its own cell and block."""
         for pdf in batches:
             out = []
             for kind, at in pdf.groupby("kind").indices.items():
-                own = told.value[kind]
-                c = sent.value.get(kind)
+                own, c = told.value[kind], sent.value.get(kind)
+                if c is None:
+                    continue
                 x, n = _unit(pdf["v"].iloc[at])
-                angles = np.zeros((len(x), 1)) if c is None else np.arccos(np.clip((x / n[:, None]) @ c.T, -1, 1))
-                # cells without members have no radius, and nobody visits them
-                radius = np.array([own[k][0] + reach if k in own else -1.0 for k in range(angles.shape[1])])
+                angles = np.arccos(np.clip((x / n[:, None]) @ c.T, -1, 1))
+                radius, blocks = np.full(len(c), -1.0), np.zeros(len(c), np.int64)  # nobody visits a cell without members
+                radius[own.index], blocks[own.index] = own["radius"] + reach, own["blocks"]
                 for r, i in enumerate(at.tolist()):
-                    node, home = int(pdf["node"].iloc[i]), int(pdf["home"].iloc[i])
-                    blocks = -(-own[home][1] // block_rows)
-                    b = node % blocks
-                    out += [(i, home, min(b, o), max(b, o), 0 if b <= o else 1, b == o) for o in range(blocks)]
-                    # as a member, it waits for visitors in its block; as a visitor it sees all blocks of later cells
-                    out.append((i, home, -1, b, 1, False))
+                    home = int(pdf["home"].iloc[i])
+                    guests = home << 24 | int(pdf["node"].iloc[i]) % int(blocks[home])
                     for cell in np.flatnonzero(angles[r, home + 1 :] <= radius[home + 1 :]) + home + 1:
-                        out += [(i, cell, -1, o, 0, False) for o in range(-(-own[cell][1] // block_rows))]
+                        out += [(i, cell, guests, o) for o in range(blocks[cell])]
             picked = pdf.iloc[[o[0] for o in out]].reset_index(drop=True)
-            for name, k in (("cell", 1), ("low", 2), ("high", 3), ("side", 4), ("same", 5)):
+            for name, k in (("cell", 1), ("guests", 2), ("block", 3)):
                 picked[name] = [o[k] for o in out]
-            yield picked[["node", "n", "kind", "v", "home", "cell", "low", "high", "side", "same"]]
-
-    pairs = placed.mapInPandas(
-        visits,
-        "node long, n long, kind string, v array<double>, home long, cell long, low long, high long, side long, same boolean",
+            yield picked[["node", "n", "kind", "v", "cell", "guests", "block"]]
+
+    columns = ["node", "n", "kind", "v", "cell", "guests", "block", "side", "same"]
+    visitors = placed.mapInPandas(visits, "node long, n long, kind string, v array<double>, cell long, guests long, block long")
+    seated = placed.join(F.broadcast(cells.select("kind", "home", "blocks")), ["kind", "home"])
+    seated = seated.withColumn("block", F.pmod("node", F.col("blocks"))).withColumnRenamed("home", "cell")
+    # a cell's blocks meet each block of guests from an earlier cell
+    met = visitors.select("kind", "cell", "guests").distinct()
+    hosts = seated.join(met, ["kind", "cell"]).withColumns({"side": F.lit(1), "same": F.lit(False)})
+    visitors = visitors.withColumns({"side": F.lit(0), "same": F.lit(False)})
+    # and one another: the lower number of a pair of blocks is kept as guests below zero
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    within = seated.withColumn("other", other).withColumns(
+        {
+            "guests": -1 - F.least("block", "other"),
+            "side": (F.col("block") > F.col("other")).cast("int"),
+            "same": F.col("block") == F.col("other"),
+            "block": F.greatest("block", "other"),
+        }
     )
-    compared = pairs.groupBy("kind", "cell", "low", "high").applyInPandas(
+    pairs = visitors.select(columns).union(hosts.select(columns)).union(within.select(columns))
+    compared = pairs.groupBy("kind", "cell", "guests", "block").applyInPandas(
         _compare(threshold, 256), "node long, peer long, links long"
     )
     compared = save(compared.where("links > 0 or node <> peer"), "links")
