@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from quire.llm.common import save, text_key
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 100  # bytes of an anchor
+WORD_GRAM = 12  # words of an anchor
 STEP = 1 << 19  # window starts that are looked at together
 CELL = 16
 FLUSH = 50_000  # rows that a task holds before it passes them on
@@ -37,25 +39,48 @@ def _values() -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(bytes([c]), digest_size=8).digest(), "big") for c in range(256)], np.uint64)
 
 
+class Words:
+    """A text as a sequence of words, which end at ASCII white space: it is sliced by words, to their 64-bit digests as bytes."""
+
+    def __init__(self, data: bytes):
+        blank = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\f\x0b", np.uint8))
+        turns = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+        self.starts, self.ends = turns[::2], turns[1::2]
+        self.values = np.array([xxhash.xxh64_intdigest(w, 42) for w in data.split()], np.uint64)
+        self.digests = self.values.tobytes()
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __getitem__(self, at: slice) -> bytes:
+        return self.digests[8 * at.start : 8 * at.stop]
+
+    def spans(self, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans of words as spans of bytes, without the white space around them."""
+        return [(int(self.starts[a]), int(self.ends[b - 1])) for a, b in found]
+
+
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``gram`` bytes."""
+    """A 64-bit hash of each run of ``gram`` bytes, or of words given by their digests."""
     up, down = _powers(1 << (len(data) - 1).bit_length() if len(data) > 1 else 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_values()[data] * up[: len(data)], out=sums[1:])
+    values = data if data.dtype == np.uint64 else _values()[data]
+    np.cumsum(values * up[: len(data)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def anchor_blocks(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
+def anchor_blocks(data: bytes | Words, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Rows ``first, last, anchor, hash``: runs of window starts whose window has its least gram hash at one place.
 
     Windows of equal bytes have their anchor at an equal offset, wherever they
     stand, so they can only be found among runs whose anchors have equal
     hashes. A very long text comes in blocks; a run between two is not cut.
     """
-    whole, span = np.frombuffer(data, np.uint8), length - gram + 1
+    whole = data.values if isinstance(data, Words) else np.frombuffer(data, np.uint8)
+    span = length - gram + 1
     held = np.empty((0, 4), np.int64)
     for at in range(0, len(data) - length + 1, STEP):
         h = _grams(whole[at : at + STEP + length - 1], gram)
@@ -97,7 +122,7 @@ def _unpack(run: int) -> tuple[int, int, int]:
     return first, first + ((run >> 10) & 1023), first + (run & 1023)
 
 
-def cells(data: bytes, run: int, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+def cells(data: bytes | Words, run: int, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """``core, full, run`` of each group of up to 16 windows of a run, aligned by their distance from the anchor.
 
     All windows at these distances contain the core, in this run or in any
@@ -196,6 +221,15 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    texts = (
+        docs.select(text_key(F.col(text_col)).alias("uid"), F.coalesce(text_col, F.lit("")).alias("text"))
+        .groupBy("uid")
+        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    )
+    return save(texts, "texts")
+
+
 def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per distinct text of ``docs``: ``uid, n_bytes, removed, kept_sha256``; ``removed`` are its repeated bytes.
 
@@ -222,20 +256,22 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     Null texts count as empty; texts of fewer than ``length`` bytes have no
     repeats; further columns are ignored.
     """
-    spark = docs.sparkSession
-    texts = (
-        docs.select(text_key(F.col(text_col)).alias("uid"), F.coalesce(text_col, F.lit("")).alias("text"))
-        .groupBy("uid")
-        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    )
-    texts = save(texts, "texts")
-    long = texts.where(F.octet_length("text") >= length).select("uid", "text")
+    return _repeats(_texts(docs, text_col), length, gram)
+
+
+def _repeats(texts: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
+    """``repeats`` over distinct texts; ``by_word``, ``length`` and ``gram`` count words, and spans are still of bytes."""
+    spark = texts.sparkSession
+    long = texts.where(F.octet_length("text") >= (2 * length - 1 if by_word else length)).select("uid", "text")
+
+    def read(text: str | None) -> bytes | Words:
+        return Words(_bytes(text)) if by_word else _bytes(text)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found, n = [], 0
             for t in pdf["text"]:
-                for block in anchor_blocks(_bytes(t), length, gram):
+                for block in anchor_blocks(read(t), length, gram):
                     found.append(block[:, 3])
                     n += len(block)
                     if n > FLUSH:
@@ -248,7 +284,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     twice = save(twice.where("n > 1").select("core"), "anchors")
 
     def runs(r) -> Iterator[tuple]:
-        data = _bytes(r.text)
+        data = read(r.text)
         for a in anchor_blocks(data, length, gram):
             full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
             yield from _grouped(zip(a[:, 3].tolist(), full, _pack(a[:, 0], a[:, 1], a[:, 2]).tolist()), r.uid)
@@ -257,7 +293,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     solved, left = _refined(candidates, "runs")
 
     def split(r) -> Iterator[tuple]:
-        data = _bytes(r.text)
+        data = read(r.text)
         for at in range(0, len(r.runs), FLUSH):
             yield from _grouped((c for x in r.runs[at : at + FLUSH] for c in cells(data, int(x), length)), r.uid)
 
@@ -267,7 +303,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     left = save(left, "open-cells")
 
     def suffixes(r) -> Iterator[tuple]:
-        data = _bytes(r.text)
+        data = read(r.text)
         for x in r.runs:
             first, last, _ = _unpack(int(x))
             for p in range(first, last + 1):
@@ -293,8 +329,10 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                data = _bytes(r.text)
+                data = read(r.text)
                 spans = covered(r.runs, len(data), length) if r.copies < 2 or len(data) < length else [(0, len(data))]
+                if by_word:
+                    data, spans = _bytes(r.text), data.spans(spans)
                 kept = hashlib.sha256(data if not spans else keep(data, spans)).hexdigest()
                 out.append((r.uid, len(data), [{"start": a, "end": b} for a, b in spans], kept))
             yield pd.DataFrame(out, columns=["uid", "n_bytes", "removed", "kept_sha256"])
@@ -315,6 +353,17 @@ def covered(runs, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return list(zip(first[np.concatenate([[0], new])].tolist(), end[np.concatenate([new - 1, [-1]])].tolist()))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same bytes in maximal spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def keep(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
@@ -336,20 +385,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     )
 
 
-def cut(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cut(
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text_col``, and all rows and columns kept.
 
+    With ``words`` given, strings of so many words that start twice are cut as
+    well, however few bytes they have and whatever white space parts them; the
+    white space around them stays. Both kinds are sought in the whole texts.
     What is left of a character that a cut went through is left out; a null
     text stays null. ``n_chars``, where the table has it, is counted anew.
     """
-    found = repeats(docs, text_col, length, gram).where(F.size("removed") > 0)
+    texts = _texts(docs, text_col)
+    found = _repeats(texts, length, gram).where(F.size("removed") > 0).select("uid", "removed")
+    if words:
+        more = _repeats(texts, words, max(1, min(WORD_GRAM, words // 4)), by_word=True)
+        found = found.union(more.where(F.size("removed") > 0).select("uid", "removed"))
+        found = found.groupBy("uid").agg(F.flatten(F.collect_list("removed")).alias("removed"))
     found = found.select(F.col("uid").alias("_q_uid"), F.col("removed").alias("_q_removed"))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
         for t, a, b in zip(texts, starts, ends):
-            spans = [] if a is None else list(zip(a.tolist(), b.tolist()))
+            spans = [] if a is None else merged(list(zip(a.tolist(), b.tolist())))
             out.append(keep(_bytes(t), spans).decode("utf-8", "ignore") if spans else t)
         return pd.Series(out, dtype=object)
 

@@ -159,6 +159,31 @@ def test_cut_keeps_rows_and_columns(spark, docs, rows):
     assert left[400] is None and left[500] == next(t for i, t, _, _ in rows if i == 500)
 
 
+def test_cut_by_words_against_brute_force(spark):
+    """Passages of 51 and more short words, which are under 400 bytes."""
+    r = random.Random(4)
+    short = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(r.choice(short) for _ in range(r.randrange(0, 120))) for _ in range(40)]
+    exact, under = (" ".join(r.choice(short) for _ in range(n)) for n in (51, 50))
+    assert len(exact) < 400
+    texts += [f"left{i} {under}\tright{i}" for i in range(3)]
+    texts += [f"{texts[i]} left{i} {exact if i % 2 else exact.replace(' ', chr(10))} right{i} {texts[i + 9]}" for i in range(8)]
+    texts += ["x y " * 40, None, "", " \n", "é " * 60, exact, f" {exact}\n"]
+    found = suffix_dedup.cut(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).repartition(4), words=51)
+    got = {x.doc_id: x.text for x in found.collect()}
+    whole = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[p : p + 51]) for w in whole for p in range(len(w) - 50))
+    cut = 0
+    for i, w in enumerate(whole):
+        hit = [False] * len(w)
+        for p in range(len(w) - 50):
+            if seen[tuple(w[p : p + 51])] > 1:
+                hit[p : p + 51] = [True] * 51
+        cut += any(hit)
+        assert (got[i] or "").split() == [x for x, h in zip(w, hit) if not h], i
+    assert cut >= 12 and got[41] == texts[41] and len(got) == len(texts)
+
+
 def test_toxicity_finds_held_out_words(spark):
     r = random.Random(3)
     rows, labels = [], []
