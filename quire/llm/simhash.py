@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -17,17 +19,33 @@ BITS = 64
 SHINGLE = 3
 RADIUS = 3
 BLOCK = 1 << 16  # shingles whose bits are counted at once
+BANDS = 20
+ROWS = 5  # least hashes of a band; texts of similarity 0.8 share none of 20 such bands once in 2,900 times
+BEFORE = 2  # rows that each row of a bucket is compared with
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles as an unsigned number; 0 for a text without words."""
+def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The lowered words of a text with one blank between them, and where its shingles start and end."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both only touch ASCII in bytes
     if not words:
-        return 0
+        return b"", [], []
     joined = b" ".join(words)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(x + 1 for x in ends[:-1])]
-    ends = ends[shingle - 1 :] or [len(joined)]
+    return joined, starts, ends[shingle - 1 :] or [len(joined)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
+    joined, starts, ends = _shingles(text, shingle)
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends)], np.uint64))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles as an unsigned number; 0 for a text without words."""
+    joined, starts, ends = _shingles(text, shingle)
+    if not ends:
+        return 0
     digest = xxhash.xxh64_intdigest
     total, n = np.zeros(BITS, np.int64), len(ends)
     for at in range(0, n, BLOCK):
@@ -110,15 +128,128 @@ def near_duplicates(
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "text_key", "fp", "root", "component_id")
 
 
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20)
+    n = BANDS * ROWS
+    return r.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), r.integers(0, 1 << 64, n, np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A number for each band of ``ROWS`` least hashes of a set of shingles, as signed longs."""
+    times, plus = _draws()
+    least = np.full(len(times), ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096]
+        for i in range(len(times)):
+            least[i] = min(least[i], (h * times[i] + plus[i]).min())
+    raw = least.tobytes()
+    step = 8 * ROWS
+    return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
+
+
+def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by bucket: each row's node with those of up to ``BEFORE`` rows before it in its bucket."""
+    last = pd.DataFrame({"bucket": [], "node": []}, dtype=np.int64)
+    for pdf in batches:
+        both = pd.concat([last, pdf[["bucket", "node"]]], ignore_index=True)
+        bucket, node = both["bucket"].to_numpy(), both["node"].to_numpy()
+        for k in range(1, BEFORE + 1):
+            at = np.arange(max(k, len(last)), len(both))
+            at = at[(bucket[at] == bucket[at - k]) & (node[at] != node[at - k])]
+            yield pd.DataFrame({"src": np.minimum(node[at], node[at - k]), "dst": np.maximum(node[at], node[at - k])})
+        last = both.tail(BEFORE).reset_index(drop=True)
+
+
+def similar(
+    docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
+    """Per row of ``docs``: ``id_col``, ``text_key``, ``root`` and ``component_id`` over links of exact similarity.
+
+    Two texts are linked if the Jaccard similarity of their sets of word
+    shingles is ``similarity`` or more. A radius of a 64-bit fingerprint does not
+    bound that: texts at 0.8 differ in 10 bits on average and in 17 now and
+    then, and segments small enough for it hold a few bits, which all texts
+    share. So candidates come from bands of least hashes. Texts equal but for
+    case and white space are merged before. Within a bucket each row meets the
+    two before it in the order of the next band, and the bucket's leader, the
+    text whose buckets have the most rows in all: that is the middle of a
+    group whose outer texts are only like the middle. So a large bucket costs
+    in proportion to its rows, and streams through its task. Each candidate is
+    verified on the whole texts, so no link is wrong; what can be missed are
+    texts that share no band, or that in buckets of four and more never meet
+    and are not linked over others either.
+    """
+
+    @F.pandas_udf("struct<node: long, bands: array<long>>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            joined, _, _ = _shingles(t, shingle)
+            node = int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "big", signed=True)
+            out.append((node, bands(shingle_set(t, shingle)) if joined else []))
+        return pd.DataFrame(out, columns=["node", "bands"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = rows.select("id", text_key(F.col("text")).alias("text_key"), marks("text").alias("m"))
+    marked = save(marked.select("id", "text_key", "m.node", "m.bands"), "marks")
+    nodes = marked.groupBy("node").agg(
+        F.min("id").alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")
+    )
+    nodes = save(nodes, "nodes")
+    turned = F.expr("transform(bands, (x, i) -> struct(x as bucket, bands[(i + 1) % size(bands)] as next))")
+    dealt = nodes.select("node", F.explode(turned).alias("b")).select("b.bucket", "b.next", "node")
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = save(dealt.join(sizes, "bucket"), "buckets")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = shared.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("leader"))
+    led = shared.where(f"n > {BEFORE + 1}").join(leaders.select("bucket", F.col("leader.node").alias("dst")), "bucket")
+    led = led.where("node <> dst").select(F.col("node").alias("src"), "dst")
+    ranked = shared.select("bucket", "next", "node").repartition("bucket").sortWithinPartitions("bucket", "next", "node")
+    pairs = save(ranked.mapInPandas(_beside, "src long, dst long").union(led).distinct(), "pairs")
+
+    met = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    met = nodes.select("node", "text_key").join(met, "node", "left_semi")
+    texts = rows.select(text_key(F.col("text")).alias("text_key"), "text").join(met, "text_key")
+    texts = save(texts.select("node", "text").dropDuplicates(["node"]), "pair-texts")
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        out, last, a = [], None, None
+        for t, u in zip(one, other):
+            if t is not last:
+                last, a = t, shingle_set(t, shingle)
+            b = shingle_set(u, shingle)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / (len(a) + len(b) - both) >= similarity)
+        return pd.Series(out, dtype=bool)
+
+    both = pairs.join(texts.withColumnsRenamed({"node": "src", "text": "one"}), "src")
+    both = both.join(texts.withColumnsRenamed({"node": "dst", "text": "other"}), "dst")
+    joined = components(both.where(alike("one", "other")).select("src", "dst"))
+    rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = save(rooted.select("node", "root").join(least, "root"), "similar-groups")
+    return marked.join(named, "node").select(F.col("id").alias(id_col), "text_key", "root", "component_id")
+
+
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, the one with the smallest id.
 
+    Components are those of ``similar`` where ``similarity`` is given, else of ``near_duplicates``.
     A component whose ids are all null keeps one of its rows; so does an id
     that repeats within its component.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, radius)
+    if similarity is None:
+        groups = near_duplicates(docs, id_col, text_col, shingle, radius)
+    else:
+        groups = similar(docs, similarity, id_col, text_col, shingle)
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root")
     stay = stay.agg(F.min(F.struct("text_key", id_col)).alias("one"))
     stay = save(stay.select(F.col("one.text_key").alias("_q_key"), F.col(f"one.{id_col}").alias("_q_id")), "kept")

@@ -316,6 +316,52 @@ def test_simhash_links_are_all_found(spark):
     assert pairs == wanted
 
 
+def test_similar_texts_against_brute_force(spark):
+    """Chains and a large group of edited copies; pairs of similarity 0.8 or more, and pairs just below."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def edited(text, n):
+        w = text.split()
+        for _ in range(n):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        return " ".join(w)
+
+    texts = []
+    for _ in range(60):
+        base = " ".join(r.choice(vocabulary) for _ in range(r.randrange(40, 250)))
+        texts += [base, edited(base, max(1, len(base.split()) // 50)), edited(base, len(base.split()) // 40 + 1)]
+    base = " ".join(r.choice(vocabulary) for _ in range(150))
+    texts += [edited(base, r.randrange(4)) for _ in range(150)]
+    texts += [base.upper(), base.replace(" ", "\n"), None, "", " ", "one two", "One  two", "one three"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))})
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in alike:
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).repartition(4)
+    groups = simhash.similar(docs, 0.8, shingle=5)
+    root = {x.doc_id: x.component_id for x in groups.select("doc_id", "component_id").collect()}
+    assert all(top(root[i]) == top(i) for i in root)  # no text is linked to one of another group
+    found = sum(root[i] == root[j] for i, j in alike)
+    assert found >= 0.995 * len(alike), (found, len(alike))
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert any(bin(fps[i] ^ fps[j]).count("1") > 3 for i, j in alike)
+    kept = {x.doc_id for x in simhash.keep_one(docs, shingle=5, similarity=0.8).collect()}
+    assert kept == set(root.values())
+    assert simhash.similar(frame(spark, []), 0.8, shingle=5).count() == 0
+    print("recall", found, len(alike), "components", len(kept), len({top(i) for i in range(len(texts))}))
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)] + [(9, 9)]
