@@ -71,6 +71,93 @@ def same(found, wanted):
     assert sorted(map(tuple, found), key=key) == sorted(wanted, key=key)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [
+    (APACHE, ["apache2-notice"], ["Apache-2.0"], False), (MIT, ["mit-text", "mit-named"], ["MIT"], False),
+    (BSD3, ["bsd3-text"], ["BSD-3-Clause"], False), (GPL3, ["gpl3-notice"], ["GPL-3.0-or-later"], True),
+    (GPL2, ["gpl2-notice"], ["GPL-2.0-or-later"], True), (MPL2, ["mpl2-header"], ["MPL-2.0"], True),
+]
+
+
+def test_published_licence_notices(spark):
+    """Wrapped as published, behind comment signs, with DOS line ends, and each paragraph on one line."""
+    rows, wanted = [], {}
+    for n, (text, *verdict) in enumerate(NOTICES):
+        flat = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        hashes = "\n".join(f"# {x}".rstrip() for x in text.split("\n"))
+        stars = "/*\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n")) + "\n */\nint main"
+        for k, t in enumerate([text, flat, hashes, stars, text.replace("\n", "\r\n"), f"Some words first.\n\n{text}\n\nand more"]):
+            rows.append((n * 10 + k, t, None, None))
+            wanted[n * 10 + k] = tuple(verdict)
+    found = license_scan.scan(frame(spark, rows)).select("doc_id", "license.*").collect()
+    assert {r.doc_id: (r.rules, r.licenses, r.restricted) for r in found} == wanted
+
+
 def test_license_sequences(spark):
     texts = [
         "Hello. Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.",
@@ -78,19 +165,24 @@ def test_license_sequences(spark):
         "No part of this work may be reproduced without permission. All rights reserved.",
         "Released under the MIT License. Released under the MIT License.",
         "unreleased under the MIT License", None, "", "...", "Licensed under CC BY-NC 4.0." * 1,
+        "a line\nReleased under the MIT License\nanother line", "x \x01All rights reserved\x02.",
+        "\n" * 100_000 + "All rights\nreserved" + " \n.\n" * 50_000,
     ]
-    found = license_scan.scan(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).orderBy("doc_id")
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).withColumn("license", F.lit("own")).withColumn("_q_ids", F.lit(1))
+    found = license_scan.scan(docs).orderBy("doc_id")
+    assert found.columns == docs.columns
     got = [(r.license.rules, r.license.licenses, r.license.restricted) for r in found.collect()]
-    assert got[0] == (["apache2-header", "apache2-line"], ["Apache-2.0"], False)
-    assert got[1] == (["reserved", "reserved-strict"], ["Proprietary"], True)
+    assert got[0] == (["apache2-header-short"], ["Apache-2.0"], False)
+    assert got[1] == (["reserved-strict"], ["Proprietary"], True)
     assert got[2] == (["reserved"], ["Proprietary"], True)
     assert got[3] == (["mit-line"], ["MIT"], False)
     assert got[4:8] == [([], [], False)] * 4
     assert got[8] == (["ccbync-line"], ["CC-BY-NC-4.0"], True)
+    assert got[9] == got[3] and got[10] == ([], [], False) and got[11] == got[2]
     assert found.where("doc_id = 3").first().license.sentences == ["mit-short", "mit-short"]
     assert "Python" not in found._jdf.queryExecution().toString()
     assert license_scan.scan(frame(spark, [])).count() == 0
-    assert license_scan.scan(frame(spark, [(1, "All rights reserved.", None, None)]), rules=[], sentences={}).first().license.rules == []
+    assert license_scan.scan(frame(spark, [(1, "All rights reserved.", None, None)]), rules=[], wordings=[]).first().license.rules == []
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"])
