@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import hooks, text, vectors, vocabulary
+from quire.operators.search import Terms
 
 
 def column(spark, values, f, kind="string"):
@@ -55,7 +56,7 @@ def test_vectors(spark):
     kind = "array<float>"
     assert column(spark, [[3.0, 4.0], [0.0, 0.0], None], lambda c: vectors.cosine(c, [1, 0]), kind) == [pytest.approx(0.6), None, None]
     assert column(spark, [[3.0, 4.0], [0.0, 0.0]], vectors.unit, kind) == [[pytest.approx(0.6), pytest.approx(0.8)], [0.0, 0.0]]
-    assert vectors.centroid([[2, 0], [0, 5]], [0.5, 0.5]) == [pytest.approx(0.5**0.5)] * 2
+    assert vectors.mixture([[2, 0], [0, 5]], [0.5, 0.5]) == [pytest.approx(0.5**0.5)] * 2
 
 
 @pytest.mark.parametrize(
@@ -63,17 +64,23 @@ def test_vectors(spark):
 )
 def test_weights_that_are_refused(terms, weights):
     with pytest.raises(ValueError):
-        vectors.check_weights(terms, weights, "terms")
+        vectors.shares(len(terms), weights)
 
 
-def test_tilted_queries():
+def test_directions(spark):
     a, b = [1.0, 0.0], [0.0, 1.0]
-    assert vectors.tilted([a, b]) == [pytest.approx(0.5**0.5)] * 2
-    assert vectors.tilted([a], [1.0], [b], [1.0], 1.0) == [pytest.approx(0.5**0.5), pytest.approx(-(0.5**0.5))]
-    for anti in (([b], None), (None, [1.0]), ([a], [1.0])):
+    assert vectors.mixture([a, b]) == [pytest.approx(0.5**0.5)] * 2
+    assert vectors.apart(a, b, 1.0) == [pytest.approx(0.5**0.5), pytest.approx(-(0.5**0.5))]
+    with pytest.raises(ValueError):
+        vectors.apart(a, a, 1.0)
+    assert vectors.shares(2, [0.5, 0.5 + 5e-7]) and vectors.shares(4) == [0.25] * 4
+    table = spark.createDataFrame([([2.0, 0.0], [0.0, 5.0])], "a array<float>, b array<float>")
+    assert table.select(vectors.mixed([(F.col("a"), 0.5), (F.col("b"), -0.5)]).alias("v")).first().v == [pytest.approx(0.5**0.5), pytest.approx(-(0.5**0.5))]
+    embed = lambda texts: [[float(t.count(c)) for c in "ab"] for t in texts]
+    for wrong in (Terms(["a"], shunned=["b"]), Terms(["a"], shunned_weights=[1.0]), Terms(["a"], shunned=["a"], shunned_weights=[1.0]), Terms([])):
         with pytest.raises(ValueError):
-            vectors.tilted([a], [1.0], *anti)
-    vectors.check_weights([a, b], [0.5, 0.5 + 5e-7], "terms")
+            wrong.direction(embed)
+    assert Terms(["a"], shunned=["b"], shunned_weights=[1.0]).direction(embed) == [pytest.approx(0.5**0.5), pytest.approx(-(0.5**0.5))]
 
 
 def test_vocabulary():
@@ -91,10 +98,10 @@ def test_retries():
             raise ConnectionError
         return len(calls)
 
-    assert hooks.call(model, "x", lambda a: None if a == 4 else "not 4", sleep=naps.append) == 4
+    assert hooks.call(model, "x", lambda p, a: None if a == 4 else "not 4", sleep=naps.append) == 4
     assert [n for n, _ in calls] == [0, 0, 1, 2] and naps == [2]
     with pytest.raises(ValueError):
-        hooks.call(lambda *a: 1, "x", lambda a: "never", attempts=3)
+        hooks.call(lambda *a: 1, "x", lambda p, a: "never", attempts=3)
 
     def broken(*a):
         raise KeyError("own fault")
