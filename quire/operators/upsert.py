@@ -20,16 +20,20 @@ def merged(table: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
 
 
 def replaced(table: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
-    """A merge under two unique keys, ``scene_id`` and (``book_id``, ``pos``); rows without a position only meet by id.
+    """``table`` after the rows of ``batch``, in ``order``, under two unique keys: ``scene_id`` and (``book_id``, ``pos``).
 
-    A new row removes any older row that has either of its keys. Each id must
-    keep its book and position, which scene ids do, as both are part of them.
+    Each row removes all rows before it that have its id or its place, so a row
+    stays if it is the last of its id and the last of its place. Ids may move
+    to other places. Rows of ``table`` come before all of the batch; rows
+    without an id are left out, those without a place only meet by id.
     """
-    whole = merged(table, batch.where(F.coalesce("scene_id", F.lit("")) != ""), ["scene_id"], order)
-    placed = whole.join(batch.select("scene_id").distinct().withColumn("_new", F.lit(1)), "scene_id", "left")
-    by_place = latest(placed.where("pos is not null and book_id is not null"), ["book_id", "pos"], ["_new", "scene_id"])
-    rest = placed.where("pos is null or book_id is null")
-    return by_place.select(*table.columns).unionByName(rest.select(*table.columns))
+    rows = table.withColumn("_new", F.lit(0)).unionByName(batch.select(*table.columns).withColumn("_new", F.lit(1)))
+    rows = rows.where(F.coalesce("scene_id", F.lit("")) != "").withColumn("_at", F.struct("_new", *order, "scene_id"))
+    last = latest(rows, ["scene_id"], ["_at"])
+    place = F.col("book_id").isNotNull() & F.col("pos").isNotNull()
+    held = rows.where(place).groupBy("book_id", "pos").agg(F.max("_at").alias("_last"))
+    stays = last.join(held, ["book_id", "pos"], "left").where(~place | (F.col("_at") == F.col("_last")))
+    return stays.select(*table.columns)
 
 
 def write_books(rows: DataFrame, path: str) -> None:

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.gates import pending
-from quire.operators.upsert import merged
+from quire.operators.upsert import merged, write_books
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a local one only where master and executors are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="quire-")
     return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
 
-def ensure(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def ensure(spark: SparkSession, path: str, schema) -> DataFrame:
     """The Parquet table at ``path``, made empty if it is not there."""
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -36,14 +40,56 @@ def read_through(inputs: DataFrame, path: str, schema: str, key: str, make: Call
     return spark.read.schema(schema).parquet(path).join(inputs.select(key).distinct(), key, "left_semi")
 
 
-def stored(folder: str) -> Callable[[DataFrame, str], DataFrame]:
-    """A function that writes a DataFrame as the named table of a folder and gives it back as read from there."""
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as written to ``path`` and read back."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    def put(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    return put
+class Store:
+    """Named tables of a folder, each given back as read from there."""
+
+    def __init__(self, folder: str, every: int = 1000):
+        self.folder, self.every = folder, every
+
+    def __call__(self, rows: DataFrame, name: str) -> DataFrame:
+        return written(rows, f"{self.folder}/{name}")
+
+    def resumed(self, inputs: DataFrame, name: str, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What ``make`` gives for ``inputs``, from the named table as far as an earlier run has got.
+
+        Only inputs without a row there, by ``keys``, or with a ``failure`` are
+        made, ``every`` of them at a time; each slice is appended before the
+        next one starts, so a run that breaks loses one slice at most. The
+        result has a row for each input; a failure is there until it succeeds.
+        """
+        spark, path = inputs.sparkSession, f"{self.folder}/{name}"
+        schema = make(inputs.limit(0)).schema
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        done = lambda: spark.read.schema(schema).parquet(path).where("failure is null")
+        left = written(pending(inputs, done(), keys), f"{path}-pending")
+        slices = -(-left.count() // self.every)
+        failed = []
+        for i in range(slices):
+            made = make(left.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i))
+            made = written(made, f"{path}-slices/{i}")
+            made.where("failure is null").write.mode("append").parquet(path)
+            failed.append(made.where("failure is not null"))
+        whole = done().join(inputs.select(*keys), keys, "left_semi").dropDuplicates(keys)
+        for rows in failed:
+            whole = whole.unionByName(rows)
+        return whole
+
+    def books(self, rows: DataFrame, name: str) -> DataFrame:
+        """The named table with the books of ``rows`` written anew; what it has of other books stays."""
+        spark, path = rows.sparkSession, f"{self.folder}/{name}"
+        spark.createDataFrame([], rows.schema).write.mode("append").partitionBy("book_id").parquet(path)
+        write_books(rows, path)
+        return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def stored(folder: str, every: int = 1000) -> Store:
+    return Store(folder, every)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
@@ -55,10 +101,8 @@ def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corr
 
 def scene_files(spark: SparkSession, folder: str, schema: str, ids: list[str] | None = None) -> DataFrame:
     """Scene records of ``pg<id>-s.json`` files, all or some, with ``book_id`` from the name."""
-    rows = read_json(spark, f"{folder}/*.json", schema)
-    name = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^(.*)\.json$", 1)
-    code = F.coalesce(F.nullif(F.regexp_extract(name, r"pg(\d+)-s$", 1), F.lit("")), name)
-    rows = rows.withColumn("book_id", code)
+    rows = read_json(spark, f"{folder}/pg*-s.json", schema)
+    rows = rows.withColumn("book_id", F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^pg(.*)-s\.json$", 1))
     return rows.where(F.col("book_id").isin(ids)) if ids is not None else rows
 
 
@@ -84,8 +128,13 @@ def read_small(path: str, default=None):
         return default
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def read_text(path: str, default: str | None = None) -> str | None:
+    """A small driver-side text file, or ``default`` if it is not there."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    except FileNotFoundError:
+        return default
 
 
 def marked(status: DataFrame, books: DataFrame, state: str = "completed") -> DataFrame:
@@ -98,7 +147,8 @@ def unmarked(status: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def shown(hits: DataFrame) -> DataFrame:
-    """Search hits as they are printed: scores to three places."""
+    """Search hits as they are printed: scores to three places, descriptors on one line."""
     tags = ["dominant_tone", "intensity", "arc", "scene_title", "summary"]
     here = [c for c in tags if c in hits.columns]
-    return hits.select(F.round("score", 3).alias("score"), "scene_id", *here)
+    listed = [F.array_join("descriptors", ", ").alias("descriptors")] if "descriptors" in hits.columns else []
+    return hits.select(F.round("score", 3).alias("score"), "scene_id", *here, *listed)

@@ -5,31 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quire.operators.upsert import latest, merged
+from quire.operators.upsert import latest
+from quire.sources.tables import written
 
+PART = "_part"
 
-def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest row per key in a versioned table under ``path``.
 
-    Each batch writes a new version, ``path/v<batch>``, from the one before it;
-    a batch that is run again writes the same version again.
+def upsert_into(path: str, keys: list[str], order: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the newest row per key, by ``order``, in the table under ``path``.
+
+    The table is partitioned by a hash of the keys; a batch reads and replaces
+    only the parts that its keys fall into. The newest row stays whatever batch
+    it came with, so late rows change nothing and a batch that is run again
+    writes the same rows again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch, keys, order)
-        if number:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{number - 1}")
-            fresh = merged(before, fresh, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        fresh = written(latest(batch, keys, order).withColumn(PART, part), f"{path}-batch/{number}")
+        hit = [r[0] for r in fresh.select(PART).distinct().collect()]  # ``parts`` numbers at most
+        if not hit:
+            return
+        before = table(spark, path, batch.schema).where(F.col(PART).isin(hit))
+        whole = written(latest(before.unionByName(fresh), keys, order), f"{path}-merged/{number % 2}")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
     return write
 
 
-def start(spark: SparkSession, source: str, schema: str | StructType, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+def table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table that batches are merged into, with its part numbers; empty before the first batch."""
+    empty = spark.createDataFrame([], schema).withColumn(PART, F.lit(0))
+    empty.write.mode("append").partitionBy(PART).parquet(path)
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def start(
+    spark: SparkSession, source: str, schema: str | StructType, path: str, checkpoint: str, keys: list[str], order: list[str], files_per_batch: int = 1000
+) -> StreamingQuery:
     """Upserts each new Parquet file of a folder; runs until what is there has been read."""
-    rows = spark.readStream.schema(schema).parquet(source)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = rows.writeStream.foreachBatch(upsert_into(path, keys, order)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
