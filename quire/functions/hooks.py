@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BACKOFF_CAP = 30
-ATTEMPTS = 10
+from quire.functions.vocabulary import ATTEMPTS, BACKOFF_CAP
+
 
 
 def temperature(attempt: int) -> float:
-    """0 at first; then a little warmer with each attempt, up to 0.75."""
+    """0 at first; then a little warmer with each attempt, up to 0.75. The numbers are fixed values."""
     return 0.0 if attempt <= 0 else min(0.75, math.log(attempt**0.2) + 0.15)
 
 
@@ -39,11 +39,15 @@ def retry_note(why: str) -> str:
     return f"The last answer was not accepted: {why}. Answer again, correct in this respect."
 
 
+class NoAnswer(ValueError):
+    """The model was asked as often as allowed, and no answer passed the check."""
+
+
 def call(model: Callable, payload: str, check: Callable | None = None, attempts: int = ATTEMPTS, sleep: Callable = time.sleep):
     """The first answer that ``check`` accepts; what it had against earlier ones goes along as notes.
 
-    ``model(payload, notes, temperature)`` answers; ``check(answer)`` gives None
-    or what is wrong. A transient error is tried again after a pause, any other
+    ``model(payload, notes, temperature)`` answers; ``check(payload, answer)`` gives
+    None or what is wrong. A transient error is tried again after a pause, any other
     one is raised, and so is the last failure.
     """
     notes: list[str] = []
@@ -57,22 +61,38 @@ def call(model: Callable, payload: str, check: Callable | None = None, attempts:
             failures += 1
             sleep(backoff(failures))
             continue
-        why = check(answer) if check else None
+        why = check(payload, answer) if check else None
         if why is None:
             return answer
         notes.append(retry_note(why))
-    raise ValueError(f"no valid answer in {attempts} attempts: {notes[-1] if notes else 'the model did not answer'}")
+    raise NoAnswer(f"no valid answer in {attempts} attempts: {notes[-1] if notes else 'the model did not answer'}")
 
 
-def answered(payloads: DataFrame, model: Callable, schema: str, check: Callable | None = None, column: str = "payload") -> DataFrame:
-    """``payloads`` with ``answer``: what the model makes of each, parsed by ``schema``; calls run as wide as there are tasks."""
+def answered(
+    payloads: DataFrame, model: Callable, schema: str, check: Callable | None = None, column: str = "payload", attempts: int = ATTEMPTS
+) -> DataFrame:
+    """``payloads`` with ``answer``, what the model makes of each, parsed by ``schema``, and ``failure``.
+
+    Calls run as wide as there are tasks. A payload for which no answer passes
+    ``check``, or whose answer ``schema`` cannot parse, keeps its row: it has a
+    null answer and says why in ``failure``.
+    """
+
+    @F.pandas_udf("struct<raw: string, failure: string>")
+    def asked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(payload: str) -> tuple[str | None, str | None]:
+            try:
+                return call(model, payload, check, attempts), None
+            except NoAnswer as error:
+                return None, str(error)
 
-    @F.pandas_udf("string")
-    def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([call(model, t, check) for t in texts], dtype=object)
+            yield pd.DataFrame([one(t) for t in texts], columns=["raw", "failure"])
 
-    return payloads.withColumn("answer", F.from_json(asked(F.col(column)), schema))
+    told = payloads.withColumn("_told", asked(F.col(column)))
+    told = told.withColumn("answer", F.from_json("_told.raw", schema, {"mode": "PERMISSIVE"}))
+    empty = F.col("_told.failure").isNull() & F.coalesce(F.to_json("answer") == "{}", F.lit(True))
+    return told.withColumn("failure", F.when(empty, "the answer is not of the agreed form").otherwise(F.col("_told.failure"))).drop("_told")
 
 
 def embedded(rows: DataFrame, text: str, out: str, embed: Callable[[list[str]], list[list[float]]], size: int = 256) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -54,17 +55,56 @@ def normalised(items: DataFrame) -> DataFrame:
     return clean.withColumn("valid", F.coalesce(fits, F.lit(False)))
 
 
-def ask(batches: DataFrame, enricher: Callable, check: Callable | None = None) -> DataFrame:
-    """``scene_id`` and its facets for each scene of the batches, as the enricher gives them."""
-    told = answered(payloads(batches), enricher, ANSWER, check)
-    items = told.select("book_id", "batch", F.explode("answer.items").alias("i")).select("book_id", "batch", "i.*")
-    return normalised(items).where("valid").drop("valid").join(
-        batches.select("book_id", "batch", "index", "scene_id"), ["book_id", "batch", "index"]
-    ).drop("batch", "index", "book_id")
+def unfit(payload: str, answer: str) -> str | None:
+    """What is wrong with an enricher's answer: one item for each scene, every facet from its vocabulary, five descriptors, a summary."""
+    try:
+        items = json.loads(answer)["items"]
+        told = [int(i["index"]) for i in items]
+        wanted = [s["index"] for s in json.loads(payload)["scenes"]]
+        if sorted(told) != sorted(wanted):
+            return f"scenes {sorted(wanted)} need one item each, and there are items for {sorted(told)}"
+        for i in items:
+            for name, words in (("dominant_tone", TONES), ("intensity", INTENSITIES), ("arc", ARCS)):
+                if i[name] not in words:
+                    return f"item {i['index']}: {name} {i[name]!r} is none of {', '.join(words)}"
+            if len([d for d in i["descriptors"] if d.strip()]) != N_DESCRIPTORS:
+                return f"item {i['index']} needs {N_DESCRIPTORS} descriptors"
+            if not i["summary"].strip():
+                return f"item {i['index']} has no summary"
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return "it is not the agreed JSON"
+    return None
+
+
+def told(batches: DataFrame, enricher: Callable, check: Callable | None = unfit, **options) -> DataFrame:
+    """``book_id, batch, payload, answer, failure``: what the enricher says to each batch, asked again while ``check`` refuses it."""
+    return answered(payloads(batches), enricher, ANSWER, check, **options)
+
+
+def facets(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """``scene_id``, its facets, and ``failure``: one row for each scene of the batches.
+
+    A scene of a batch without a valid answer, without an item of its own or
+    with one that is not valid has null facets and the reason in ``failure``.
+    """
+    items = answers.select("book_id", "batch", F.explode("answer.items").alias("i")).select("book_id", "batch", "i.*")
+    items = normalised(items.dropDuplicates(["book_id", "batch", "index"]))
+    why = answers.select("book_id", "batch", F.col("failure").alias("_why"))
+    rows = batches.select("book_id", "batch", "index", "scene_id").join(items, ["book_id", "batch", "index"], "left")
+    rows = rows.join(why, ["book_id", "batch"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    names = ["dominant_tone", "intensity", "arc", "descriptors", "summary"]
+    failure = F.when(~F.col("valid"), F.coalesce("_why", F.when(F.col("summary").isNull() & F.col("arc").isNull(), "no item").otherwise("facets out of vocabulary")))
+    return rows.select("scene_id", *[F.when(F.col("valid"), F.col(n)).alias(n) for n in names], failure.alias("failure"))
+
+
+def ask(batches: DataFrame, enricher: Callable, check: Callable | None = unfit, **options) -> DataFrame:
+    """``scene_id``, its facets and ``failure`` for each scene of the batches, as the enricher gives them."""
+    return facets(batches, told(batches, enricher, check, **options))
 
 
 def applied(scenes: DataFrame, facets: DataFrame, model: str) -> DataFrame:
-    """Scenes with their new facets; those without any keep what they had. Neighbours' tones are joined anew."""
+    """Scenes with their new facets; those without any, or with a ``failure``, keep what they had. Neighbours' tones are joined anew."""
+    facets = facets.where("failure is null") if "failure" in facets.columns else facets
     names = ["dominant_tone", "intensity", "arc", "descriptors", "summary"]
     new = facets.select("scene_id", F.lit(True).alias("_new"), *[F.col(n).alias(f"_{n}") for n in names])
     joined = scenes.join(new, "scene_id", "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ def book_gate(rights: Column, subjects: Column) -> Column:
     return F.when(~rights.eqNullSafe(F.lit(RIGHTS)), "rights").when(F.size(drama_subjects(subjects)) > 0, "subjects")
 
 
+def gate_detail(reason: Column, rights: Column, subjects: Column) -> Column:
+    """What a book was left out for: the rights it states, or the subjects that were met."""
+    return F.when(reason == "rights", F.coalesce(rights, F.lit("none stated"))).when(
+        reason == "subjects", F.array_join(drama_subjects(subjects), "; ")
+    )
+
+
 def share_of_other(labels: DataFrame) -> DataFrame:
     """Per book: paragraphs in noise, kept and other ranges, the share of other ones, and whether the book passes."""
     n = F.col("end_paragraph_index") - F.col("start_paragraph_index") + 1
@@ -68,3 +78,24 @@ def expected_indices(payload: Column) -> Column:
     return F.transform(
         F.from_json(payload, "indexed_paragraphs array<struct<index: int>>")["indexed_paragraphs"], lambda p: p["index"]
     )
+
+
+def _places(payload: str, listed: str) -> list[int]:
+    return [p["index"] for p in json.loads(payload).get(listed) or []]
+
+
+def uncovered(payload: str, answer: str) -> str | None:
+    """What is wrong with a labeller's answer: each indexed paragraph must lie in exactly one range, and no other number in any."""
+    try:
+        spans = [(int(r["start_paragraph_index"]), int(r["end_paragraph_index"])) for r in json.loads(answer)["scenes_data"]]
+    except (ValueError, KeyError, TypeError):
+        return "it is not the agreed JSON"
+    wanted = set(_places(payload, "indexed_paragraphs"))
+    times = Counter(i for a, b in spans for i in range(a, min(b, a + len(wanted) + 1) + 1))
+    wrong = {
+        "left out": sorted(wanted - times.keys()),
+        "named but not given": sorted(times.keys() - wanted),
+        "in more than one range": sorted(i for i, n in times.items() if n > 1),
+    }
+    told = [f"{what}: {where}" for what, where in wrong.items() if where]
+    return "paragraphs " + "; ".join(told) if told else None

@@ -1,7 +1,7 @@
 """The flows from books to scenes and from scenes to an index.
 
-``store(rows, name)`` keeps a table and gives it back (``sources.tables.stored``):
-what a model has answered is written once and only read afterwards.
+``store`` keeps named tables and gives them back (``sources.tables.Store``): what a
+model has answered is written once and only read afterwards.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.hooks import answered
 from quire.operators import enrich, gates, paragraphs, relational, scenes, upsert
-from quire.sources import archive
+from quire.sources import archive, tables
+from quire.sources.tables import Store
 
 LABELS = (
     "scenes_data array<struct<start_paragraph_index: int, end_paragraph_index: int, paragraph_type: string, "
@@ -26,42 +27,89 @@ def to_paragraphs(pages: DataFrame) -> DataFrame:
     return paragraphs.numbered(paragraphs.kept_segments(archive.paragraphs(pages)))
 
 
-def label(chunks: DataFrame, labeller: Callable, check: Callable | None = None) -> DataFrame:
-    """A labeller's ranges: ``book_id, ord`` and the fields of each range, in order of chunk and place."""
-    told = answered(paragraphs.labelling_payload(chunks), labeller, LABELS, check)
-    cut = told.select("book_id", "chunk_index", F.posexplode("answer.scenes_data").alias("place", "s"))
+def told(chunks: DataFrame, labeller: Callable, check: Callable | None = gates.uncovered, **options) -> DataFrame:
+    """``book_id, chunk_index, payload, answer, failure``: what the labeller says to each chunk, asked again while ``check`` refuses it."""
+    return answered(paragraphs.labelling_payload(chunks), labeller, LABELS, check, **options)
+
+
+def label(answers: DataFrame) -> DataFrame:
+    """The ranges of a labeller's answers: ``book_id, ord`` and the fields of each range, in order of chunk and place."""
+    cut = answers.select("book_id", "chunk_index", F.posexplode("answer.scenes_data").alias("place", "s"))
     return cut.select("book_id", F.struct("chunk_index", "place").alias("ord"), "s.*")
 
 
 def to_scenes(
-    numbered: DataFrame, metadata: DataFrame, rights: DataFrame, labeller: Callable, store: Callable
+    numbered: DataFrame, metadata: DataFrame, rights: DataFrame, labeller: Callable, store: Store, done: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(scene records, excluded books with a reason): books are gated before any chunk goes to the labeller."""
+    """(scene records, excluded books with ``reason`` and ``detail``): books are gated before any chunk goes to the labeller.
+
+    Books of ``done`` (``book_id``) have their scenes already and are passed
+    over. Answers are kept chunk by chunk: a run that is started again only
+    asks for chunks that have no valid one. A book of which a chunk got no
+    valid answer gives no scenes; it is listed as ``unlabelled`` with what was
+    wrong. Scenes and the list of excluded books keep the books of earlier runs.
+    """
     books = metadata.join(rights.withColumnRenamed("book_id", "ID"), "ID", "left")
-    gated = books.select(F.col("ID").alias("book_id"), gates.book_gate(F.col("rights"), F.col("Subjects")).alias("reason"))
+    if done is not None:
+        books = gates.pending(books, done.select(F.col("book_id").alias("ID")), "ID")
+    reason = gates.book_gate(F.col("rights"), F.col("Subjects"))
+    detail = gates.gate_detail(reason, F.col("rights"), F.col("Subjects"))
+    gated = books.select(F.col("ID").alias("book_id"), reason.alias("reason"), detail.alias("detail"))
     passed = gated.where("reason is null").select("book_id")
     kept = numbered.join(passed, "book_id", "left_semi")
-    labels = store(label(paragraphs.chunks(kept), labeller), "labels")
+    answers = store.resumed(
+        paragraphs.labelling_payload(paragraphs.chunks(kept)),
+        "answers",
+        ["book_id", "chunk_index", "payload"],
+        lambda rows: answered(rows, labeller, LABELS, gates.uncovered),
+    )
+    answers = store(answers, "labelled")
+    broken = answers.where("failure is not null").groupBy("book_id").agg(F.min("failure").alias("detail"))
+    labels = store(label(answers.join(broken, "book_id", "left_anti")), "labels")
     shares = gates.share_of_other(labels)
     labels = labels.join(shares.where("passes").select("book_id"), "book_id", "left_semi")
     titled = kept.withColumn("chapter_title", F.col("heading"))
-    excluded = gated.where("reason is not null").unionByName(
-        shares.where("not passes").select("book_id", F.lit("other").alias("reason"))
+    other = shares.where("not passes").select("book_id", F.lit("other").alias("reason"), F.format_number("other_share", 3).alias("detail"))
+    excluded = (
+        gated.where("reason is not null").unionByName(other).unionByName(broken.withColumn("reason", F.lit("unlabelled")))
     )
-    return store(scenes.records(labels, titled, metadata), "scenes"), store(excluded, "excluded")
+    return store.books(scenes.records(labels, titled, metadata), "scenes"), store.books(excluded, "excluded")
 
 
 def to_index(
-    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Callable
+    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Store
 ) -> tuple[DataFrame, DataFrame]:
-    """(relational mirror of all scenes, indexed scenes): facets are asked for where they are missing."""
+    """(relational mirror of all scenes, indexed scenes): facets are asked for where they are missing.
+
+    Answers are kept batch by batch, as those of ``to_scenes`` are. Scenes
+    without a valid one stay as they were; the table ``facets`` names the failure.
+    """
     positioned = relational.mirror(records).select("scene_id", "pos")
     open_scenes = enrich.todo(records).join(positioned, "scene_id")
-    facets = store(enrich.ask(store(enrich.batched(open_scenes), "batches"), enricher), "facets")
+    batches = store(enrich.batched(open_scenes), "batches")
+    answers = store.resumed(
+        enrich.payloads(batches),
+        "enrichments",
+        ["book_id", "batch", "payload"],
+        lambda rows: answered(rows, enricher, enrich.ANSWER, enrich.unfit),
+    )
+    facets = store(enrich.facets(batches, answers), "facets")
     full = store(enrich.applied(records, facets, model), "enriched")
     return relational.mirror(full), store(enrich.indexed(full, embed), "index")
 
 
+def reset_books(records: DataFrame, status: DataFrame, store: Store, *facets: str, books: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(records with the named facets cleared, status without the marks of their books, number of scenes cleared).
+
+    All books, or those of ``books``. Both tables are written to the store.
+    """
+    chosen = F.lit(True) if books is None else F.col("book_id").isin(books)
+    cleared = enrich.reset(records.where(chosen), *facets)
+    n = cleared.count()
+    marks = tables.unmarked(status, records.where(chosen).select("book_id").distinct())
+    return store(cleared.unionByName(records.where(~chosen)), "reset-scenes"), store(marks, "reset-status"), n
+
+
 def refreshed(mirror: DataFrame, index: DataFrame | None, records: DataFrame, embed: Callable) -> tuple[DataFrame, DataFrame]:
     """The mirror and the index with ``records`` in place of their rows of the same ids.
 

@@ -187,7 +187,13 @@ def test_upserts(spark):
     a, b = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
     assert sorted(str(tuple(r)) for r in upsert.replaced(a, b, ["n"]).collect()) == replace_loop(old, new)
     assert upsert.merged(a, b, ["scene_id"], ["n"]).count() == 6
-    assert upsert.replaced(a, b.limit(0), ["n"]).count() == 4
+    r = random.Random(3)
+    for _ in range(4):  # ids that move to other places, and places that get other ids
+        old = [(f"i{i}", "1", i, 0) for i in range(8)]
+        new = [(f"i{r.randrange(10)}", "1", r.choice([None, *range(9)]), n) for n in range(1, 12)]
+        a, b = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+        assert sorted(str(tuple(x)) for x in upsert.replaced(a, b, ["n"]).collect()) == replace_loop(old, new)
+    assert upsert.replaced(a, b.limit(0), ["n"]).count() == 8
 
 
 def test_books_are_overwritten_one_by_one(spark, tmp_path):
@@ -212,10 +218,10 @@ def test_searches(spark):
     pool = {h.scene_id for h in search.search_summary(index, embed, "aaaa", limit=50).collect()}
     ranked = search.search_summary(index, embed, "aaaa", "bbbb", limit=5).collect()
     assert {h.scene_id for h in ranked} <= pool
-    both = search.search_combined(index, embed, "aaaa", ["bbbb", "cc"], [0.5, 0.5], anti_descriptors=["hh"], anti_weights=[1.0], anti_strength=0.2)
+    both = search.search_combined(index, embed, "aaaa", search.Terms(["bbbb", "cc"], [0.5, 0.5], ["hh"], [1.0], 0.2))
     assert both.count() == 5
-    assert search.search_weighted_descriptors(index, embed, ["bb"]).count() == 5
-    for wrong in (lambda: search.search_summary(index, embed, ""), lambda: search.search_combined(index, embed, "a", []), lambda: search.search_weighted_descriptors(index, embed, [])):
+    assert search.search_weighted_descriptors(index, embed, search.Terms(["bb"])).count() == 5
+    for wrong in (lambda: search.search_summary(index, embed, ""), lambda: search.search_combined(index, embed, "a", search.Terms([])), lambda: search.search_weighted_descriptors(index, embed, search.Terms([]))):
         with pytest.raises(ValueError):
             wrong()
     assert search.book_filter("") is None

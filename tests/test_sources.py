@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import paragraphs
+from quire.operators import enrich, gates, paragraphs
 from quire.plans import flow
 from quire.sources import archive, catalog, tables
+from quire.sources.tables import written
 from quire.streaming import ingest
 
 PAGE = """<html><head><meta name="dc.rights" content=" Public domain in the USA. "></head><body><!-- gone -->
@@ -109,14 +110,16 @@ def test_read_through(spark, tmp_path):
 
 def test_json_files(spark, tmp_path):
     (tmp_path / "pg5-s.json").write_text('[{"scene_id": "5-0"}]')
-    (tmp_path / "bad.json").write_text("{oops")
+    (tmp_path / "pgbad-s.json").write_text("{oops")
+    (tmp_path / "other.json").write_text('{"scene_id": "no"}')
     rows = {r.book_id: r for r in tables.scene_files(spark, str(tmp_path), "scene_id string").collect()}
-    assert rows["5"].scene_id == "5-0" and rows["bad"].scene_id is None
+    assert rows["5"].scene_id == "5-0" and rows["bad"].scene_id is None and len(rows) == 2
     assert tables.scene_files(spark, str(tmp_path), "scene_id string", ["5"]).count() == 1
     path = str(tmp_path / "d" / "x.json")
     tables.write_small({"é": 1}, path)
     assert tables.read_small(path) == {"é": 1} and "é" in open(path, encoding="utf-8").read()
-    assert tables.read_small(str(tmp_path / "bad.json"), 0) == 0 and tables.read_small(str(tmp_path / "none")) is None
+    assert tables.read_text(str(tmp_path / "pgbad-s.json")) == "{oops" and tables.read_text(str(tmp_path / "no"), "d") == "d"
+    assert tables.read_small(str(tmp_path / "pgbad-s.json"), 0) == 0 and tables.read_small(str(tmp_path / "none")) is None
     tables.write_json(spark.createDataFrame([("a", None), ("b", 1)], "book_id string, n int"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     status = spark.createDataFrame([("a", "open")], "book_id string, status string")
@@ -144,7 +147,7 @@ def test_the_whole_flow(spark, tmp_path):
     numbered = store(flow.to_paragraphs(pages), "paragraphs")
     records, excluded = flow.to_scenes(numbered, meta, rights, labeller, store)
     got = records.orderBy("scene_id").collect()
-    assert {r.book_id for r in got} == {"11"} and [(r.book_id, r.reason) for r in excluded.collect()] == [("12", "subjects")]
+    assert {r.book_id for r in got} == {"11"} and [(r.book_id, r.reason, r.detail) for r in excluded.collect()] == [("12", "subjects", "Plays")]
     assert got[0].start_paragraph_index == 0 and sum(r.word_count for r in got) >= 200 * 51
     assert paragraphs.chunks(numbered.where("book_id = '11'")).count() == 2
     mirror, index = flow.to_index(records, enricher, embed, "stub", store)
@@ -155,10 +158,89 @@ def test_the_whole_flow(spark, tmp_path):
         assert rows.count() == len(got) and fresh.count() == n
 
 
+def test_answers_are_checked_kept_and_asked_for_again(spark, tmp_path):
+    """A labeller that skips paragraphs is asked again; what it never gets right is reported and asked for in the next run."""
+    body = "".join(f"<p>{'word ' * 50}{i}</p>" for i in range(300))
+    pages = spark.createDataFrame([(b, f"<body>{body}</body>") for b in ("11", "12")], "book_id string, html string")
+    schema = "ID string, Link string, Author string, Translator string, Title string, Subjects array<string>, Date string, Language string"
+    meta = spark.createDataFrame([(i, "l", "A", None, "T", ["x"], None, "en") for i in ("11", "12", "13")], schema)
+    rights = spark.createDataFrame([(i, "Public domain in the USA." if i != "13" else "other") for i in ("11", "12", "13")], "book_id string, rights string")
+    numbered = written(flow.to_paragraphs(pages), str(tmp_path / "paragraphs"))
+    folder, log = str(tmp_path / "store"), str(tmp_path / "log")
+
+    def spoken(fails):
+        def model(payload, notes, warmth):
+            with open(log, "a") as f:
+                f.write("x\n")
+            answer = json.loads(labeller(payload, notes, warmth))
+            first = answer["scenes_data"][0]
+            if fails and first["start_paragraph_index"] == 0:
+                return "{broken"
+            if not notes:  # one paragraph short at first
+                first["end_paragraph_index"] -= 1
+            return json.dumps(answer)
+
+        return model
+
+    hooked = flow.answered
+    flow.answered = lambda rows, model, kind, check: hooked(rows, model, kind, check, attempts=3)
+    try:
+        records, excluded = flow.to_scenes(numbered, meta, rights, spoken(True), tables.Store(folder, every=2))
+        assert records.count() == 0
+        assert {(r.book_id, r.reason) for r in excluded.collect()} == {("11", "unlabelled"), ("12", "unlabelled"), ("13", "rights")}
+        calls = len(open(log).readlines())
+        records, excluded = flow.to_scenes(numbered, meta, rights, spoken(False), tables.Store(folder, every=2))
+    finally:
+        flow.answered = hooked
+    covered = {(r.book_id, i) for r in records.collect() for i in range(r.start_paragraph_index, r.end_paragraph_index + 1)}
+    assert covered == {(b, i) for b in ("11", "12") for i in range(300)}
+    assert len(open(log).readlines()) - calls == 4  # the two chunks that had failed, each told once what was missing
+    assert ("13", "rights") in {(r.book_id, r.reason) for r in excluded.collect()}
+    again, _ = flow.to_scenes(numbered, meta, rights, spoken(True), tables.Store(folder), done=records.select("book_id").distinct())
+    assert again.count() == records.count()
+    status = tables.marked(spark.createDataFrame([], "book_id string, status string"), records)
+    cleared, marks, n = flow.reset_books(records, status, tables.Store(folder), "tone", books=["11"])
+    assert cleared.count() == records.count() and n == records.where("book_id = '11'").count() and [r.book_id for r in marks.collect()] == ["12"]
+
+
+def test_checks_of_answers():
+    payload = json.dumps({"indexed_paragraphs": [{"index": i} for i in (3, 4, 5)]})
+    told = lambda *spans: json.dumps({"scenes_data": [{"start_paragraph_index": a, "end_paragraph_index": b} for a, b in spans]})
+    assert gates.uncovered(payload, told((3, 4), (5, 5))) is None
+    assert "left out: [4]" in gates.uncovered(payload, told((3, 3), (5, 5)))
+    assert "not given: [6]" in gates.uncovered(payload, told((3, 6))) and "more than one range: [4]" in gates.uncovered(payload, told((3, 4), (4, 5)))
+    assert gates.uncovered(payload, "[]") and gates.uncovered(payload, "{") and gates.uncovered(payload, told((3, 10**12)))
+    scenes = json.dumps({"scenes": [{"index": 0}]})
+    good = {"index": 0, "dominant_tone": "joy", "intensity": "low", "arc": "turn", "descriptors": list("abcde"), "summary": "s"}
+    assert enrich.unfit(scenes, json.dumps({"items": [good]})) is None
+    for change in ({"index": 1}, {"arc": "up"}, {"descriptors": ["a"]}, {"summary": " "}, {"dominant_tone": None}, {"descriptors": None}):
+        assert enrich.unfit(scenes, json.dumps({"items": [good | change]}))
+    assert enrich.unfit(scenes, json.dumps({"items": [good, good]})) and enrich.unfit(scenes, "")
+
+
+def test_invalid_facets_are_named(spark):
+    def model(payload, notes, warmth):
+        return json.dumps({"items": [{"index": s["index"], "dominant_tone": "joy" if s["index"] else "odd", "intensity": "low", "arc": "turn", "descriptors": list("abcde"), "summary": "s"} for s in json.loads(payload)["scenes"]]})
+
+    rows = [("1", 1, i, f"1-{i}", "t", None, "<p>x</p>") for i in range(3)]
+    batches = spark.createDataFrame(rows, "book_id string, batch int, index int, scene_id string, scene_title string, chapter_title string, text_html string")
+    found = {r.scene_id: r for r in enrich.ask(batches, model, None).collect()}
+    assert found["1-0"].failure == "facets out of vocabulary" and found["1-0"].arc is None and found["1-1"].dominant_tone == "joy" and found["1-1"].failure is None
+    refused = enrich.ask(batches, model, attempts=2).collect()
+    assert len(refused) == 3 and all("dominant_tone" in r.failure and r.summary is None for r in refused)
+    mute = enrich.ask(batches, lambda *a: "no", None).collect()
+    assert all(r.failure == "the answer is not of the agreed form" for r in mute)
+
+
 def test_stream_upserts(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "table")
-    for batch in ([("a", 1, 1), ("b", 1, 1)], [("a", 3, 2), ("a", 2, 9), ("c", 1, 1)]):
+    batches = [[("a", 1, 1), ("b", 1, 1)], [("a", 3, 2), ("a", 2, 9), ("c", 1, 1)], [("a", 1, 7), ("d", 1, 1)]]  # the last a is late
+    for batch in batches:
         spark.createDataFrame(batch, "k string, ts int, v int").coalesce(1).write.mode("append").parquet(source)
-        ingest.start(spark, source, "k string, ts int, v int", path, str(tmp_path / "mark"), ["k"], ["ts"]).awaitTermination()
-    last = spark.read.parquet(f"{path}/v1")
-    assert sorted((r.k, r.v) for r in last.collect()) == [("a", 2), ("b", 1), ("c", 1)]
+        for _ in range(2):  # a second start finds nothing new
+            ingest.start(spark, source, "k string, ts int, v int", path, str(tmp_path / "mark"), ["k"], ["ts"]).awaitTermination()
+    wanted = [("a", 2), ("b", 1), ("c", 1), ("d", 1)]
+    read = lambda: sorted((r.k, r.v) for r in ingest.table(spark, path, "k string, ts int, v int").collect())
+    assert read() == wanted
+    ingest.upsert_into(path, ["k"], ["ts"])(spark.createDataFrame(batches[2], "k string, ts int, v int"), 2)  # the same batch again
+    assert read() == wanted
