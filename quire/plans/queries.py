@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
@@ -47,6 +47,8 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.dense_neighbor_tones(scenes.linked(turns, "pos"))
 
 
+WHITE = r"[\s\v\x{85}\p{Z}\x{1c}-\x{1f}]"
+WHITE_ENDS = f"^{WHITE}+|{WHITE}+$"
 LINES = """lines as (select cast(doc_id as varchar) as book_id, unnest(p) as text, unnest(range(len(p))) as para
   from (select doc_id, string_split(text, chr(10)) as p from documents)),
 paras as (select book_id, text, row_number() over (partition by book_id order by para) - 1 as idx from lines where text <> '')"""
@@ -130,21 +132,23 @@ def batch_scenes(spark, sf_dir):
 
 
 def _ranges(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(
-        F.col("source").alias("book_id"),
-        F.col("doc_id").alias("ord"),
-        (F.col("doc_id") % 7).alias("start_paragraph_index"),
-        (F.col("doc_id") % 7 + F.col("n_chars") % 5).alias("end_paragraph_index"),
-        (F.col("n_chars") % 2 == 0).alias("open_start_index"),
-        (F.col("doc_id") % 3 != 0).alias("open_end_index"),
-        F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"),
-        F.when(F.col("doc_id") % 11 == 0, "noise").otherwise("scene").alias("paragraph_type"),
-        F.when(F.col("doc_id") % 4 == 0, "other").otherwise("prose").alias("content_form"),
+    """A labelled range for every paragraph of a document, some of them open at their ends, some noise."""
+    n = F.length("text")
+    return _paragraphs(spark, sf_dir).select(
+        "book_id",
+        F.col("idx").alias("ord"),
+        F.col("idx").cast("long").alias("start_paragraph_index"),
+        (F.col("idx") + n % 3).cast("long").alias("end_paragraph_index"),
+        (n % 2 == 0).alias("open_start_index"),
+        (F.col("idx") % 3 != 0).alias("open_end_index"),
+        F.concat(F.lit("t"), F.col("idx").cast("string")).alias("title"),
+        F.when((F.col("idx") + n) % 11 == 0, "noise").otherwise("scene").alias("paragraph_type"),
+        F.when(F.col("idx") % 4 == 0, "other").otherwise("prose").alias("content_form"),
     )
 
 
-RANGES = """ranges as (select source as book_id, doc_id as ord, doc_id % 7 as s, doc_id % 7 + n_chars % 5 as e,
-  n_chars % 2 = 0 as os, doc_id % 3 <> 0 as oe, 't' || doc_id as title, doc_id % 11 = 0 as noise, doc_id % 4 = 0 as other from documents)"""
+RANGES = f"""{LINES}, ranges as (select book_id, idx as ord, idx as s, idx + length(text) % 3 as e,
+  length(text) % 2 = 0 as os, idx % 3 <> 0 as oe, 't' || idx as title, (idx + length(text)) % 11 = 0 as noise, idx % 4 = 0 as other from paras)"""
 STITCHED = f"""{RANGES}, firsts as (select *, case when os and coalesce(lag(oe) over w, false) then 0 else 1 end as f from ranges
   where not noise window w as (partition by book_id order by ord)),
 grouped as (select *, sum(f) over (partition by book_id order by ord) as g from firsts),
@@ -160,18 +164,15 @@ def stitch_scenes(spark, sf_dir):
     return made.select("book_id", F.col("scene").cast("long").alias("scene"), "start", "end", "title", "stitch_status")
 
 
-@query(f"""with {STITCHED}, {LINES.replace("cast(doc_id as varchar) as book_id", "source as book_id, doc_id").replace("select doc_id, string_split", "select source, doc_id, string_split").replace("partition by book_id order by para", "partition by book_id order by doc_id, para")},
+@query(f"""with {STITCHED},
 wanted as (select book_id, scene, unnest(range(s, e + 1)) as idx from stitched),
-texts as (select w.book_id, w.scene, '<p>' || string_agg(trim(p.text), '</p><p>' order by w.idx) || '</p>' as html
+texts as (select w.book_id, w.scene, '<p>' || string_agg(regexp_replace(p.text, '{WHITE_ENDS}', '', 'g'), '</p><p>' order by w.idx) || '</p>' as html
   from wanted w join paras p on p.book_id = w.book_id and p.idx = w.idx group by 1, 2),
 whole as (select s.book_id, s.scene, coalesce(t.html, '<p></p>') as html from stitched s left join texts t on t.book_id = s.book_id and t.scene = s.scene)
 select book_id, cast(scene as bigint) as scene, md5(html) as html_md5,
-  cast(len(list_filter(string_split(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' '), lambda x: x <> '')) as bigint) as word_count from whole""")
+  cast(len(list_filter(string_split(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{WHITE}+', ' ', 'g'), ' '), lambda x: x <> '')) as bigint) as word_count from whole""")
 def scene_text_range_join(spark, sf_dir):
-    lines = _t(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("para", "text"))
-    book = Window.partitionBy("source").orderBy("doc_id", "para")
-    numbered = lines.where("text <> ''").select(F.col("source").alias("book_id"), (F.row_number().over(book) - 1).alias("idx"), "text")
-    made = scenes.scene_text(scenes.stitched(scenes.without_noise(_ranges(spark, sf_dir))), numbered)
+    made = scenes.scene_text(scenes.stitched(scenes.without_noise(_ranges(spark, sf_dir))), _paragraphs(spark, sf_dir))
     return made.select("book_id", F.col("scene").cast("long").alias("scene"), F.md5("text_html").alias("html_md5"), "word_count")
 
 
@@ -201,9 +202,11 @@ def facet_in_filter(spark, sf_dir):
     return relational.find(_scenes(spark, sf_dir), order=False, dominant_tone=["user", "system"]).select("scene_id", "dominant_tone")
 
 
-@query(f"with {SCENES} select scene_id, dominant_tone from scenes where false")
+@query(f"with {SCENES} select book_id, cast(count(*) as bigint) as n, cast(0 as bigint) as n_met from scenes group by 1")
 def facet_empty_in(spark, sf_dir):
-    return relational.find(_scenes(spark, sf_dir), order=False, dominant_tone=[]).select("scene_id", "dominant_tone")
+    """Per book, the scenes and those that an empty list of tones lets through: none."""
+    met = F.count_if(relational.condition({"dominant_tone": []})).alias("n_met")
+    return _scenes(spark, sf_dir).groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), met)
 
 
 @query(f"with {SCENES} select scene_id, book_id, pos from scenes order by book_id, pos, scene_id limit 25")
@@ -245,7 +248,7 @@ def tally_with_null(spark, sf_dir):
 
 @query(f"""with {RANGES}, covered as (select book_id, unnest(range(s, e + 1)) as idx from ranges),
 counts as (select book_id, idx, count(*) as times from covered group by 1, 2),
-wanted as (select distinct source as book_id, unnest(range(0, 10)) as idx from documents),
+wanted as (select book_id, idx from paras),
 both_ as (select coalesce(w.book_id, c.book_id) as book_id, coalesce(w.idx, c.idx) as idx, w.idx is null as extra, c.idx is null as missing, c.times
   from wanted w full join counts c on c.book_id = w.book_id and c.idx = w.idx)
 select book_id, coalesce(string_agg(cast(idx as varchar), ',' order by idx) filter (missing), '') as missing,
@@ -254,8 +257,7 @@ select book_id, coalesce(string_agg(cast(idx as varchar), ',' order by idx) filt
   not (bool_or(missing) or bool_or(extra) or bool_or(coalesce(times > 1, false))) as valid from both_ group by 1""")
 def coverage_check(spark, sf_dir):
     ranges = _ranges(spark, sf_dir).select("book_id", F.col("start_paragraph_index").alias("start"), F.col("end_paragraph_index").alias("end"))
-    wanted = ranges.select("book_id").distinct().select("book_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("idx"))
-    found = gates.coverage(wanted, ranges, "book_id")
+    found = gates.coverage(_paragraphs(spark, sf_dir).select("book_id", "idx"), ranges, "book_id")
     return found.select("book_id", *[F.array_join(c, ",").alias(c) for c in ("missing", "extra", "repeated")], "valid")
 
 
@@ -267,12 +269,18 @@ def noise_other_gate(spark, sf_dir):
     return gates.share_of_other(_ranges(spark, sf_dir)).withColumn("other_share", F.round("other_share", 6))
 
 
-@query("""select doc_id, case when lang <> 'en' then 'rights' when regexp_matches(lower(source || ' ' || substr(text, 1, 40)), 'poems|poetry|plays|drama') then 'subjects' end as reason from documents""")
+@query("""with b as (select doc_id, lang, lower(concat_ws(' ', source, text)) as subject from documents)
+select doc_id, case when coalesce(lang, '') <> 'en' then 'rights' when regexp_matches(subject, 'poems|poetry|plays|drama') then 'subjects' end as reason,
+  case when coalesce(lang, '') <> 'en' then coalesce('in ' || lang, 'none stated') when regexp_matches(subject, 'poems|poetry|plays|drama') then md5(subject) end as detail from b""")
 def book_gate(spark, sf_dir):
+    """Documents as books: English ones have the rights, and the whole text is their subject."""
     docs = _t(spark, sf_dir, "documents")
-    rights = F.when(F.col("lang") == "en", F.lit("Public domain in the USA."))
-    subjects = F.array(F.concat_ws(" ", "source", F.substring("text", 1, 40)))
-    return docs.select("doc_id", gates.book_gate(rights, subjects).alias("reason"))
+    rights = F.when(F.col("lang") == "en", F.lit("Public domain in the USA.")).otherwise(F.concat(F.lit("in "), F.col("lang")))
+    subjects = F.array(F.lower(F.concat_ws(" ", "source", "text")))
+    told = docs.select("doc_id", rights.alias("rights"), subjects.alias("subjects"))
+    told = told.withColumn("reason", gates.book_gate(F.col("rights"), F.col("subjects")))
+    detail = gates.gate_detail(F.col("reason"), F.col("rights"), F.col("subjects"))
+    return told.select("doc_id", "reason", F.when(F.col("reason") == "subjects", F.md5(detail)).otherwise(detail).alias("detail"))
 
 
 @query("""select page_id, case when regexp_matches(html, '(?i)name="dc\\.rights"\\s+content="([^"]*)"') then trim(regexp_extract(html, '(?i)name="dc\\.rights"\\s+content="([^"]*)"', 1)) end as rights from pages""")
@@ -314,9 +322,10 @@ def summary_normalise(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.summary(F.col("text"))).alias("summary_md5"))
 
 
-@query("""select doc_id, md5(array_to_string(list_filter([lower(trim(x)) for x in string_split(text, '.')], lambda x: x <> ''), '|')) as terms_md5 from documents where not regexp_matches(text, '[\\t\\r\\n]')""")
+@query(f"""select doc_id, md5(array_to_string(list_filter([lower(regexp_replace(x, '{WHITE_ENDS}', '', 'g')) for x in string_split(text, '.')], lambda x: x <> ''), '|')) as terms_md5 from documents""")
 def descriptor_normalise(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("not text rlike '[\\\\t\\\\r\\\\n]'")
+    """The sentences of every text as its descriptors."""
+    docs = _t(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(F.array_join(text.descriptors(F.split("text", "[.]")), "|")).alias("terms_md5"))
 
 
@@ -335,14 +344,13 @@ def upsert_latest(spark, sf_dir):
 
 @query("select user_id, event_type, arg_max(event_id, struct_pack(ts := ts, e := event_id)) as event_id from events group by 1, 2")
 def stream_upsert(spark, sf_dir):
-    """The same as a file stream: each micro-batch is merged into the table of the one before it."""
-    path = tables.scratch(spark, "stream")
-    schema = _t(spark, sf_dir, "events").schema
-    keys = ["user_id", "event_type"]
-    stream = ingest.start(spark, f"{sf_dir}/event[s].parquet", schema, path, f"{path}/marks", keys, ["ts", "event_id"])
+    """The same from a stream of four files, a micro-batch each, whose times overlap: rows that come late change nothing."""
+    path, arriving = tables.scratch(spark, "stream"), tables.scratch(spark, "arriving")
+    events, keys = _t(spark, sf_dir, "events"), ["user_id", "event_type"]
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(arriving)
+    stream = ingest.start(spark, arriving, events.schema, path, f"{path}-marks", keys, ["ts", "event_id"], files_per_batch=1)
     stream.awaitTermination()
-    last = max(p["batchId"] for p in stream.recentProgress if p["numInputRows"])
-    return spark.read.schema(schema).parquet(f"{path}/v{last}").select(*keys, "event_id")
+    return ingest.table(spark, path, events.schema).select(*keys, "event_id")
 
 
 @query("""select user_id, event_type, arg_max(event_id, event_id) as event_id from events group by 1, 2""")
@@ -398,11 +406,14 @@ def mirror_rows(spark, sf_dir):
     return relational.mirror(_records(spark, sf_dir)).select(*columns)
 
 
-@query(f"""with {SCENES} select scene_id, book_id, pos, case when pos % 2 = 0 then 2 else 1 end as version from scenes where pos % 2 = 0 or pos % 3 <> 0""")
+@query(f"""with {SCENES} select case when pos % 3 = 0 then scene_id || 'x' else scene_id end as scene_id, book_id, pos,
+  case when pos % 3 = 0 then 3 when pos % 2 = 0 then 2 else 1 end as version from scenes""")
 def upsert_two_keys(spark, sf_dir):
+    """All scenes, then every second one anew, then every third place taken over by another id."""
     rows = _scenes(spark, sf_dir).select("scene_id", "book_id", "pos")
-    old = rows.where("pos % 3 <> 0").withColumn("version", F.lit(1))
-    return upsert.replaced(old, rows.where("pos % 2 = 0").withColumn("version", F.lit(2)), ["version"])
+    second = rows.where("pos % 2 = 0").withColumn("version", F.lit(2))
+    third = rows.where("pos % 3 = 0").withColumn("scene_id", F.concat("scene_id", F.lit("x"))).withColumn("version", F.lit(3))
+    return upsert.replaced(rows.withColumn("version", F.lit(1)), second.union(third), ["version"])
 
 
 @query(f"""with {SCENES}, f as (select *, case when pos % 2 = 0 then dominant_tone end as tone from scenes)
@@ -421,81 +432,94 @@ def enrichment_applied(spark, sf_dir):
     return made.select("scene_id", "dominant_tone", "prev_tone", "next_tone", "enriched", "enrich_model")
 
 
-# -- vectors: embeddings stand for summaries, reversed ones for descriptors; rows 3, 7, 11 and 20 give the queries
+# -- vectors: embeddings stand for summaries, reversed ones for descriptors; every row whose id is divisible by 20 is a query
 
 
-def _vectors(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("scene_id"),
-        F.col("label").cast("string").alias("book_id"),
-        F.col("embedding").alias("summary_vec"),
-        F.reverse("embedding").alias("descriptors_vec"),
-    )
+def _vectors(spark, sf_dir, vector: str, where: str = "true"):
+    return _t(spark, sf_dir, "embeddings").where(where).select(F.col("vec_id").alias("row"), F.expr(vector).alias("v"))
 
 
-def _terms(spark, sf_dir, ids: list[int]) -> list[list[float]]:
-    """Vectors of a few named rows, as an embedder would give them for query terms."""
-    found = _t(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
-    by_id = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in found}
-    return [by_id[i] for i in ids]
+def _queries(spark, sf_dir, parts: list[tuple[int, float]], vector: str = "embedding"):
+    """Of each query row, the unit sum of its vector and those of rows after it, by weight; a row that is not there counts as the query's own."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.expr(vector).alias("v"))
+    found = rows.where("id % 20 = 0").withColumnsRenamed({"id": "query", "v": "v0"})
+    for step, _ in parts:
+        if step:
+            found = found.join(rows.select((F.col("id") - step).alias("query"), F.col("v").alias(f"v{step}")), "query", "left")
+    own = [(F.coalesce(f"v{step}", "v0"), weight) for step, weight in parts]
+    return found.select("query", vectors.mixed(own).alias("v"))
 
 
-VECTORS = """v as (select vec_id as scene_id, cast(label as varchar) as book_id, cast(embedding as double[]) as sv, list_reverse(cast(embedding as double[])) as dv from embeddings),
-unit as (select scene_id, list_transform(sv, lambda x: x / sqrt(list_sum(list_transform(sv, lambda y: y * y)))) as u from v)"""
-POS = "list_transform(list_zip(a.u, b.u), lambda z: 0.7 * z[1] + 0.3 * z[2])"
-SIZE = "sqrt(list_sum(list_transform({0}, lambda y: y * y)))"
-QUERY = f"""p0 as (select {POS} as p from unit a, unit b where a.scene_id = 3 and b.scene_id = 11),
-p as (select list_transform(p, lambda x: x / {SIZE.format("p")}) as p from p0)"""
-ANTI = f"""{QUERY}, q0 as (select list_transform(list_zip(p.p, n.u), lambda z: z[1] - 0.5 * z[2]) as q from p, unit n where n.scene_id = 20),
-q as (select list_transform(q, lambda x: x / {SIZE.format("q")}) as q from q0)"""
+def _nearest(spark, sf_dir, rows, queries, k):
+    counts = _t(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    return search.knn_each(rows, queries, k, counts[0], counts[0] // 20 + 1, counts[1])
+
+
+def _hits(found):
+    return found.select("query", F.col("row").alias("scene_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"with {VECTORS}, s as (select v.scene_id, list_cosine_similarity(v.sv, u.u) as score from v, unit u where u.scene_id = 7) select scene_id, round(score, 6) as score from s order by s.score desc, scene_id limit 10")
+SIZE = "sqrt(list_sum(list_transform({0}, lambda y: y * y)))"
+VECTORS = f"""v as (select vec_id as id, label, cast(embedding as double[]) as sv, list_reverse(cast(embedding as double[])) as dv from embeddings),
+unit as (select id, list_transform(sv, lambda x: x / {SIZE.format("sv")}) as u from v),
+near as (select q.id as query, q.u as u0, coalesce(a.u, q.u) as u1, coalesce(b.u, q.u) as u2 from unit q
+  left join unit a on a.id = q.id + 1 left join unit b on b.id = q.id + 2 where q.id % 20 = 0),
+q0 as (select query, u0 as q from near),
+mix as (select query, list_transform(list_zip(u0, u1), lambda z: 0.7 * z[1] + 0.3 * z[2]) as m from near),
+away as (select query, list_transform(list_zip(u0, u1, u2), lambda z: 0.7 * z[1] + 0.3 * z[2] - 0.5 * z[3]) as m from near)"""
+BEST = """s as (select query, v.id as scene_id, round(list_cosine_similarity(v.{vector}, {direction}), 9) as score from v, {queries} {where}),
+best as (select query, scene_id, score from s qualify row_number() over (partition by query order by score desc, scene_id) <= {k})"""
+RERANKED = """two as (select best.query, best.scene_id, round(0.7 * best.score + 0.3 * list_cosine_similarity(v.dv, d.{direction}), 9) as score
+  from best join v on v.id = best.scene_id join {queries} d on d.query = best.query),
+final as (select query, scene_id, score from two qualify row_number() over (partition by query order by score desc, scene_id) <= 5)"""
+REVERSED = "reverse(embedding)"
+
+
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='', k=10)} select query, scene_id, round(score, 6) as score from best")
 def knn_cosine(spark, sf_dir):
-    return _hits(search.knn(_vectors(spark, sf_dir), _terms(spark, sf_dir, [7])[0], 10))
+    return _hits(_nearest(spark, sf_dir, _vectors(spark, sf_dir, "embedding"), _queries(spark, sf_dir, [(0, 1.0)]), 10))
 
 
-@query(f"with {VECTORS}, s as (select v.scene_id, list_cosine_similarity(v.sv, u.u) as score from v, unit u where u.scene_id = 7 and v.book_id = '4') select scene_id, round(score, 6) as score from s order by s.score desc, scene_id limit 10")
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='where v.label = 4', k=10)} select query, scene_id, round(score, 6) as score from best")
 def knn_filtered(spark, sf_dir):
-    return _hits(search.knn(_vectors(spark, sf_dir), _terms(spark, sf_dir, [7])[0], 10, where=search.book_filter("4")))
+    """The same within one book, which is the fourth label."""
+    return _hits(_nearest(spark, sf_dir, _vectors(spark, sf_dir, "embedding", "label = 4"), _queries(spark, sf_dir, [(0, 1.0)]), 10))
 
 
-@query(f"""with {VECTORS}, pool as (select v.scene_id, v.dv, list_cosine_similarity(v.sv, u.u) as s from v, unit u where u.scene_id = 7 order by 3 desc, 1 limit 50),
-r as (select pool.scene_id, 0.7 * s + 0.3 * list_cosine_similarity(pool.dv, u.u) as score from pool, unit u where u.scene_id = 11)
-select scene_id, round(score, 6) as score from r order by r.score desc, scene_id limit 5""")
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='', k=50)}, {RERANKED.format(direction='q', queries='q0')} select query, scene_id, round(score, 6) as score from final")
 def rerank_pool(spark, sf_dir):
-    a, b = _terms(spark, sf_dir, [7, 11])
-    return _hits(search.reranked(_vectors(spark, sf_dir), a, b, 5))
+    queries = _queries(spark, sf_dir, [(0, 1.0)])
+    pool = _nearest(spark, sf_dir, _vectors(spark, sf_dir, "embedding"), queries, search.pool_size(5))
+    return _hits(search.reranked_each(pool, _vectors(spark, sf_dir, REVERSED), queries, 5))
 
 
-@query(f"with {VECTORS}, {QUERY}, s as (select v.scene_id, list_cosine_similarity(v.dv, p.p) as score from v, p) select scene_id, round(score, 6) as score from s order by s.score desc, scene_id limit 10")
+@query(f"with {VECTORS}, {BEST.format(vector='dv', direction='m', queries='mix', where='', k=10)} select query, scene_id, round(score, 6) as score from best")
 def weighted_centroid(spark, sf_dir):
-    q = vectors.tilted(_terms(spark, sf_dir, [3, 11]), [0.7, 0.3])
-    return _hits(search.knn(_vectors(spark, sf_dir), q, 10, "descriptors_vec"))
+    queries = _queries(spark, sf_dir, [(0, 0.7), (1, 0.3)])
+    return _hits(_nearest(spark, sf_dir, _vectors(spark, sf_dir, REVERSED), queries, 10))
 
 
-@query(f"with {VECTORS}, {ANTI}, s as (select v.scene_id, list_cosine_similarity(v.dv, q.q) as score from v, q) select scene_id, round(score, 6) as score from s order by s.score desc, scene_id limit 10")
+@query(f"with {VECTORS}, {BEST.format(vector='dv', direction='m', queries='away', where='', k=10)} select query, scene_id, round(score, 6) as score from best")
 def weighted_anti(spark, sf_dir):
-    q = vectors.tilted(_terms(spark, sf_dir, [3, 11]), [0.7, 0.3], _terms(spark, sf_dir, [20]), [1.0], 0.5)
-    return _hits(search.knn(_vectors(spark, sf_dir), q, 10, "descriptors_vec"))
+    queries = _queries(spark, sf_dir, [(0, 0.7), (1, 0.3), (2, -0.5)])
+    return _hits(_nearest(spark, sf_dir, _vectors(spark, sf_dir, REVERSED), queries, 10))
 
 
-@query(f"""with {VECTORS}, {ANTI}, pool as (select v.scene_id, v.dv, list_cosine_similarity(v.sv, u.u) as s from v, unit u where u.scene_id = 7 order by 3 desc, 1 limit 50),
-r as (select pool.scene_id, 0.7 * s + 0.3 * list_cosine_similarity(pool.dv, q.q) as score from pool, q)
-select scene_id, round(score, 6) as score from r order by r.score desc, scene_id limit 5""")
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='', k=50)}, {RERANKED.format(direction='m', queries='away')} select query, scene_id, round(score, 6) as score from final")
 def combined_search(spark, sf_dir):
-    q = vectors.tilted(_terms(spark, sf_dir, [3, 11]), [0.7, 0.3], _terms(spark, sf_dir, [20]), [1.0], 0.5)
-    return _hits(search.reranked(_vectors(spark, sf_dir), _terms(spark, sf_dir, [7])[0], q, 5))
+    pool = _nearest(spark, sf_dir, _vectors(spark, sf_dir, "embedding"), _queries(spark, sf_dir, [(0, 1.0)]), search.pool_size(5))
+    terms = _queries(spark, sf_dir, [(0, 0.7), (1, 0.3), (2, -0.5)])
+    return _hits(search.reranked_each(pool, _vectors(spark, sf_dir, REVERSED), terms, 5))
 
 
-@query(f"with {SCENES}, l as (select vec_id, label from embeddings) select s.scene_id, l.vec_id from scenes s join l on l.vec_id = cast(s.book_id as bigint) where s.pos = 0")
+@query(f"""with {SCENES} select s.scene_id, e.vec_id, len(e.embedding) as dim,
+  round(sqrt(list_sum(list_transform(cast(e.embedding as double[]), lambda x: x * x))), 6) as norm
+from scenes s join embeddings e on e.vec_id = cast(s.book_id as bigint)""")
 def vectors_with_rows(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("book_id"))
-    return _scenes(spark, sf_dir).where("pos = 0").join(rows, "book_id").select("scene_id", "vec_id")
-
-
-def _hits(found):
-    return found.select("scene_id", F.round("score", 6).alias("score"))
+    """Every scene with its book's vector, by its length."""
+    rows = _t(spark, sf_dir, "embeddings")
+    rows = rows.select("vec_id", F.col("vec_id").cast("string").alias("book_id"), F.size("embedding").cast("long").alias("dim"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+    return _scenes(spark, sf_dir).join(rows, "book_id").select("scene_id", "vec_id", "dim", "norm")
 
 
 def flagship(spark, sf_dir):
