@@ -11,11 +11,23 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir`` (a local one where that is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a local one only where master and executors are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="quire-")
     return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores as it takes to be no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sets the session's Arrow batches to ``rows``: texts differ in length by orders of magnitude, workers' memory doesn't."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -33,11 +45,12 @@ def tidy(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders ``by`` a column, and read it back: that cuts its lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)
     with tidy(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,10 +9,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import save, text_key
+from quire.llm.common import fresh, save, text_key
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 100  # bytes of an anchor
@@ -20,10 +21,14 @@ WORD_GRAM = 12  # words of an anchor
 STEP = 1 << 19  # window starts that are looked at together
 CELL = 16
 FLUSH = 50_000  # rows that a task holds before it passes them on
+BUCKET = 300_000  # suffixes that one task sorts
 LOW = (1 << 21) - 1
 BASE = 0x9E3779B97F4A7C15
-RUN = "core long, full long, uid binary, runs array<long>"
-SUFFIX = "w0 long, w1 long, w2 long, w3 long, uid binary, pos long"
+CORE = ["w0", "w1", "core"]  # two leading tokens of 8 bytes, and a digest of all that the windows of a suffix share
+KEYS = [*CORE, "f0", "f1"]  # and 128 bits for all that they cover
+SUFFIX = "w0 long, w1 long, core long, f0 long, f1 long, num long, run long, more array<long>"
+BY_WORD = 1 << 62  # in a run: it is of words, not of bytes
+BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\f\x0b", np.uint8))
 
 
 @lru_cache(maxsize=4)
@@ -43,10 +48,18 @@ class Words:
     """A text as a sequence of words, which end at ASCII white space: it is sliced by words, to their 64-bit digests as bytes."""
 
     def __init__(self, data: bytes):
-        blank = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\f\x0b", np.uint8))
-        turns = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+        codes = np.frombuffer(data, np.uint8)
+        turns = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[codes], [True]]).astype(np.int8)))
         self.starts, self.ends = turns[::2], turns[1::2]
-        self.values = np.array([xxhash.xxh64_intdigest(w, 42) for w in data.split()], np.uint64)
+        self.values = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):  # blocks of words, so that a very long text needs no tables of its own length
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + STEP, side="right")))
+            origin = int(self.starts[at])
+            sums, down = _sums(_values()[codes[origin : self.ends[to - 1]]])
+            begin, end = self.starts[at:to] - origin, self.ends[at:to] - origin
+            self.values[at:to] = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+            at = to
         self.digests = self.values.tobytes()
 
     def __len__(self) -> int:
@@ -60,18 +73,26 @@ class Words:
         return [(int(self.starts[a]), int(self.ends[b - 1])) for a, b in found]
 
 
-def _grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``gram`` bytes, or of words given by their digests."""
-    up, down = _powers(1 << (len(data) - 1).bit_length() if len(data) > 1 else 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    values = data if data.dtype == np.uint64 else _values()[data]
-    np.cumsum(values * up[: len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
-    h ^= h >> np.uint64(29)
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial in ``BASE``, and what shifts a difference of two of them to place 0."""
+    up, down = _powers(1 << (len(values) - 1).bit_length() if len(values) > 1 else 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums, down
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``gram`` bytes, or of words given by their digests."""
+    sums, down = _sums(data if data.dtype == np.uint64 else _values()[data])
+    return _mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+
+
 def anchor_blocks(data: bytes | Words, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Rows ``first, last, anchor, hash``: runs of window starts whose window has its least gram hash at one place.
 
@@ -108,22 +129,25 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     return np.concatenate([np.empty((0, 4), np.int64), *anchor_blocks(data, length, gram)])
 
 
-def _number(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
-
-
 def _pack(first, last, anchor):
     """Window starts ``first`` to ``last`` of one anchor in a long; both distances are below 1,024."""
     return (first << 20) | ((last - first) << 10) | (anchor - first)
 
 
 def _unpack(run: int) -> tuple[int, int, int]:
+    run &= BY_WORD - 1
     first = run >> 20
     return first, first + ((run >> 10) & 1023), first + (run & 1023)
 
 
-def cells(data: bytes | Words, run: int, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """``core, full, run`` of each group of up to 16 windows of a run, aligned by their distance from the anchor.
+def _key(core: bytes, full: bytes, core_hash: int | None = None) -> bytes:
+    """Sort key of a suffix: its leading tokens, a digest of its core, and one of all that its windows cover."""
+    own = xxhash.xxh3_64_intdigest(core) if core_hash is None else core_hash & (1 << 64) - 1
+    return core[:16].ljust(16, b"\0") + own.to_bytes(8, "big") + xxhash.xxh3_128_digest(full)
+
+
+def cells(data: bytes | Words, run: int, length: int = LENGTH) -> Iterator[tuple[bytes, int]]:
+    """``key, run`` of each group of up to 16 windows of a run, aligned by their distance from the anchor.
 
     All windows at these distances contain the core, in this run or in any
     other; the full string is all that this run's windows cover.
@@ -132,9 +156,8 @@ def cells(data: bytes | Words, run: int, length: int = LENGTH) -> Iterator[tuple
     for c in range((anchor - last) // CELL, (anchor - first) // CELL + 1):
         far, near = min(anchor - first, c * CELL + CELL - 1), max(anchor - last, c * CELL)
         core = data[anchor - c * CELL : anchor - c * CELL - CELL + 1 + length]
-        core_hash = _number(b"%d:" % c + core)
-        full_hash = _number(b"%d:%d:" % (far, near) + data[anchor - far : anchor - near + length])
-        yield core_hash, full_hash, _pack(anchor - far, anchor - near, anchor)
+        full = data[anchor - far : anchor - near + length]
+        yield _key(core, b"%d:%d:" % (far, near) + full), _pack(anchor - far, anchor - near, anchor) | run & BY_WORD
 
 
 def multikey_quicksort(words: np.ndarray, small: int = 4096) -> np.ndarray:
@@ -160,59 +183,93 @@ def multikey_quicksort(words: np.ndarray, small: int = 4096) -> np.ndarray:
 
 
 def _sorted_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of one bucket: suffixes equal to a neighbour, and its first and last one (``edge``) for the buckets beside it."""
+    """Sorts one bucket and compares neighbours.
+
+    Kept are ``twin`` rows (equal to a neighbour in all their windows cover),
+    ``open`` ones (one of each kind whose core a neighbour of another kind has)
+    and the bucket's first and last row (``edge``) for the buckets beside it.
+    """
     held = [b for b in batches if len(b)]
     if not held:
         return
     pdf = pd.concat(held, ignore_index=True)
-    words = pdf[["w0", "w1", "w2", "w3"]].to_numpy(np.int64)
-    order = multikey_quicksort(words)
-    w = words[order]
-    near = (w[1:] == w[:-1]).all(axis=1)
-    twin = np.zeros(len(w), bool)
-    twin[1:] |= near
-    twin[:-1] |= near
-    edge = np.zeros(len(w), bool)
+    k = pdf[KEYS].to_numpy(np.int64)
+    order = multikey_quicksort(k)
+    k = k[order]
+    new_core = np.ones(len(k), bool)
+    new_core[1:] = (k[1:, : len(CORE)] != k[:-1, : len(CORE)]).any(axis=1)
+    new_kind = new_core.copy()
+    new_kind[1:] |= (k[1:, len(CORE) :] != k[:-1, len(CORE) :]).any(axis=1)
+    kind, group = np.cumsum(new_kind) - 1, np.cumsum(new_core) - 1
+    n = np.bincount(kind)
+    n[kind[pdf["more"].notna().to_numpy()[order]]] += 1
+    mixed = (np.bincount(group[new_kind]) > 1)[group]
+    twin, edge = n[kind] > 1, np.zeros(len(k), bool)
     edge[[0, -1]] = True
-    keep = twin | edge
-    yield pdf.iloc[order[keep]].assign(twin=twin[keep], edge=edge[keep])
+    keep = twin | edge | (mixed & new_kind)
+    k[~edge] = 0
+    out = pdf.iloc[order[keep]].assign(twin=twin[keep], mixed=mixed[keep], open=(mixed & new_kind)[keep], edge=edge[keep])
+    out[KEYS] = k[keep]
+    out["more"] = pd.Series([x if isinstance(x, np.ndarray) else None for x in out["more"]], index=out.index, dtype=object)
+    yield out.assign(bucket=TaskContext.get().partitionId())
 
 
-def _refined(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Runs whose full string occurs twice (repeated as they are), and one run of each full string that shares a core with another."""
-    one = F.struct("uid", F.get("runs", F.lit(0)).alias("run"))
-    kinds = rows.groupBy("core", "full").agg(F.sum(F.size("runs")).alias("n"), F.min(one).alias("one"))
-    kinds = save(kinds, f"{name}-kinds")
-    solved = rows.join(kinds.where("n > 1").select("core", "full"), ["core", "full"], "left_semi")
-    mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
-    left = kinds.join(mixed, "core", "left_semi").select("one.uid", "one.run")
-    return solved.select("uid", F.explode("runs").alias("run")), left
+def _settled(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(``num, run, more`` that repeat as they are, ``num, run`` of one of each kind that shares its core with another kind).
 
-
-def _grouped(found: Iterator[tuple[int, int, int]], uid: bytes) -> list[tuple]:
-    """A row per kind of run of a text, with all runs of that kind: periodic text has very many of one kind."""
-    by: dict[tuple[int, int], list[int]] = {}
-    for core, full, run in found:
-        by.setdefault((core, full), []).append(run)
-    return [(core, full, uid, runs) for (core, full), runs in by.items()]
+    Splitters that Spark samples range-partition the suffixes by their leading
+    tokens; their last sort columns tell equal suffixes apart, so one that very
+    many texts share spreads over buckets. Each bucket is sorted by itself, and
+    the first and last suffixes of the buckets are compared across boundaries.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET))
+    ranged = rows.repartitionByRange(n, *KEYS, "num", "run")
+    schema = f"{SUFFIX}, twin boolean, mixed boolean, open boolean, edge boolean, bucket int"
+    marked = save(ranged.mapInPandas(_sorted_bucket, schema), f"{name}-sorted")
+    edges = marked.where("edge")  # two rows of each bucket at most
+    kinds = edges.groupBy(*KEYS).agg(F.count_distinct("bucket").alias("n")).where("n > 1").select(*KEYS)
+    cores = edges.groupBy(*CORE).agg(F.max("mixed").alias("any"), F.count_distinct("f0", "f1").alias("n"))
+    twins = edges.where("not twin").join(kinds, KEYS, "left_semi")
+    across = edges.where("not mixed").join(cores.where("any or n > 1"), CORE, "left_semi")
+    solved = marked.where("twin").select("num", "run", "more").union(twins.select("num", "run", "more"))
+    return solved, marked.where("open").select("num", "run").union(across.select("num", "run"))
 
 
 def _per_text(texts: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
     """``texts`` with the list of their runs: as many as a text has bytes at most."""
-    return texts.join(runs.groupBy("uid").agg(F.collect_list("run").alias("runs")), "uid", how)
+    return texts.join(runs.groupBy("num").agg(F.collect_list("run").alias("runs")), "num", how)
 
 
-def _over_texts(emit: Callable, schema: str, columns: list[str]):
+def _suffix_rows(emit: Callable):
+    """A task function that makes the ``SUFFIX`` rows of each text from the keys and runs that ``emit`` yields.
+
+    Runs of one key in one text are one row: periodic text has very many of one kind.
+    """
+
+    def table(keys: list[bytes], nums: list[int], runs: list[int], more: dict[int, list[int]]) -> pd.DataFrame:
+        k = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, len(KEYS)) ^ np.uint64(1 << 63)
+        out = pd.DataFrame(k.view(np.int64), columns=KEYS)
+        out["num"], out["run"] = np.array(nums, np.int64), np.array(runs, np.int64)
+        out["more"] = pd.Series([more.get(i) for i in range(len(out))] if more else [None] * len(out), index=out.index, dtype=object)
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            keys, nums, runs, more = [], [], [], {}
             for r in pdf.itertuples(index=False):
-                for row in emit(r):
-                    out.append(row)
-                    if len(out) >= FLUSH:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-            yield pd.DataFrame(out, columns=columns)
+                at: dict[bytes, int] = {}
+                for key, own in emit(Reader(r.text), r.runs):
+                    i = at.setdefault(key, len(keys))
+                    if i < len(keys):
+                        more.setdefault(i, []).append(own)
+                        continue
+                    keys.append(key)
+                    nums.append(r.num)
+                    runs.append(own)
+                    if len(keys) >= FLUSH:
+                        yield table(keys, nums, runs, more)
+                        keys, nums, runs, more, at = [], [], [], {}, {}
+            yield table(keys, nums, runs, more)
 
     return run
 
@@ -221,125 +278,136 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+class Reader:
+    """A text as bytes, and as words once they are asked for."""
+
+    def __init__(self, text: str | None):
+        self.bytes = _bytes(text)
+        self._words: Words | None = None
+
+    def of(self, run: int) -> bytes | Words:
+        if not run & BY_WORD:
+            return self.bytes
+        self._words = self._words or Words(self.bytes)
+        return self._words
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``num, uid, text, copies``: a row per distinct text. It is written, so that its numbers stay."""
     texts = (
         docs.select(text_key(F.col(text_col)).alias("uid"), F.coalesce(text_col, F.lit("")).alias("text"))
         .groupBy("uid")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
-    return save(texts, "texts")
+    return save(texts.withColumn("num", F.monotonically_increasing_id()), "texts")
 
 
-def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per distinct text of ``docs``: ``uid, n_bytes, removed, kept_sha256``; ``removed`` are its repeated bytes.
+def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """Per distinct text of ``docs``: ``uid, n_bytes, removed, n_removed, kept_sha256, repeated, n_repeated_words``.
 
     A byte is repeated if a string of ``length`` bytes that covers it also
-    starts anywhere else, in the same text, a copy or another one. Steps:
+    starts anywhere else, in the same text, a copy or another one; ``removed``
+    are the spans of such bytes. With ``words`` given, ``repeated`` are the
+    spans (of bytes, too) of the words that lie in strings of so many words
+    which start anywhere else, whatever white space parts them. Steps:
 
     1. Copies become one text with a count (a grouping with a map-side
        combine); a text with copies is repeated as a whole.
-    2. Sampled suffixes: in each window of ``length`` bytes the least hash of
-       ``gram`` bytes is its anchor. Only windows whose anchors occur twice
-       can be equal. Runs of windows of one anchor that occur twice as they
-       are, are done; one of each kind goes on if its anchor has several.
-    3. The same with cells of 16 windows that are aligned by anchor.
-    4. What is left are the windows around the ends of repeats, one suffix
-       each: its first 16 bytes and a digest of the rest. Sampled splitters
-       range-partition these suffixes by their leading bytes, each bucket
-       sorts its own by multikey quicksort and marks equal neighbours, and the
-       first and last suffix of each bucket are compared across boundaries. A
-       suffix that very many texts share may spread over several buckets.
+    2. A filter: in each window of ``length`` bytes the least hash of ``gram``
+       bytes is its anchor. Equal windows have their anchors at equal places,
+       so windows whose anchor occurs once in the corpus cannot repeat. All
+       windows of one anchor are a run.
+    3. A suffix array of the runs whose anchors occur twice, one suffix a run,
+       from its anchor on. Sampled splitters range-partition it by two leading
+       tokens of 8 bytes, each bucket is sorted by multikey quicksort, and
+       neighbours are compared, across the boundaries of buckets as well. Runs
+       equal to a neighbour are repeated; those that only share the anchor
+       with one are open.
+    4. The same for the suffixes of open runs, one for 16 windows, aligned by
+       their anchors; and then for the suffixes of open cells, one a window.
     5. Each text gets its intervals back.
 
-    All steps are exact but for equal 128-bit digests. Nothing is collected on
-    the driver, and no group has more in one task than a bucket or one text.
-    Null texts count as empty; texts of fewer than ``length`` bytes have no
-    repeats; further columns are ignored.
+    Words go the same way as bytes and in the same steps, each as a digest of
+    64 bits. The order is that of the first two tokens; beyond them it is that
+    of digests, as only equality counts there. What decides that two suffixes
+    are equal are those 16 bytes and 192 bits of digests. Nothing is collected
+    on the driver, and no group has more in one task than a bucket or one
+    text. Null texts count as empty; texts of fewer than ``length`` bytes have
+    no repeats; further columns are ignored.
     """
-    return _repeats(_texts(docs, text_col), length, gram)
-
-
-def _repeats(texts: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
-    """``repeats`` over distinct texts; ``by_word``, ``length`` and ``gram`` count words, and spans are still of bytes."""
-    spark = texts.sparkSession
-    long = texts.where(F.octet_length("text") >= (2 * length - 1 if by_word else length)).select("uid", "text")
-
-    def read(text: str | None) -> bytes | Words:
-        return Words(_bytes(text)) if by_word else _bytes(text)
+    texts = _texts(docs, text_col)
+    units = {0: (length, gram)} | ({BY_WORD: (words, max(1, min(WORD_GRAM, words // 4)))} if words else {})
+    least = min(length, 2 * words - 1) if words else length
+    long = texts.where(F.octet_length("text") >= least).select("num", "text")
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found, n = [], 0
-            for t in pdf["text"]:
-                for block in anchor_blocks(read(t), length, gram):
-                    found.append(block[:, 3])
-                    n += len(block)
-                    if n > FLUSH:
-                        yield pd.DataFrame({"core": np.concatenate(found)})
-                        found, n = [], 0
-            if found:
-                yield pd.DataFrame({"core": np.concatenate(found)})
-
-    twice = long.select("text").mapInPandas(hashes, "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
-    twice = save(twice.where("n > 1").select("core"), "anchors")
-
-    def runs(r) -> Iterator[tuple]:
-        data = read(r.text)
-        for a in anchor_blocks(data, length, gram):
-            full = [_number(data[s : e + length]) for s, e in a[:, :2].tolist()]
-            yield from _grouped(zip(a[:, 3].tolist(), full, _pack(a[:, 0], a[:, 1], a[:, 2]).tolist()), r.uid)
-
-    candidates = save(long.mapInPandas(_over_texts(runs, RUN, ["core", "full", "uid", "runs"]), RUN).join(twice, "core", "left_semi"), "runs")
-    solved, left = _refined(candidates, "runs")
-
-    def split(r) -> Iterator[tuple]:
-        data = read(r.text)
-        for at in range(0, len(r.runs), FLUSH):
-            yield from _grouped((c for x in r.runs[at : at + FLUSH] for c in cells(data, int(x), length)), r.uid)
-
-    small = _per_text(long, left).mapInPandas(_over_texts(split, RUN, ["core", "full", "uid", "runs"]), RUN)
-    small = save(small, "cells")
-    solved_cells, left = _refined(small, "cells")
-    left = save(left, "open-cells")
-
-    def suffixes(r) -> Iterator[tuple]:
-        data = read(r.text)
-        for x in r.runs:
-            first, last, _ = _unpack(int(x))
+            cores, nums, runs, n = [], [], [], 0
+            for num, text in zip(pdf["num"].tolist(), pdf["text"]):
+                reader = Reader(text)
+                for unit, (size, own) in units.items():
+                    for a in anchor_blocks(reader.of(unit), size, own):
+                        cores.append(a[:, 3] ^ (unit >> 1))
+                        runs.append(_pack(a[:, 0], a[:, 1], a[:, 2]) | unit)
+                        nums.append(np.full(len(a), num, np.int64))
+                        n += len(a)
+                        if n > FLUSH:
+                            yield pd.DataFrame({"core": np.concatenate(cores), "num": np.concatenate(nums), "run": np.concatenate(runs)})
+                            cores, nums, runs, n = [], [], [], 0
+            if n:
+                yield pd.DataFrame({"core": np.concatenate(cores), "num": np.concatenate(nums), "run": np.concatenate(runs)})
+
+    def whole(reader: Reader, runs) -> Iterator[tuple[bytes, int]]:
+        for x in runs.tolist():
+            data, (size, own) = reader.of(x), units[x & BY_WORD]
+            s, e, at = _unpack(x)
+            yield _key(data[at : at + own], b"%d:%d:" % (at - s, at - e) + data[s : e + size]), x
+
+    def split(reader: Reader, runs) -> Iterator[tuple[bytes, int]]:
+        for x in runs.tolist():
+            yield from cells(reader.of(x), x, units[x & BY_WORD][0])
+
+    def single(reader: Reader, runs) -> Iterator[tuple[bytes, int]]:
+        for x in runs.tolist():
+            data, size = reader.of(x), units[x & BY_WORD][0]
+            first, last, _ = _unpack(x)
             for p in range(first, last + 1):
-                s = data[p : p + length]
-                head = int.from_bytes(s[:16].ljust(16, b"\0"), "big")
-                tail = int.from_bytes(hashlib.blake2b(s, digest_size=16).digest(), "big")
-                words = [(n >> shift & (1 << 64) - 1) - (1 << 63) for n in (head, tail) for shift in (64, 0)]
-                yield (*words, r.uid, p)
-
-    columns = ["w0", "w1", "w2", "w3", "uid", "pos"]
-    listed = save(_per_text(long, left).mapInPandas(_over_texts(suffixes, SUFFIX, columns), SUFFIX), "suffixes")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed.count() // 1_000_000))
-    ranged = listed.repartitionByRange(buckets, "w0", "w1", "w2", "w3", "pos", "uid")
-    marked = save(ranged.mapInPandas(_sorted_bucket, f"{SUFFIX}, twin boolean, edge boolean"), "sorted-suffixes")
-    words = ["w0", "w1", "w2", "w3"]
-    # two rows of each bucket at most
-    edges = marked.where("edge").select(*words, "uid", "pos")
-    across = edges.groupBy(*words).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*words)
-    twins = marked.where("twin").select("uid", "pos").union(edges.join(across, words, "left_semi").select("uid", "pos"))
-    twins = twins.select("uid", F.shiftleft("pos", 20).alias("run"))
+                s = data[p : p + size]
+                yield _key(s, s), p << 20 | x & BY_WORD
+
+    anchors_of = save(long.mapInPandas(anchored, "core long, num long, run long"), "anchors")
+    twice = anchors_of.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    left = anchors_of.join(twice, "core", "left_semi").select("num", "run")
+    solved = None
+    for emit, name in ((whole, "runs"), (split, "cells"), (single, "windows")):
+        left = save(left, f"open-{name}")
+        rows = save(_per_text(long, left).mapInPandas(_suffix_rows(emit), SUFFIX), name)
+        more, left = _settled(rows, name)
+        solved = more if solved is None else solved.union(more)
+    solved = solved.select("num", F.explode(F.concat(F.array("run"), F.coalesce("more", F.array().cast("array<long>")))).alias("run"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                data = read(r.text)
-                spans = covered(r.runs, len(data), length) if r.copies < 2 or len(data) < length else [(0, len(data))]
-                if by_word:
-                    data, spans = _bytes(r.text), data.spans(spans)
+                reader = Reader(r.text)
+                runs = np.asarray(r.runs if r.runs is not None else [], np.int64)
+                by_word = runs & BY_WORD != 0
+                data = reader.bytes
+                spans = covered(runs[~by_word], len(data), length) if r.copies < 2 or len(data) < length else [(0, len(data))]
                 kept = hashlib.sha256(data if not spans else keep(data, spans)).hexdigest()
-                out.append((r.uid, len(data), [{"start": a, "end": b} for a, b in spans], kept))
-            yield pd.DataFrame(out, columns=["uid", "n_bytes", "removed", "kept_sha256"])
+                said = []
+                if words and (by_word.any() or r.copies > 1):
+                    seq = reader.of(BY_WORD)
+                    said = covered(runs[by_word] & BY_WORD - 1, len(seq), words) if r.copies < 2 or len(seq) < words else [(0, len(seq))]
+                n_words, said = sum(b - a for a, b in said), seq.spans(said) if said else []
+                listed = [[{"start": a, "end": b} for a, b in x] for x in (spans, said)]
+                out.append((r.uid, len(data), listed[0], sum(b - a for a, b in spans), kept, listed[1], n_words))
+            yield pd.DataFrame(out, columns=["uid", "n_bytes", "removed", "n_removed", "kept_sha256", "repeated", "n_repeated_words"])
 
-    all_runs = solved.union(solved_cells).union(twins)
-    schema = "uid binary, n_bytes long, removed array<struct<start: long, end: long>>, kept_sha256 string"
-    return save(_per_text(texts, all_runs, "left").mapInPandas(cut, schema), "repeats")
+    span = "array<struct<start: long, end: long>>"
+    schema = f"uid binary, n_bytes long, removed {span}, n_removed long, kept_sha256 string, repeated {span}, n_repeated_words long"
+    return save(_per_text(texts, solved, "left").mapInPandas(cut, schema), "repeats")
 
 
 def covered(runs, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -372,16 +440,31 @@ def keep(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    words: int | None = None,
+) -> DataFrame:
     """Per row of ``docs``: ``id_col, n_bytes, n_removed, n_spans, kept_sha256, removed``, see ``repeats``.
 
-    Rows that repeat a document each get a row. An empty table gives no rows.
+    With ``words`` given, also ``repeated`` and ``n_repeated_words``: the spans
+    (in bytes) and the number of words that lie in strings of so many words
+    which start anywhere else, too, however few bytes they have. Rows that
+    repeat a document each get a row. An empty table gives no rows.
     """
-    found = repeats(docs, text_col, length, gram)
+    found = repeats(docs, text_col, length, gram, words)
     rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("uid"))
-    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return rows.join(found, "uid").select(
-        id_col, "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "removed"
+        id_col,
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        "kept_sha256",
+        "removed",
+        *(["repeated", "n_repeated_words"] if words else []),
     )
 
 
@@ -396,13 +479,10 @@ def cut(
     What is left of a character that a cut went through is left out; a null
     text stays null. ``n_chars``, where the table has it, is counted anew.
     """
-    texts = _texts(docs, text_col)
-    found = _repeats(texts, length, gram).where(F.size("removed") > 0).select("uid", "removed")
-    if words:
-        more = _repeats(texts, words, max(1, min(WORD_GRAM, words // 4)), by_word=True)
-        found = found.union(more.where(F.size("removed") > 0).select("uid", "removed"))
-        found = found.groupBy("uid").agg(F.flatten(F.collect_list("removed")).alias("removed"))
-    found = found.select(F.col("uid").alias("_q_uid"), F.col("removed").alias("_q_removed"))
+    found = repeats(docs, text_col, length, gram, words)
+    found = found.select("uid", F.concat("removed", "repeated").alias("removed")).where(F.size("removed") > 0)
+    uid, removed = fresh("_q_uid", docs), fresh("_q_removed", docs)
+    found = found.select(F.col("uid").alias(uid), F.col("removed").alias(removed))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -412,8 +492,8 @@ def cut(
             out.append(keep(_bytes(t), spans).decode("utf-8", "ignore") if spans else t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn("_q_uid", text_key(F.col(text_col))).join(found, "_q_uid", "left")
-    text = kept(F.col(text_col), F.transform("_q_removed", lambda s: s["start"]), F.transform("_q_removed", lambda s: s["end"]))
+    joined = docs.withColumn(uid, text_key(F.col(text_col))).join(found, uid, "left")
+    text = kept(F.col(text_col), F.transform(removed, lambda s: s["start"]), F.transform(removed, lambda s: s["end"]))
     out = joined.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
