@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,46 +11,34 @@ from pyspark.sql import types as T
 from quire.llm.common import save
 
 OVERHEAD = 16  # bytes that a row counts beside its text
+KEY = ["class", "key", "tie"]
 
 
-def _pairs(key, tie) -> np.ndarray:
-    """Sortable 16-byte strings of two signed 64-bit numbers, ordered as the pairs are."""
-    both = np.stack([np.asarray(key, np.int64), np.asarray(tie, np.int64)], axis=1)
-    flipped = both.view(np.uint64) ^ np.uint64(1 << 63)
-    return np.ascontiguousarray(flipped.astype(">u8")).view("S16").ravel()
+def _sortable(columns) -> np.ndarray:
+    """Byte strings of three signed 64-bit numbers, ordered as the triples are."""
+    held = np.stack([np.asarray(c, np.int64) for c in columns], axis=1)
+    flipped = held.view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(flipped.astype(">u8")).view("S24").ravel()
 
 
-def _splitters(rows: DataFrame, total: int, ranges: int, sample: int, seed: int) -> list[tuple[int, int]]:
+def _splitters(rows: DataFrame, total: int, ranges: int, sample: int, seed: int) -> list[tuple[int, ...]]:
     """Up to ``ranges - 1`` quantiles of a sample in which a row's chance grows with its size."""
-    drawn = rows.where(F.rand(seed) < F.col("size") * F.lit(sample / total)).select("key", "tie").toPandas()
-    drawn = drawn.drop_duplicates().sort_values(["key", "tie"])
+    drawn = rows.where(F.rand(seed) < F.col("size") * F.lit(sample / total)).select(*KEY).toPandas()
+    drawn = drawn.drop_duplicates().sort_values(KEY)
     if not len(drawn) or ranges < 2:
         return []
     at = np.unique((np.arange(1, ranges) * len(drawn)) // ranges)
     return list(map(tuple, drawn.iloc[at].drop_duplicates().to_numpy().tolist()))
 
 
-def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    edges = _pairs([c[0] for c in cuts], [c[1] for c in cuts]) if cuts else np.empty(0, "S16")
+def _ranged(rows: DataFrame, cuts: list[tuple[int, ...]]) -> DataFrame:
+    edges = _sortable(zip(*cuts)) if cuts else np.empty(0, "S24")
 
     @F.pandas_udf(T.IntegerType())
-    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, _pairs(key, tie), side="right").astype(np.int32))
-
-    return rows.withColumn("range", place("key", "tie"))
+    def place(kind: pd.Series, key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, _sortable([kind, key, tie]), side="right").astype(np.int32))
 
-
-def _first_fit(sizes: list[int], shards: int) -> list[tuple[int, int]]:
-    """(shard, slot) of large rows, largest first, each into the shard that holds the fewest bytes so far."""
-    held = [(0, s) for s in range(shards)]
-    count = [0] * shards
-    out = []
-    for size in sizes:
-        n, s = heapq.heappop(held)
-        heapq.heappush(held, (n + size, s))
-        out.append((s, count[s]))
-        count[s] += 1
-    return out
+    return rows.withColumn("range", place(*KEY))
 
 
 def _room(held: list[int], rest: int) -> list[int]:
@@ -65,6 +51,11 @@ def _room(held: list[int], rest: int) -> list[int]:
     return [max(0, round(level - h)) for h in held]
 
 
+def _passed(edges: list[int], value) -> F.Column:
+    """How many of the rising ``edges`` lie at or below ``value``."""
+    return F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in edges]), lambda e: e <= value)) if edges else F.lit(0)
+
+
 def shard(
     docs: DataFrame,
     shards: int = 40,
@@ -74,61 +65,54 @@ def shard(
     rows_per_range: int = 2_000_000,
     sample: int = 20_000,
     rounds: int = 3,
-    large: int = 64,
 ) -> DataFrame:
-    """Deal all rows out to ``shards`` shards of nearly equal bytes, in the order of a text hash.
+    """Deal all rows out to ``shards`` shards of nearly equal bytes, in the order of size classes and of a text hash.
 
     Returns ``id_col, size, text_crc32, shard, slot``. A row's size is its
-    UTF-8 bytes plus 16. Rows of more than 1/``large`` of a shard's share, of
-    which there are ``large * shards`` at most, go first, each to the emptiest
-    shard; they would make shares uneven wherever they met an edge. For the
-    rest, about ``sample`` keys, drawn by size, come to the driver; their
-    quantiles cut the key space into ranges, several per shard. The key is a
-    hash of the text and then one of the id, so a group of equal texts stays
-    together but is cut like anything else when it is large. A range of over
-    twice its share is cut again from a denser sample. Within a range, one
-    window sums sizes in key order; with the exact totals of the ranges before
-    it, each row knows the byte at its middle, which decides its shard by the
-    room that each has left. A shard differs from the mean by 1/``large`` at
-    most, unless one row is larger than a share. Null texts count 16 bytes and
-    hash as empty; null and repeated ids are dealt like others, in any order
-    among rows that are alike. An empty table gives an empty result; further
-    columns are ignored.
+    UTF-8 bytes plus 16; its class is the power of two below that. The key is
+    the class, a hash of the text and one of the id, so a group of equal texts
+    stays together but is cut like anything else when it is large. About
+    ``sample`` keys, drawn by size, come to the driver; their quantiles, and
+    the borders of the classes, cut the key space into ranges, several per
+    shard. A range of over twice its share is cut again from a denser sample.
+    Within a range, one window sums sizes in key order; with the exact totals
+    of the ranges before it, each row knows the byte of its class at its middle.
+
+    The classes are dealt from the largest rows to the smallest, all by one
+    rule: a class's stretch of the key order is cut where each shard's room
+    ends, that is, what it lacks to the level that all can reach; what a shard
+    has really got is counted before the next class. So what a large row makes
+    uneven the next smaller ones level, and shards differ by about the size of
+    the smallest rows, unless a few rows are larger than a share. A class is
+    one small job on saved sizes; there are as many as powers of two.
+
+    Null texts count 16 bytes and hash as empty; null and repeated ids are
+    dealt like others, in any order among rows that are alike. An empty table
+    gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(text_col, F.lit(""))
+    size = F.octet_length(text).cast("long") + OVERHEAD
     rows = save(
         docs.select(
             F.col(id_col).alias("id"),
-            (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
+            size.alias("size"),
             F.crc32(text).alias("text_crc32"),
+            (F.length(F.bin(size)) - 1).cast("long").alias("class"),
             F.xxhash64(text).alias("key"),
             F.xxhash64(F.col(id_col)).alias("tie"),
         ),
         "sizes",
     )
-    everything = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = everything // (large * shards)
-    order = Window.orderBy(F.desc("size"), "key", "tie", "id")
-    # at most large * shards rows by their size, so one task and the driver can hold them
-    heavy = save(rows.where(F.col("size") > limit).withColumn("n", F.row_number().over(order) - 1), "large-rows")
-    sizes = [r["size"] for r in heavy.select("n", "size").orderBy("n").collect()]
-    placed_heavy = _first_fit(sizes, shards)
-    told = spark.createDataFrame([(n, s, k) for n, (s, k) in enumerate(placed_heavy)], "n int, shard int, slot long")
-    first_rows = heavy.join(F.broadcast(told), "n").select("id", "size", "text_crc32", "shard", "slot")
-    taken, slots = [0] * shards, [0] * shards
-    for size, (s, _) in zip(sizes, placed_heavy):
-        taken[s] += size
-        slots[s] += 1
-
-    rows = rows.where(F.col("size") <= limit)
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    classes = {r["class"]: r for r in rows.groupBy("class").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
+    total, count = (sum(r[x] for r in classes.values()) for x in ("bytes", "n"))
     ranges = max(ranges_per_shard * shards, -(-count // rows_per_range))
     share = max(1, total / ranges)
-    cuts = _splitters(rows, max(total, 1), ranges, max(sample, 50 * ranges), 1) if count else []
+    borders = {(c, -(1 << 63), -(1 << 63)) for c in classes}
+    cuts = sorted(borders | set(_splitters(rows, max(total, 1), ranges, max(sample, 50 * ranges), 1) if count else []))
     for turn in range(rounds + 1):
         placed = _ranged(rows, cuts)
-        sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()
+        sums = placed.groupBy("range").agg(F.min("class").alias("class"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas()
         full = sums[(sums["bytes"] > 2 * share) & (sums["n"] > 1)]
         if turn == rounds or full.empty:
             break
@@ -139,34 +123,42 @@ def shard(
             break
         cuts = sorted(set(cuts) | set(more))
     sums = sums.sort_values("range")
+    by_class = sums.groupby("class")
     before = pd.DataFrame(
         {
             "range": sums["range"].astype("int32"),
-            "bytes_before": (sums["bytes"].cumsum() - sums["bytes"]).astype("int64"),
-            "rows_before": (sums["n"].cumsum() - sums["n"]).astype("int64"),
+            "bytes_before": (by_class["bytes"].cumsum() - sums["bytes"]).astype("int64"),
+            "rows_before": (by_class["n"].cumsum() - sums["n"]).astype("int64"),
         }
     )
     starts = spark.createDataFrame(before, "range int, bytes_before long, rows_before long")
     order = Window.partitionBy("range").orderBy("key", "tie", "id", "size", "text_crc32")
     here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = 2 * np.cumsum(np.array(_room(taken, total), np.int64))[:-1]
-
-    @F.pandas_udf(T.IntegerType())
-    def shard_of(middle: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, middle.to_numpy(), side="right").astype(np.int32))
-
     # one row per range: their number is set above and does not follow the rows' width
-    dealt = placed.join(F.broadcast(starts), "range").select(
+    places = placed.join(F.broadcast(starts), "range").select(
         "id",
         "size",
         "text_crc32",
         (F.col("rows_before") + F.row_number().over(order) - 1).alias("rank"),
         (2 * (F.col("bytes_before") + F.sum("size").over(here)) - F.col("size")).alias("middle"),
+        "class",
     )
-    dealt = save(dealt.withColumn("shard", shard_of("middle")).drop("middle"), "dealt")
-    first = dealt.groupBy("shard").agg(F.min("rank").alias("first"))
-    offset = F.element_at(F.array(*[F.lit(n).cast("long") for n in slots]), F.col("shard") + 1)
-    rest = dealt.join(F.broadcast(first), "shard").select(
-        "id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first") + offset).alias("slot")
+    places = save(places, "places", by="class")
+
+    bytes_held, rows_held, plan = [0] * shards, [0] * shards, []
+    for c in sorted(classes, reverse=True):
+        edges = (2 * np.cumsum(np.array(_room(bytes_held, classes[c]["bytes"]), np.int64))[:-1]).tolist()
+        own = places.where(F.col("class") == c).groupBy(_passed(edges, F.col("middle")).alias("shard"))
+        got = {r["shard"]: r for r in own.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
+        taken = [got[s]["n"] if s in got else 0 for s in range(shards)]
+        first = np.cumsum([0, *taken])[:-1]
+        # a row's slot is its rank less the first rank of its shard in the class, after the rows of larger classes there
+        plan.append((c, first[1:].tolist(), [int(held - f) for held, f in zip(rows_held, first)]))
+        for s in range(shards):
+            bytes_held[s] += got[s]["bytes"] if s in got else 0
+            rows_held[s] += taken[s]
+    told = spark.createDataFrame(plan, "class long, edges array<long>, shift array<long>")  # a row per power of two
+    dealt = places.join(F.broadcast(told), "class").withColumn("shard", F.size(F.filter("edges", lambda e: e <= F.col("rank"))))
+    return dealt.select(
+        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("rank") + F.get("shift", F.col("shard"))).alias("slot")
     )
-    return first_rows.unionByName(rest).withColumnRenamed("id", id_col)
