@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import fresh, save, text_key
+
 WINDOW = 13
 #: A-Z to a-z; bytes that are neither ASCII letters or digits nor part of a longer character become blanks.
 FOLD = bytes(
@@ -36,35 +40,39 @@ def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
     return {b" " + b" ".join(found[i : i + size]) + b" " for i in range(max(1, len(found) - size + 1))} if found else set()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> list[list[tuple[str, list[str]]]]:
-    """(window, its items) lists, each from at most about ``block_bytes`` of test text."""
-    held = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items that have text, a block of about ``block_bytes`` of it at a time: the driver never holds more than one."""
+    held = items.where(F.octet_length(text_col) > 0)
+    held = held.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     n_bytes = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // block_bytes))
-    out = []
     for b in range(n):
         part = held if n == 1 else held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        by: dict[bytes, set[str]] = defaultdict(set)
-        for r in part.toLocalIterator():
-            for w in windows(r["text"], size):
-                by[w].add(r["item"])
-        out.append([(w.decode("latin-1"), sorted(x)) for w, x in sorted(by.items())])
-    return out
+        yield sorted((r["item"], r["text"]) for r in part.toLocalIterator())
 
 
-def _automaton(block: list[tuple[str, list[str]]], name: str, keep: bool) -> ahocorasick.Automaton:
+def _automaton(block: list[tuple[str, str]], name: str, size: int) -> ahocorasick.Automaton:
+    """The automaton of a block's windows, built once in each worker; one is held at a time."""
     if name not in _RESIDENT:
+        _RESIDENT.clear()
+        by: dict[bytes, set[str]] = defaultdict(set)
+        for item, text in block:
+            for w in windows(text, size):
+                by[w].add(item)
         a = ahocorasick.Automaton()
-        for w, names in block:
-            a.add_word(w, (w.count(" ") - 1, names))
+        for w, names in by.items():
+            a.add_word(w.decode("latin-1"), (w.count(b" ") - 1, sorted(names)))
         a.make_automaton()
-        if not keep:
-            return a
-        _RESIDENT.clear()
         _RESIDENT[name] = a
     return _RESIDENT[name]
 
 
+def _line(text: str | None) -> tuple[str, int]:
+    """The text's words with one blank around each, a character per byte, and their number."""
+    cut = words(text)
+    return (b" " + b" ".join(cut) + b" ").decode("latin-1"), len(cut)
+
+
 def hits(line: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, list[str]]]:
     """(first word, last word, items) of each window in ``line``, whose words have one blank around each."""
     met = list(automaton.iter(line)) if len(automaton) else []
@@ -97,46 +105,75 @@ def scan(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     size: int = WINDOW,
-    block_bytes: int = 64 << 20,
+    block_bytes: int = 1 << 20,
     out: str = "found",
 ) -> DataFrame:
     """``docs`` with a struct ``out``: which words of its text lie in windows of test items.
 
     Texts and items are lower-cased (A-Z) and cut into words of ASCII letters,
     digits and characters beyond ASCII. An item's windows are its runs of
-    ``size`` words, or all its words if they are fewer. One automaton holds
-    all windows and reads each whole text once, inside the task that reads the
-    row: no shuffle. ``spans`` are the maximal runs of hit words as byte
-    offsets in the original text. The items are read by the driver; their
-    windows go to the workers in blocks of about ``block_bytes`` of test text,
-    one automaton in memory at a time, so a test set beyond one block costs
-    more time, not more memory. Null and empty texts have no words; items
-    without words have no windows; a null item id is written as an empty
-    string; items with equal ids count once.
+    ``size`` words, or all its words if they are fewer. One automaton, built in
+    the workers, holds all windows and reads each whole text once, inside the
+    task that reads the row: no shuffle. ``spans`` are the maximal runs of hit
+    words as byte offsets in the original text; ``items`` the ids met.
+
+    Test items of more than ``block_bytes`` of text go block by block, each
+    with an automaton and a pass over the texts of its own: the driver, a
+    broadcast and a worker hold one block at a time, whatever the number of
+    items. A pass keeps only what it hits, by a digest of the text, and the
+    passes are joined to the rows at the end.
+
+    Null and empty texts have no words; items without words have no windows; a
+    null item id is written as an empty string; items with equal ids count
+    once; a column named as ``out`` is replaced.
     """
     spark = docs.sparkSession
-    sent = []
-    for block in _blocks(items, item_id_col, item_text_col, size, block_bytes):
-        name = hashlib.sha256(repr(block).encode()).hexdigest()
-        sent.append((name, spark.sparkContext.broadcast(block)))
+    blocks = _blocks(items, item_id_col, item_text_col, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    columns = ["n_words", "n_hit", "n_items", "items_sha256", "spans", "items"]
+
+    def sent(block: list[tuple[str, str]]):
+        return hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest(), spark.sparkContext.broadcast(block)
+
+    if second is None:
+        name, block = sent(first)
+
+        @F.pandas_udf(FOUND)
+        def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                a = _automaton(block.value, name, size)
+                lines = [_line(t) for t in texts]
+                yield pd.DataFrame([judge(t, hits(x, a), n) for t, (x, n) in zip(texts, lines)], columns=columns)
+
+        return docs.withColumn(out, found(F.col(text_col)))
+
+    texts = docs.select(text_key(F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
+    passes = []
+    for nth, own in enumerate(chain([first, second], blocks)):
+        name, block = sent(own)
+
+        def met(batches: Iterator[pd.DataFrame], name=name, block=block) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                a = _automaton(block.value, name, size)
+                rows = [(u, x[0], x[1], list(x[2])) for u, t in zip(pdf["uid"], pdf["text"]) for x in hits(_line(t)[0], a)]
+                yield pd.DataFrame(rows, columns=["uid", "first", "last", "names"])
+
+        passes.append(save(texts.mapInPandas(met, "uid binary, first int, last int, names array<string>").distinct(), f"hits-{nth}"))
+        block.unpersist()
+    every = reduce(DataFrame.unionByName, passes).groupBy("uid").agg(F.collect_list(F.struct("first", "last", "names")).alias("hits"))
+    uid, held = fresh("_q_uid", docs), fresh("_q_hits", docs)
+    every = every.select(F.col("uid").alias(uid), F.col("hits").alias(held))
 
     @F.pandas_udf(FOUND)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            lines, counts = [], []
-            for t in texts:
-                cut = words(t)
-                counts.append(len(cut))
-                lines.append((b" " + b" ".join(cut) + b" ").decode("latin-1"))
-            met: list[list] = [[] for _ in lines]
-            for name, block in sent:
-                a = _automaton(block.value, name, len(sent) == 1)
-                for m, line in zip(met, lines):
-                    m += hits(line, a)
-            rows = [judge(t, m, n) for t, m, n in zip(texts, met, counts)]
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "spans", "items"])
-
-    return docs.withColumn(out, found(F.col(text_col)))
+    def judged(texts: pd.Series, hit: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, own in zip(texts, hit):
+            own = [] if own is None else [(int(x["first"]), int(x["last"]), list(x["names"])) for x in own]
+            rows.append(judge(t, own, len(words(t))))
+        return pd.DataFrame(rows, columns=columns)
+
+    joined = docs.withColumn(uid, text_key(F.col(text_col))).join(every, uid, "left")
+    return joined.withColumn(out, judged(F.col(text_col), F.col(held))).select(*dict.fromkeys([*docs.columns, out]))
 
 
 def contaminated(found: str = "found", share: int = 20) -> F.Column:
@@ -146,4 +183,5 @@ def contaminated(found: str = "found", share: int = 20) -> F.Column:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    return scan(docs, items, text_col, out="_q_found", **options).where(~contaminated("_q_found")).select(*docs.columns)
+    own = fresh("_q_found", docs)
+    return scan(docs, items, text_col, out=own, **options).where(~contaminated(own)).select(*docs.columns)
