@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_key, tidy
+from quire.llm.common import save, text_key, tidy
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 SLICE = 1 << 20  # characters that are encoded at once
@@ -81,26 +81,31 @@ def _encode(path: str):
     return run
 
 
-def _cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CACHE).parquet(path)
+def _cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
+    """``digest, n_tokens`` of one tokenizer, a row per digest: runs side by side may have counted a text twice."""
+    rows = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == tokenizer)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> None:
     """Encode the distinct texts of ``docs`` that the cache has no count for, and append their counts to it.
 
     The cache is a Parquet table of ``digest, n_tokens``, partitioned by
-    tokenizer digest. Copies meet in a grouping by digest with a map-side
-    combine, so a text that a third of all rows repeat is moved once a task.
-    One writer at a time per cache; a run that is lost before its commit
-    leaves the cache as it was.
+    tokenizer digest. Digests alone are held against it; only texts that it
+    lacks are moved, once each task, as copies meet in a grouping by digest
+    with a map-side combine. Where those are few, Spark broadcasts their
+    digests and drops all other texts where they are read. Writers may run side
+    by side: a text that both count is one row when it is read. A run that is
+    lost before its commit leaves the cache as it was.
     """
     spark = docs.sparkSession
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     own = tokenizer_digest(tokenizer_path)
-    known = _cache(spark, cache_path).where(F.col("tokenizer") == own).select("digest")
     texts = docs.select(text_key(F.col(text_col)).alias("digest"), F.coalesce(text_col, F.lit("")).alias("content"))
-    misses = texts.groupBy("digest").agg(F.first("content").alias("content")).join(known, "digest", "left_anti")
-    counted = misses.mapInPandas(_encode(tokenizer_path), "digest binary, n_tokens long")
+    known = _cache(spark, cache_path, own).select("digest")
+    misses = save(texts.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    wanted = texts.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
+    counted = wanted.mapInPandas(_encode(tokenizer_path), "digest binary, n_tokens long")
     with tidy(spark):
         counted.withColumn("tokenizer", F.lit(own)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
@@ -117,8 +122,7 @@ def token_counts(
     the tokenizer gives for nothing. Further columns are ignored.
     """
     fill_cache(docs, tokenizer_path, cache_path, text_col)
-    own = tokenizer_digest(tokenizer_path)
-    known = _cache(docs.sparkSession, cache_path).where(F.col("tokenizer") == own).select("digest", "n_tokens")
+    known = _cache(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
     rows = docs.select(
         F.col(id_col),
         text_key(F.col(text_col)).alias("digest"),
