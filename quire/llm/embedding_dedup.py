@@ -95,23 +95,30 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str | None = "label",
-    cell_rows: int = 2_000,
+    cell_rows: int = 8_192,
     sample_rows: int = 20_000,
-    block_rows: int = 1_000,
+    block_rows: int = 8_192,
 ) -> DataFrame:
     """Per row: ``id_col, n_links, component_id, kept``; links join vectors of one label at cosine ``threshold`` or more.
 
     Equal vectors of a label become one row with its number of copies. Per
     label, spherical k-means on at most ``sample_rows`` vectors in all gives
-    cells of about ``cell_rows``; every vector goes to its nearest centre, and
-    also visits each cell whose radius plus the angle of ``threshold`` reaches
-    it, so no link between cells is lost. Blocks of about ``block_rows``
-    vectors, of one cell or of a cell and a visiting one, meet pair by pair as
-    groups of their own, in tiled matrix products of doubles; they give counts
-    of links and a spanning forest, never all pairs. A vector that is null or zero, has components that are null or
-    not finite, or a null label links with nothing. Vectors of different
-    lengths never link. Null ids count as rows, but name no component unless
-    all its ids are null. No rows give no rows; further columns are ignored.
+    cells of about ``cell_rows``; every vector goes to its nearest centre. It
+    also visits each later cell that may hold a link of it, by two bounds that
+    lose none: the cell's radius plus the angle of ``threshold`` reaches it, and
+    the plane halfway between the two centres is no further from it than that
+    angle. Where vectors have clusters, few cells pass; where they have none,
+    as random ones in many dimensions, all do, and the work is that of all
+    pairs of a label, as it is for any exact method. Blocks of about
+    ``block_rows`` members of a cell meet one another and the cell's visitors,
+    in chunks of as many, pair by pair as groups of their own, in tiled matrix
+    products of doubles; they give counts of links and a spanning forest,
+    never all pairs. A vector is sent once for each pair of blocks that it is
+    in, so blocks are as large as a task's memory allows. A vector that is null
+    or zero, has components that are null or not finite, or a null label links
+    with nothing. Vectors of different lengths never link. Null ids count as
+    rows, but name no component unless all its ids are null. No rows give no
+    rows; further columns are ignored.
     """
     spark = vectors.sparkSession
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -164,45 +171,50 @@ def near_duplicates(
 
     placed = save(distinct.mapInPandas(homes, "node long, n long, kind string, v array<double>, home long, angle double"), "homes")
     cells = placed.groupBy("kind", "home").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
-    cells = save(cells.withColumn("blocks", F.ceil(F.col("rows") / block_rows)), "cells")
+    cells = save(cells, "cells")
     # one row per cell: as many as there are centres at most
-    sizes = {k: g.set_index("home")[["radius", "blocks"]] for k, g in cells.toPandas().groupby("kind")}
-    told = spark.sparkContext.broadcast(sizes)
+    radii = {k: g.set_index("home")["radius"] for k, g in cells.toPandas().groupby("kind")}
+    told = spark.sparkContext.broadcast(radii)
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per block of a later cell that may hold links of a vector; ``guests`` is its own cell and block."""
+        """Adds the cells after its own that may hold links of a vector."""
         for pdf in batches:
-            out = []
+            seen = np.empty(len(pdf), object)
             for kind, at in pdf.groupby("kind").indices.items():
-                own, c = told.value[kind], sent.value.get(kind)
+                c, home = sent.value.get(kind), pdf["home"].to_numpy()[at]
                 if c is None:
+                    seen[at] = [[] for _ in at]
                     continue
                 x, n = _unit(pdf["v"].iloc[at])
-                angles = np.arccos(np.clip((x / n[:, None]) @ c.T, -1, 1))
-                radius, blocks = np.full(len(c), -1.0), np.zeros(len(c), np.int64)  # nobody visits a cell without members
-                radius[own.index], blocks[own.index] = own["radius"] + reach, own["blocks"]
-                for r, i in enumerate(at.tolist()):
-                    home = int(pdf["home"].iloc[i])
-                    guests = home << 24 | int(pdf["node"].iloc[i]) % int(blocks[home])
-                    for cell in np.flatnonzero(angles[r, home + 1 :] <= radius[home + 1 :]) + home + 1:
-                        out += [(i, cell, guests, o) for o in range(blocks[cell])]
-            picked = pdf.iloc[[o[0] for o in out]].reset_index(drop=True)
-            for name, k in (("cell", 1), ("guests", 2), ("block", 3)):
-                picked[name] = [o[k] for o in out]
-            yield picked[["node", "n", "kind", "v", "cell", "guests", "block"]]
-
-    columns = ["node", "n", "kind", "v", "cell", "guests", "block", "side", "same"]
-    visitors = placed.mapInPandas(visits, "node long, n long, kind string, v array<double>, cell long, guests long, block long")
-    seated = placed.join(F.broadcast(cells.select("kind", "home", "blocks")), ["kind", "home"])
-    seated = seated.withColumn("block", F.pmod("node", F.col("blocks"))).withColumnRenamed("home", "cell")
-    # a cell's blocks meet each block of guests from an earlier cell
-    met = visitors.select("kind", "cell", "guests").distinct()
-    hosts = seated.join(met, ["kind", "cell"]).withColumns({"side": F.lit(1), "same": F.lit(False)})
+                near = (x / n[:, None]) @ c.T
+                radius = np.full(len(c), -1.0)  # nobody visits a cell without members
+                radius[told.value[kind].index] = told.value[kind] + reach
+                # vectors nearest to another centre lie beyond the plane halfway to it
+                apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-24))[home]
+                plane = np.arcsin(np.clip((near[np.arange(len(at)), home][:, None] - near) / apart, 0, 1))
+                goes = (np.arccos(np.clip(near, -1, 1)) <= radius) & (plane <= reach) & (np.arange(len(c)) > home[:, None])
+                seen[at] = [np.flatnonzero(g).tolist() for g in goes]
+            yield pdf[["node", "n", "kind", "v", "home"]].assign(seen=seen)
+
+    seated = save(placed.mapInPandas(visits, "node long, n long, kind string, v array<double>, home long, seen array<long>"), "visits")
+    guests = seated.select("kind", F.explode("seen").alias("home")).groupBy("kind", "home").agg(F.count(F.lit(1)).alias("guests"))
+    sizes = cells.join(guests, ["kind", "home"], "left").select(
+        "kind",
+        F.col("home").alias("cell"),
+        F.ceil(F.col("rows") / block_rows).alias("blocks"),
+        F.ceil(F.coalesce("guests", F.lit(0)) / block_rows).alias("chunks"),
+    )
+    sizes = F.broadcast(save(sizes, "cell-sizes"))  # one row per cell
+    columns = ["node", "n", "kind", "v", "cell", "block", "guests", "side", "same"]
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    visitors = seated.select("node", "n", "kind", "v", F.explode("seen").alias("cell")).join(sizes, ["kind", "cell"])
+    visitors = visitors.withColumn("guests", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("block", up_to("blocks"))
     visitors = visitors.withColumns({"side": F.lit(0), "same": F.lit(False)})
-    # and one another: the lower number of a pair of blocks is kept as guests below zero
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    within = seated.withColumn("other", other).withColumns(
+    members = seated.withColumnRenamed("home", "cell").join(sizes, ["kind", "cell"]).withColumn("block", F.pmod("node", F.col("blocks")))
+    hosts = members.where("chunks > 0").withColumn("guests", up_to("chunks")).withColumns({"side": F.lit(1), "same": F.lit(False)})
+    # blocks meet one another as well: the lower number of a pair is kept as guests below zero
+    within = members.withColumn("other", up_to("blocks")).withColumns(
         {
             "guests": -1 - F.least("block", "other"),
             "side": (F.col("block") > F.col("other")).cast("int"),
