@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import components, save, text_key
+from quire.llm.common import components, fresh, save, text_key
 
 BITS = 64
 SHINGLE = 3
@@ -35,24 +35,29 @@ def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[in
     return joined, starts, ends[shingle - 1 :] or [len(joined)]
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles, repeats included; a text of fewer words is one shingle."""
     joined, starts, ends = _shingles(text, shingle)
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends)], np.uint64))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, len(ends))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(_hashes(text, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Per bit, whether over half of the hashes have it; 0 for none."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles as an unsigned number; 0 for a text without words."""
-    joined, starts, ends = _shingles(text, shingle)
-    if not ends:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(BITS, np.int64), len(ends)
-    for at in range(0, n, BLOCK):
-        h = [digest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return _majority(_hashes(text, shingle))
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -161,16 +166,22 @@ def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def similar(
-    docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    docs: DataFrame,
+    similarity: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``text_key``, ``root`` and ``component_id`` over links of exact similarity.
 
     Two texts are linked if the Jaccard similarity of their sets of word
-    shingles is ``similarity`` or more. A radius of a 64-bit fingerprint does not
-    bound that: texts at 0.8 differ in 10 bits on average and in 17 now and
+    shingles is ``similarity`` or more. Candidates come first from multi-index
+    hashing of their fingerprints, within ``radius`` bits. That alone does not
+    find all: texts at 0.8 differ in 10 bits on average and in 17 now and
     then, and segments small enough for it hold a few bits, which all texts
-    share. So candidates come from bands of least hashes. Texts equal but for
-    case and white space are merged before. Within a bucket each row meets the
+    share. So more candidates come from bands of least hashes. Texts equal but
+    for case and white space are merged before. Within a bucket each row meets the
     two before it in the order of the next band, and the bucket's leader, the
     text whose buckets have the most rows in all: that is the middle of a
     group whose outer texts are only like the middle. So a large bucket costs
@@ -180,22 +191,31 @@ def similar(
     and are not linked over others either.
     """
 
-    @F.pandas_udf("struct<node: long, bands: array<long>>")
+    @F.pandas_udf("struct<node: long, fp: long, bands: array<long>>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             joined, _, _ = _shingles(t, shingle)
             node = int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "big", signed=True)
-            out.append((node, bands(shingle_set(t, shingle)) if joined else []))
-        return pd.DataFrame(out, columns=["node", "bands"])
+            h = _hashes(t, shingle)
+            fp = _majority(h)
+            out.append((node, fp - (fp >> 63 << 64), bands(np.unique(h)) if joined else []))
+        return pd.DataFrame(out, columns=["node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.select("id", text_key(F.col("text")).alias("text_key"), marks("text").alias("m"))
-    marked = save(marked.select("id", "text_key", "m.node", "m.bands"), "marks")
+    marked = save(marked.select("id", "text_key", "m.node", "m.fp", "m.bands"), "marks")
     nodes = marked.groupBy("node").agg(
-        F.min("id").alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")
+        F.min("id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
     )
     nodes = save(nodes, "nodes")
+    # texts of one fingerprint meet the least of them, and those of linked fingerprints meet one another
+    firsts = nodes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("first"))
+    firsts = save(firsts, "fingerprints")
+    within = nodes.where("size(bands) > 0").join(firsts, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node")) for x in ("src", "dst")]
+    near = links(firsts.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst")
+    near = near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")).union(within)
     turned = F.expr("transform(bands, (x, i) -> struct(x as bucket, bands[(i + 1) % size(bands)] as next))")
     dealt = nodes.select("node", F.explode(turned).alias("b")).select("b.bucket", "b.next", "node")
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -205,7 +225,8 @@ def similar(
     led = shared.where(f"n > {BEFORE + 1}").join(leaders.select("bucket", F.col("leader.node").alias("dst")), "bucket")
     led = led.where("node <> dst").select(F.col("node").alias("src"), "dst")
     ranked = shared.select("bucket", "next", "node").repartition("bucket").sortWithinPartitions("bucket", "next", "node")
-    pairs = save(ranked.mapInPandas(_beside, "src long, dst long").union(led).distinct(), "pairs")
+    pairs = ranked.mapInPandas(_beside, "src long, dst long").union(led).union(near)
+    pairs = save(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
 
     met = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     met = nodes.select("node", "text_key").join(met, "node", "left_semi")
@@ -249,12 +270,12 @@ def keep_one(
     if similarity is None:
         groups = near_duplicates(docs, id_col, text_col, shingle, radius)
     else:
-        groups = similar(docs, similarity, id_col, text_col, shingle)
+        groups = similar(docs, similarity, id_col, text_col, shingle, radius)
+    own = lambda key, i: text_key(F.concat(F.hex(key), F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit(""))))
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root")
     stay = stay.agg(F.min(F.struct("text_key", id_col)).alias("one"))
-    stay = save(stay.select(F.col("one.text_key").alias("_q_key"), F.col(f"one.{id_col}").alias("_q_id")), "kept")
-    keyed = docs.withColumn("_q_own", text_key(F.col(text_col)))
-    found = keyed.join(
-        stay, (F.col("_q_own") == F.col("_q_key")) & F.col(id_col).eqNullSafe(F.col("_q_id")), "left_semi"
-    )
-    return found.dropDuplicates([id_col, "_q_own"]).drop("_q_own").select(*docs.columns)
+    name = fresh("_q_row", docs)
+    stay = save(stay.select(own(F.col("one.text_key"), F.col(f"one.{id_col}")).alias(name)), "kept")
+    # one key for the join and for the rows that repeat, so that texts are moved once
+    keyed = docs.withColumn(name, own(text_key(F.col(text_col)), F.col(id_col)))
+    return keyed.join(stay, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
