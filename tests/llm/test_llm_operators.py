@@ -196,6 +196,17 @@ def test_token_counts(spark, docs, rows, tmp_path, name):
     for _ in range(2):  # the second run only reads the cache
         same(token_counts.token_counts(docs, path, str(tmp_path)).collect(), wanted)
     cached = spark.read.parquet(str(tmp_path))
+    half = str(tmp_path / "half")
+    token_counts.fill_cache(docs.where("doc_id % 2 = 0"), path, half)
+    held = spark.read.parquet(half).count()
+    token_counts.fill_cache(docs.where("doc_id % 2 = 0"), path, half)  # all hits: nothing is appended
+    assert 0 < held == spark.read.parquet(half).count() < cached.count()
+    spark.read.parquet(half).write.mode("append").partitionBy("tokenizer").parquet(half + "-twice")
+    spark.read.parquet(half).write.mode("append").partitionBy("tokenizer").parquet(half + "-twice")  # two writers side by side
+    for folder in (half, half + "-twice"):
+        same(token_counts.token_counts(docs, path, folder).collect(), wanted)
+    missing = {t or "" for i, t, _, _ in rows} - {t or "" for i, t, _, _ in rows if i is not None and i % 2 == 0}
+    assert spark.read.parquet(half).count() == held + len(missing)
     assert cached.count() == len({t or "" for _, t, _, _ in rows})
     assert token_counts.token_counts(frame(spark, []), path, str(tmp_path / "new")).count() == 0
 
@@ -228,6 +239,46 @@ def test_suffix_dedup_of_short_strings_over_many_texts(spark):
     same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), [(x[0], *w) for x, w in zip(rows, wanted)])
 
 
+def test_suffix_dedup_with_very_many_boundaries(spark, docs, rows, monkeypatch):
+    """Buckets of a few suffixes: equal ones and groups of one core lie on both sides of most boundaries."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    r = random.Random(13)
+    texts = [sentence(r, 60, ["ab", "cd", "ef", "longer"]) for _ in range(30)] + ["xy" * 300, "z" * 300, "a b " * 90]
+    texts += [t[:150] + "#" + t[150:] for t in texts[:6]]
+    found = suffix_dedup.dedup(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).repartition(3), length=60, gram=20)
+    wanted = repeats_of([t.encode() for t in texts], 60)
+    same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), [(i, *w) for i, w in enumerate(wanted)])
+
+
+def test_suffix_dedup_counts_repeated_words(spark, docs, rows):
+    found = suffix_dedup.dedup(docs, words=51)
+    assert found.select("doc_id", "n_removed").exceptAll(suffix_dedup.dedup(docs).select("doc_id", "n_removed")).isEmpty()
+    whole = [(t or "").encode().split() for _, t, _, _ in rows]
+    seen = Counter(tuple(w[p : p + 51]) for w in whole for p in range(len(w) - 50))
+    wanted = []
+    for (i, _, _, _), w in zip(rows, whole):
+        hit = [False] * len(w)
+        for p in range(len(w) - 50):
+            if seen[tuple(w[p : p + 51])] > 1:
+                hit[p : p + 51] = [True] * 51
+        wanted.append((i, sum(hit)))
+    same(found.select("doc_id", "n_repeated_words").collect(), wanted)
+    texts = {i: t for i, t, _, _ in rows}
+    for x in found.where("doc_id >= 300 and doc_id < 310").collect():
+        cut = b" ".join(texts[x.doc_id].encode()[s.start : s.end] for s in x.repeated)
+        assert len(cut.split()) == x.n_repeated_words > 0
+
+
+def test_word_digests_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(2)
+    data = (sentence(r, 500) + " " + "q" * 900 + "\tend").encode()
+    whole = suffix_dedup.Words(data)
+    assert [data[a:b] for a, b in zip(whole.starts, whole.ends)] == data.split()
+    assert len(set(whole.values.tolist())) == len(set(data.split()))
+    monkeypatch.setattr(suffix_dedup, "STEP", 100)
+    assert (suffix_dedup.Words(data).values == whole.values).all()
+
+
 def test_anchors_do_not_depend_on_steps(monkeypatch):
     r = random.Random(2)
     data = sentence(r, 3000).encode() + b"z" * 3000
@@ -301,7 +352,55 @@ def test_toxicity_finds_held_out_words(spark):
     assert whole.score(parts) == pytest.approx(one, abs=1e-6)
     toxicity.PIECE = old
     empty = toxicity.fit(docs, marks.limit(0))
-    assert toxicity.score(docs, empty).count() == len(rows)
+    scores = {x.toxicity.score for x in toxicity.score(docs, empty).collect()}
+    assert len(scores) == 1 and scores.pop() < 0.5
+    clash = docs.withColumn("toxicity", F.lit("own")).withColumn("_q_limit", F.lit(1))
+    again = toxicity.score(clash.union(clash), fitted)
+    assert again.columns == clash.columns and again.count() == 2 * len(rows) and again.first()["_q_limit"] == 1
+    # long labelled texts are passed over, whatever their place; a short bound leaves the short ones
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat("text", 3000)).otherwise(F.col("text")))
+    part = toxicity.score(docs, toxicity.fit(long, marks.where(~toxicity.held_out())))
+    got = {x.doc_id: x.toxicity.score for x in part.collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+
+
+def test_network_against_plain_loops_and_numeric_gradients():
+    net = toxicity.Network(buckets=50, dim=3, widths=(1, 3), filters=2)
+    for name in ("emb", "bias", "top", "base"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.conv = [c.astype(np.float64) for c in net.conv]
+    net.bias += 0.3
+    texts = [toxicity.hashed_words(t, 50) for t in ("a bc def", "", "one two three four five six", "x")]
+    for ids in texts:
+        x = [sum(net.emb[b] for b in row) for row in ids] or [np.zeros(3)]
+        x += [np.zeros(3)] * 2
+        hidden = []
+        for c in net.conv:
+            for f in range(2):
+                values = [sum(x[i + j] @ c[j][:, f] for j in range(len(c))) for i in range(max(1, len(ids)))]
+                hidden.append(max(0.0, max(values) + net.bias[len(hidden)]))
+        z = np.dot(hidden, net.top) + net.base[0]
+        assert net.score(ids) == pytest.approx(1 / (1 + np.exp(-z)))
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    _, grads = net.gradients(texts, y)
+    for p, g in zip(net.parameters(), grads):
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 20)]:
+            was = p[at]
+            p[at] = was + 1e-6
+            up = net.gradients(texts, y)[0]
+            p[at] = was - 1e-6
+            down = net.gradients(texts, y)[0]
+            p[at] = was
+            assert (up - down) / 2e-6 == pytest.approx(g[at], abs=1e-5)
+
+
+def test_thresholds_by_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        toxic, clean = r.random(7).round(1), r.random(9).round(1)
+        t = toxicity.threshold(toxic, clean)
+        best = max((toxic >= x).mean() + (clean < x).mean() for x in np.linspace(-0.01, 1.01, 500))
+        assert (toxic >= t).mean() + (clean < t).mean() == pytest.approx(best)
 
 
 def plain_best_fit(pieces, capacity, per_source):
@@ -464,15 +563,34 @@ def test_components(spark):
     same(found.collect(), [(n, nodes[t]) for n, t in zip(nodes, tops)])
 
 
-def test_sharding(spark, docs, rows):
-    found = pd.DataFrame([x.asDict() for x in sharding.shard(docs, 5).collect()])
-    assert len(found) == len(rows)
+def plain_shards(rows, shards):
+    """(id, size, shard, slot) of ``id, size, key, tie`` rows, class by class, each row by the byte at its middle."""
+    held, count, out = [0] * shards, [0] * shards, []
+    for c in sorted({r[1].bit_length() for r in rows}, reverse=True):
+        own = sorted((r for r in rows if r[1].bit_length() == c), key=lambda r: (r[2], r[3], r[0] is not None, r[0] or 0, r[1]))
+        edges, at, got = np.cumsum(sharding._room(held, sum(r[1] for r in own)))[:-1], 0, [0] * shards
+        for r in own:
+            s = sum(2 * e <= 2 * at + r[1] for e in edges)
+            at += r[1]
+            out.append((r[0], r[1], s, count[s]))
+            count[s] += 1
+            got[s] += r[1]
+        held = [a + b for a, b in zip(held, got)]
+    return out
+
+
+@pytest.mark.parametrize("shards, options", [(5, {}), (3, {"sample": 40, "ranges_per_shard": 2}), (1, {})])
+def test_sharding_against_a_scan(spark, docs, rows, shards, options):
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select("doc_id", (F.octet_length(text) + 16).alias("size"), F.xxhash64(text), F.xxhash64("doc_id")).collect()
+    found = sharding.shard(docs, shards, **options)
+    same(found.select("doc_id", "size", "shard", "slot").collect(), plain_shards([tuple(r) for r in keys], shards))
+    found = pd.DataFrame([x.asDict() for x in found.collect()])
     sizes = [len((t or "").encode()) + 16 for _, t, _, _ in rows]
     assert found["size"].sum() == sum(sizes)
     assert sorted(found.text_crc32) == sorted(zlib.crc32((t or "").encode()) for _, t, _, _ in rows)
     for _, part in found.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
-    assert found.groupby("shard")["size"].sum().sub(sum(sizes) / 5).abs().max() <= max(sizes)
     assert sharding.shard(frame(spark, [])).count() == 0
 
 
@@ -515,27 +633,45 @@ def test_language_id(spark):
     assert [x.lang for x in unlearned] == ["und"]
 
 
-def test_phrases_against_a_search_in_the_labelled_text():
+@pytest.mark.parametrize("block, lanes", [(512, 4096), (7, 5), (1, 3)])
+def test_phrases_against_a_search_in_the_labelled_text(monkeypatch, block, lanes):
+    """Whole texts, whatever blocks they are parsed in: long ones, periodic ones, parts of the labelled text, rare letters."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "LANES", lanes)
     r = random.Random(8)
-    labelled = {"a": sentence(r, 200), "b": sentence(r, 150, ["xy", "yz", "zx"])}
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E40))
+    labelled = {"a": sentence(r, 200), "b": sentence(r, 150, ["xy", "yz", "zx"]), "c": "".join(r.choice(many) for _ in range(300)) + "\U00020000"}
     model = language_id.build(labelled)
     lines = {n: "".join(map(chr, language_id.symbols_of(t, model.symbols)[0])) for n, t in labelled.items()}
-    texts = [sentence(r, 90), "xyz yzx " * 30, "q", "ab cdx", "ÀÉ " * 4]
-    found, _ = language_id.phrases(texts, model)
+    texts = [sentence(r, 90), "xyz yzx " * 30, "q", "ab cdx", "ÀÉ " * 4, sentence(r, 400), labelled["a"][100:700], "ab " * 300, "", None, labelled["c"][50:90], many[::-1] + "\U00020000\U00020001"]
+    found, lettered = language_id.phrases(texts, model)
+    assert lettered.tolist() == [bool(t) for t in texts]
     for i, t in enumerate(texts):
-        line = "".join(map(chr, language_id.symbols_of(t, model.symbols)[0]))
+        line = "".join(map(chr, language_id.symbols_of(t or "", model.symbols)[0]))
         for k, n in enumerate(model.names):
-            count = 0
-            for at in range(0, len(line), language_id.BLOCK):
-                block, here = line[at : at + language_id.BLOCK], ""
-                count += 1
-                for c in block:
-                    if here + c in lines[n]:
-                        here += c
-                    else:
-                        count += 1
-                        here = c if c in lines[n] else ""
-            assert found[i, k] == count
+            count, here = int(bool(line)), ""
+            for c in line:
+                if here + c in lines[n]:
+                    here += c
+                else:
+                    count += 1
+                    here = c if c in lines[n] else ""
+            assert found[i, k] == count, (i, n)
+    assert found[10].argmin() == 2
+
+
+def test_scripts_of_many_letters_stay_apart():
+    """Two languages whose letters are all rare ones: the same symbol for all would make them one."""
+    r = random.Random(9)
+    one, two = ("".join(chr(first + i) for i in range(400)) for first in (0xAC00, 0x4E00))
+    write = lambda letters: " ".join("".join(r.choice(letters) for _ in range(3)) for _ in range(800))
+    model = language_id.build({"en": sentence(r, 900), "ko": write(one), "zh": write(two)})
+    found, _ = language_id.phrases([write(one), write(two), sentence(r, 50)], model)
+    assert (found * model.weights).argmin(axis=1).tolist() == [1, 2, 0]
+
+
+def test_learned_texts_are_whole():
+    assert language_id._fitting(["aaaa", "b" * 9, "cc", "d" * 90], 12) == "aaaa\ncc"
 
 
 def plain_hits(text, items):
@@ -567,8 +703,10 @@ def test_decontamination(spark):
     docs = frame(spark, rows)
     table = spark.createDataFrame(items, "item_id long, text string")
     wanted = [(i, *plain_hits(t, items)) for i, t, _, _ in rows]
+    clash = docs.withColumn("_q_hits", F.lit(1)).withColumn("f", F.lit(2))
     for block in (64 << 20, 500):  # in one automaton, or in several one after another
-        found = decontaminate.scan(docs, table, out="f", block_bytes=block)
+        found = decontaminate.scan(clash, table, out="f", block_bytes=block)
+        assert found.columns == clash.columns
         same(found.select("doc_id", "f.n_words", "f.n_hit", "f.n_items", "f.items_sha256").collect(), wanted)
     for x in found.where("f.n_hit > 0").collect():
         parts = [x.text.encode()[s.start : s.end].decode() for s in x.f.spans]
