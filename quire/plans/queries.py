@@ -6,6 +6,7 @@ in reading order (a turn's role is its tone), embeddings for scene vectors.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
 from quire.operators import enrich, gates, paragraphs, relational, scenes, search, upsert
-from quire.sources import archive, tables
+from quire.plans import flow
+from quire.sources import archive, catalog, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -432,6 +434,143 @@ def enrichment_applied(spark, sf_dir):
     return made.select("scene_id", "dominant_tone", "prev_tone", "next_tone", "enriched", "enrich_model")
 
 
+# -- the catalog: parts stand for books, several rows to a book; models: stubs that answer wrongly now and then
+
+
+def _catalog(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part")
+    rows = parts.select(
+        (F.col("p_partkey") % 500).cast("string").alias("Text#"),
+        F.col("p_name").alias("Title"),
+        F.concat("p_brand", F.lit(", Ann, 1802-1870; "), "p_type", F.lit(", Bo [Translator]")).alias("Authors"),
+        F.concat("p_type", F.lit("; "), "p_brand", F.lit(";; "), "p_type").alias("Subjects"),
+        F.lit("en").alias("Language"),
+        F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd").alias("Issued"),
+        "p_partkey",
+    )
+    return catalog.last_wins(rows, "p_partkey")
+
+
+def _flat(books):
+    return books.withColumn("Subjects", F.array_join("Subjects", "|"))
+
+
+CATALOG = """last as (select p_partkey % 500 as k, max(p_partkey) as p_partkey from part group by 1),
+books as (select cast(k as varchar) as "ID", 'https://www.gutenberg.org/ebooks/' || k as "Link", 'Ann ' || p_brand as "Author", 'Bo ' || p_type as "Translator",
+  p_name as "Title", array_to_string(list_sort(list_distinct([p_type, p_brand])), '|') as "Subjects",
+  strftime(date '2001-01-01' + cast(p_size as int), '%B ') || day(date '2001-01-01' + cast(p_size as int)) || strftime(date '2001-01-01' + cast(p_size as int), ', %Y') as "Date",
+  'en' as "Language" from last join part using (p_partkey))"""
+
+
+@query(f"with {CATALOG} select * from books")
+def catalog_metadata(spark, sf_dir):
+    return _flat(catalog.metadata(_catalog(spark, sf_dir)))
+
+
+@query(f"with {CATALOG} select * from books where cast(\"ID\" as int) % 3 = 0")
+def catalog_by_code(spark, sf_dir):
+    """The books that a list of codes asks for; the codes repeat."""
+    codes = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("code")).where("code % 3 = 0")
+    return _flat(catalog.metadata(_catalog(spark, sf_dir), codes.select(F.col("code").cast("string").alias("code"))))
+
+
+@query("select doc_id, cast(coalesce(length(text), 0) as bigint) as n from documents")
+def read_through(spark, sf_dir):
+    """Every document through a cache that half of them are in already."""
+    docs, path = _t(spark, sf_dir, "documents").select("doc_id", "text"), tables.scratch(spark, "cache")
+    make = lambda rows: rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    tables.read_through(docs.where("doc_id % 2 = 0"), path, "doc_id long, n long", "doc_id", make)
+    return tables.read_through(docs, path, "doc_id long, n long", "doc_id", make)
+
+
+@query(f"""with {SCENES}, sized as (select book_id, pos, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{WHITE}+', ' ', 'g')) as t from scenes),
+{PACKED.format(group="book_id", order="pos", size="length(t)", table="sized", limit=12000)}
+select g as book_id, cast(part as bigint) as batch, cast(count(*) as bigint) as n, md5(string_agg(t, '|' order by o)) as texts_md5, 'turn ' || min(o) as first_title
+from packed join sized on book_id = g and pos = o group by 1, 2""")
+def enrich_payload(spark, sf_dir):
+    batches = enrich.batched(_records(spark, sf_dir).withColumnRenamed("text", "text_html"))
+    told = enrich.payloads(batches)
+    read = F.from_json("payload", "scenes array<struct<index int, scene_title string, chapter_title string, text string>>")["scenes"]
+    told = told.withColumn("s", read)
+    texts = F.array_join(F.transform("s", lambda x: x["text"]), "|")
+    return told.select("book_id", F.col("batch").cast("long").alias("batch"), F.size("s").cast("long").alias("n"), F.md5(texts).alias("texts_md5"), F.get("s", F.lit(0))["scene_title"].alias("first_title"))
+
+
+@query(f"""with {STITCHED}, wanted as (select book_id, scene, unnest(range(s, e + 1)) as idx from stitched),
+texts as (select w.book_id, w.scene, string_agg(regexp_replace(p.text, '{WHITE_ENDS}', '', 'g'), ' ' order by w.idx) as t
+  from wanted w join paras p on p.book_id = w.book_id and p.idx = w.idx group by 1, 2)
+select s.book_id || '-' || scene as scene_id, lag(s.book_id || '-' || scene) over w as prev_scene_id, lead(s.book_id || '-' || scene) over w as next_scene_id,
+  title as scene_title, case when exists (select 1 from paras p where p.book_id = s.book_id and p.idx = s.s) then 'chapter ' || s.s // 5 end as chapter_title,
+  stitch_status, d.source as author, d.lang as language, false as enriched,
+  cast(len(list_filter(string_split(regexp_replace(regexp_replace(coalesce(t, ''), '<[^>]+>', ' ', 'g'), '{WHITE}+', ' ', 'g'), ' '), lambda x: x <> '')) as int) as word_count
+from stitched s left join texts using (book_id, scene) left join documents d on cast(d.doc_id as varchar) = s.book_id window w as (partition by s.book_id order by scene)""")
+def scene_records(spark, sf_dir):
+    """Whole scene records, with the chapter of the paragraph they start at and their book's metadata."""
+    numbered = _paragraphs(spark, sf_dir).withColumn("chapter_title", F.concat(F.lit("chapter "), F.floor(F.col("idx") / 5).cast("string")))
+    books = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ID"), F.col("source").alias("Author"), F.col("lang").alias("Language"))
+    made = scenes.records(_ranges(spark, sf_dir), numbered, books)
+    return made.select("scene_id", "prev_scene_id", "next_scene_id", "scene_title", "chapter_title", "stitch_status", "author", "language", "enriched", "word_count")
+
+
+@query(f"""with {SCENES} select scene_id, cast(pos as int) as pos, cast(case when pos % 2 = 0 then 5 else 0 end as bigint) as n_descriptors,
+  case when pos % 2 = 0 then 'e' end as last_descriptor from scenes""")
+def row_roundtrip(spark, sf_dir):
+    """Records to rows of the relational table and their descriptors back from JSON."""
+    five = F.when(F.col("pos") % 2 == 0, F.array(*[F.lit(x) for x in "abcde"]))
+    rows = relational.reinflated(relational.mirror(_records(spark, sf_dir).withColumn("descriptors", five)))
+    return rows.select("scene_id", "pos", F.size("descriptors").cast("long").alias("n_descriptors"), F.get("descriptors", F.lit(4)).alias("last_descriptor"))
+
+
+@query(f"""with {SCENES} select scene_id, cast(null as varchar) as summary, false as enriched, cast(null as varchar) as enrich_model,
+  case when pos % 2 = 0 then 'steady' end as arc from scenes""")
+def gate_reset(spark, sf_dir):
+    """Scenes that are to be enriched anew: the summary and its marks go, the other facets stay."""
+    even = F.col("pos") % 2 == 0
+    rows = _records(spark, sf_dir).withColumns({"summary": F.when(even, "One."), "enriched": even, "enrich_model": F.when(even, "stub"), "arc": F.when(even, "steady")})
+    return enrich.reset(rows, "enriched").select("scene_id", "summary", "enriched", "enrich_model", "arc")
+
+
+def _careless_labeller(payload: str, notes: list[str], warmth: float) -> str:
+    """One range over all paragraphs; it leaves the last out at first, and always where their number is divisible by 3."""
+    at = [p["index"] for p in json.loads(payload)["indexed_paragraphs"]]
+    short = len(at) % 3 == 0 or not notes
+    return json.dumps({"scenes_data": [{"start_paragraph_index": at[0], "end_paragraph_index": at[-1] - short, "title": "all"}]})
+
+
+@query(f"""with {LINES}, {PACKED.format(group="book_id", order="idx", size="length(text)", table="paras", limit=PACK_CHARS)}
+select g as book_id, cast(row_number() over (partition by g order by part) - 1 as bigint) as chunk_index, count(*) % 3 = 0 as failed,
+  cast(case when count(*) % 3 <> 0 then min(o) end as bigint) as start, cast(case when count(*) % 3 <> 0 then max(o) end as bigint) as "end" from packed group by g, part""")
+def labels_checked(spark, sf_dir):
+    """A labeller's answers, asked for again while a paragraph is left out; chunks that never get a valid one are named."""
+    told = flow.told(paragraphs.chunks(_paragraphs(spark, sf_dir), PACK_CHARS), _careless_labeller, attempts=2)
+    one = F.get("answer.scenes_data", F.lit(0))
+    return told.select(
+        "book_id",
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("failure").isNotNull().alias("failed"),
+        *[one[f"{x}_paragraph_index"].cast("long").alias(x) for x in ("start", "end")],
+    )
+
+
+def _careless_enricher(payload: str, notes: list[str], warmth: float) -> str:
+    """Facets for each scene, with a tone of no vocabulary for every third one; the last scene of a batch gets none where there are several."""
+    told = [s["index"] for s in json.loads(payload)["scenes"]]
+    facets = {"intensity": "low", "arc": "turn", "descriptors": list("abcde"), "summary": "s"}
+    named = told[:-1] if len(told) > 1 else told
+    return json.dumps({"items": [{"index": i, "dominant_tone": "joy" if i % 3 else "odd", **facets} for i in named]})
+
+
+@query(f"""with {SCENES}, sized as (select book_id, pos, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{WHITE}+', ' ', 'g'))) as n from scenes),
+{PACKED.format(group="book_id", order="pos", size="n", table="sized", limit=12000)},
+placed as (select g, o, row_number() over (partition by g, part order by o) - 1 as i, count(*) over (partition by g, part) as k from packed)
+select g || '-' || o as scene_id, case when k > 1 and i = k - 1 then 'no item' when i % 3 = 0 then 'facets out of vocabulary' end as failure,
+  case when (k = 1 or i < k - 1) and i % 3 <> 0 then 'joy' end as dominant_tone from placed""")
+def facets_checked(spark, sf_dir):
+    """An enricher's answers, taken as they are: scenes without an item, or with an invalid one, are named."""
+    batches = enrich.batched(_records(spark, sf_dir).withColumnRenamed("text", "text_html"))
+    return enrich.ask(batches, _careless_enricher, None).select("scene_id", "failure", "dominant_tone")
+
+
 # -- vectors: embeddings stand for summaries, reversed ones for descriptors; every row whose id is divisible by 20 is a query
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import display_date, flipped_name, parts_of, subjects
+from quire.operators.upsert import latest
 
 COLUMNS = ["Text#", "Title", "Authors", "Subjects", "Language", "Issued"]
 
@@ -13,13 +14,14 @@ COLUMNS = ["Text#", "Title", "Authors", "Subjects", "Language", "Issued"]
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows as strings; of rows with one ``Text#`` the last in the file stays."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    rows = raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in COLUMNS])
-    rest = [c for c in COLUMNS if c != "Text#"]
     # a multi-line file is one split, so its rows have rising numbers
-    last = rows.withColumn("_n", F.monotonically_increasing_id()).groupBy("Text#").agg(
-        F.max_by(F.struct(*rest), F.struct(F.lit(0), "_n")).alias("r")
-    )
-    return last.select("Text#", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return last_wins(raw.withColumn("_n", F.monotonically_increasing_id()), "_n")
+
+
+def last_wins(rows: DataFrame, order: str) -> DataFrame:
+    """One row per ``Text#``, the last by ``order``; nulls become empty texts."""
+    full = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in COLUMNS], F.col(order).alias("_order"))
+    return latest(full, ["Text#"], ["_order"]).select(*COLUMNS)
 
 
 def metadata(catalog: DataFrame, codes: DataFrame | None = None, link: str = "https://www.gutenberg.org/ebooks/") -> DataFrame:
