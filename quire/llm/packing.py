@@ -7,12 +7,11 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import save
 
-RESULT = (
-    "seq_shard int, seq long, slot int, doc_id long, part int, start long, n_units long, source string, residual long"
-)
+RESULT = "seq_shard int, seq long, slot int, doc_id {}, part int, start long, n_units long, source string, residual long"
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int = 1) -> list[int]:
@@ -76,7 +75,7 @@ def pack(
     from the largest piece to the smallest. Only lengths and hashes are moved,
     never texts. Null, blank and empty texts have no words and no row; a null
     source conflicts with nothing; rows that repeat a document are placed
-    apart. Null ids are kept as null. An empty table gives no rows; further
+    apart. Ids may be of any type, and null ids are kept as null. An empty table gives no rows; further
     columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -84,7 +83,7 @@ def pack(
     folded = F.trim(F.regexp_replace(blank, " {2,}", " "))
     # folded is a column of its own, so that it is made once a row; the empty ones go after the write for the same reason
     held = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
         (cluster if cluster is not None else F.lit(None).cast("long")).alias("given"),
         folded.alias("folded"),
@@ -104,16 +103,19 @@ def pack(
     total = rows.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
     shards = max(1, -(-total // units_per_shard))
 
+    kind = docs.schema[id_col].dataType
+    whole_ids = isinstance(kind, T.IntegralType)
+
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = []
         names = {s: i for i, s in enumerate(sorted({s for s in pdf["source"] if s is not None}))}
         bits = {c: i for i, c in enumerate(sorted(set(pdf["cluster"])))}
         for r in pdf.itertuples(index=False):
-            doc = None if r.doc_id is None or r.doc_id != r.doc_id else int(r.doc_id)
+            doc = None if r.doc_id is None or r.doc_id != r.doc_id else int(r.doc_id) if whole_ids else r.doc_id
             for part, start in enumerate(range(0, int(r.units), capacity)):
                 size = min(capacity, int(r.units) - start)
                 pieces.append((size, r.cluster, doc, part, start, r.source, r.h))
-        pieces.sort(key=lambda p: (-p[0], p[6], p[2] if p[2] is not None else -1, p[3]))
+        pieces.sort(key=lambda p: (-p[0], p[6], str(p[2]), p[3]))
         chosen = best_fit([(p[0], names.get(p[5], -1), bits[p[1]]) for p in pieces], capacity, per_source)
         held: dict[int, int] = {}
         count: dict[int, int] = {}
@@ -124,7 +126,7 @@ def pack(
             slot = count[b] = count.get(b, -1) + 1
             out.append((int(pdf["shard"].iloc[0]), b, slot, p[2], p[3], p[4], p[0], p[5], capacity - held[b]))
         out = pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
-        return out.astype({"doc_id": "Int64"})
+        return out.astype({"doc_id": "Int64"}) if whole_ids else out
 
     dealt = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(packed, RESULT)
+    return dealt.groupBy("shard").applyInPandas(packed, RESULT.format(kind.simpleString()))

@@ -448,6 +448,11 @@ def test_packing(spark, docs, rows):
         assert all(n <= 2 for s, n in Counter(p.source for p in b).items() if s is not None)
     assert len({p.seq_shard for p in found}) > 1
     assert packing.pack(frame(spark, [])).count() == 0
+    named = packing.pack(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), capacity=256)
+    again = Counter()
+    for p in named.collect():
+        again[p.doc_id] += p.n_units
+    assert again == Counter({f"d{i}" if i is not None else None: n for i, n in units.items()})
 
 
 def plain_fingerprint(text):
