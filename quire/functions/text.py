@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ SPACE = r"[\s\u0085\p{Z}\x1c-\x1f]"
 TAG = "<[^>]+>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
@@ -26,15 +32,17 @@ def plain(html: Column) -> Column:
 
 
 def word_count(html: Column) -> Column:
-    words = plain(html)
-    return F.when(words == "", 0).otherwise(F.size(F.split(words, " "))).cast("long")
+    return let(plain(html), lambda words: F.when(words == "", 0).otherwise(F.size(F.split(words, " "))).cast("long"))
 
 
 def summary(text: Column) -> Column:
     """One sentence: white space collapsed, first letter upper case, one period at the end; null if nothing is left."""
-    one = collapse(text)
-    whole = F.concat(F.upper(F.substring(one, 1, 1)), F.substr(one, F.lit(2)))
-    return F.when(one != "", F.concat(F.regexp_replace(whole, "[ .]+$", ""), F.lit(".")))
+
+    def sentence(one: Column) -> Column:
+        whole = F.concat(F.upper(F.substring(one, 1, 1)), F.substr(one, F.lit(2)))
+        return F.when(one != "", F.concat(F.regexp_replace(whole, "[ .]+$", ""), F.lit(".")))
+
+    return let(collapse(text), sentence)
 
 
 def descriptors(terms: Column) -> Column:
