@@ -464,6 +464,45 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprints_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(4)
+    texts = [sentence(r, 300), "x" * 300 + " y", "", None, " \n ", "one two", "A  b\tC d", "q " * 99]
+    for size in (1, 3, 5):
+        whole = [simhash._hashes(t, size).tolist() for t in texts]
+        monkeypatch.setattr(simhash, "SLICE", 7)
+        assert [simhash._hashes(t, size).tolist() for t in texts] == whole
+        monkeypatch.undo()
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_very_long_texts(spark):
+    """One text of 120,000 words among short ones, in every operator that reads texts."""
+    r = random.Random(21)
+    long = sentence(r, 120_000)
+    rows = [(0, long, "en", "a"), (1, long + " and more", "en", "a"), (2, "short one", "en", "b"), (3, None, None, None)]
+    docs = frame(spark, rows)
+    assert license_scan.scan(docs).where("size(license.rules) = 0").count() == 4
+    prints = {x.doc_id: x.fp for x in simhash.near_duplicates(docs).collect()}
+    assert prints[0] == int(np.uint64(plain_fingerprint(long)).astype(np.int64))
+    units = packing.pack(docs).groupBy("doc_id").agg(F.sum("n_units").alias("n"), F.max("n_units").alias("most")).collect()
+    assert {x.doc_id: x.n for x in units} == {0: 120_000, 1: 120_002, 2: 2} and max(x.most for x in units) == 2048
+    cut = {x.doc_id: x.n_removed for x in suffix_dedup.dedup(docs).collect()}
+    assert cut[0] == len(long) and cut[1] == len(long) and cut[2] == 0
+    items = spark.createDataFrame([(1, " ".join(long.split()[-20:]))], "item_id long, text string")
+    hit = {x.doc_id: x.f.n_hit for x in decontaminate.scan(docs, items, out="f").collect()}
+    assert hit == {0: 20, 1: 20, 2: 0, 3: 0}
+    named = {x.doc_id: x.language.lang for x in language_id.identify(docs, frame(spark, [(9, sentence(r, 300), "en", "s")])).collect()}
+    assert named == {0: "en", 1: "en", 2: "en", 3: "und"}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    import tempfile
+
+    counts = {x.doc_id: x.n_tokens for x in token_counts.token_counts(docs, path, tempfile.mkdtemp()).collect()}
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    assert counts == {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t, _, _ in rows}
+
+
 def groups_of(n, linked):
     up = list(range(n))
 
