@@ -114,3 +114,27 @@ def inspection_payload(chunks: DataFrame, pretty: bool = False) -> DataFrame:
     )
     options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
     return chunks.select("book_id", "chunk_index", F.to_json(body, options).alias("payload"))
+
+
+INSPECTED = (
+    "chunk_index int, chapter_index int, chapter_heading string, part int, part_count int, context_count int, paragraph_count int, "
+    "context array<struct<index: int, text: string>>, paragraphs array<struct<index: int, text: string>>"
+)
+
+
+def from_inspection(payloads: DataFrame) -> DataFrame:
+    """Chunks as they were before ``inspection_payload``; a payload that is no such JSON is an error."""
+    read = F.from_json("payload", INSPECTED, {"mode": "FAILFAST"})
+    back = lambda c: F.transform(c, lambda p: F.struct(p["index"].alias("idx"), p["text"].alias("text")))
+    rows = payloads.select("book_id", read.alias("c"))
+    return rows.select(
+        "book_id", "c.chunk_index", "c.chapter_index", "c.chapter_heading", "c.part", "c.part_count",
+        back(F.col("c.context")).alias("context"), back(F.col("c.paragraphs")).alias("paragraphs"),
+    )
+
+
+def payload_dump(chunks: DataFrame) -> DataFrame:
+    """``book_id, payloads``: the inspection payloads of a book's chunks in order, for ``sources.tables.write_json``."""
+    rows = inspection_payload(chunks).groupBy("book_id")
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "payload")))
+    return rows.agg(F.transform(listed, lambda x: x["payload"]).alias("payloads"))

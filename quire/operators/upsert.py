@@ -19,6 +19,14 @@ def merged(table: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
     return table.join(fresh.select(*keys), keys, "left_anti").select(*table.columns).unionByName(fresh.select(*table.columns))
 
 
+def effects(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row with what ``merged`` would do: ``n_rows`` of the batch by key, ``n_new`` of them, ``n_replaced``."""
+    fresh = batch.select(*keys).distinct().join(table.select(*keys, F.lit(1).alias("_had")).distinct(), keys, "left")
+    return fresh.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_had").isNull()).alias("n_new"), F.count("_had").alias("n_replaced")
+    )
+
+
 def replaced(table: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """``table`` after the rows of ``batch``, in ``order``, under two unique keys: ``scene_id`` and (``book_id``, ``pos``).
 

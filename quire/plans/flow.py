@@ -77,15 +77,19 @@ def to_scenes(
 
 
 def to_index(
-    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Store
+    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Store, status: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(relational mirror of all scenes, indexed scenes): facets are asked for where they are missing.
 
     Answers are kept batch by batch, as those of ``to_scenes`` are. Scenes
     without a valid one stay as they were; the table ``facets`` names the failure.
+    Books that ``status`` calls completed are not asked about; with it given,
+    the table ``status`` has those whose scenes are all enriched now as well.
     """
     positioned = relational.mirror(records).select("scene_id", "pos")
     open_scenes = enrich.todo(records).join(positioned, "scene_id")
+    if status is not None:
+        open_scenes = gates.pending(open_scenes, status.where("status = 'completed'"), "book_id")
     batches = store(enrich.batched(open_scenes), "batches")
     answers = store.resumed(
         enrich.payloads(batches),
@@ -95,6 +99,9 @@ def to_index(
     )
     facets = store(enrich.facets(batches, answers), "facets")
     full = store(enrich.applied(records, facets, model), "enriched")
+    if status is not None:
+        whole = gates.pending(full.select("book_id").distinct(), enrich.todo(full), "book_id")
+        store(tables.written(tables.marked(status, whole), f"{store.folder}/status-next"), "status")
     return relational.mirror(full), store(enrich.indexed(full, embed), "index")
 
 

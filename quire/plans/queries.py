@@ -364,6 +364,30 @@ def upsert_merge(spark, sf_dir):
     return upsert.merged(old, new.drop("had"), keys, ["event_id"])
 
 
+@query("""select cast(count(*) as bigint) as n_rows, cast(count(*) filter (had is null) as bigint) as n_new, cast(count(had) as bigint) as n_replaced
+from (select distinct user_id, event_type from events where event_id % 2 = 1) left join
+  (select distinct user_id, event_type, 1 as had from events where event_id % 2 = 0) using (user_id, event_type)""")
+def upsert_effects(spark, sf_dir):
+    """How many rows an upsert of the odd events into the even ones adds and replaces."""
+    events = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return upsert.effects(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id", "event_type"])
+
+
+@query(f"""with {LINES}, {PACKED.format(group="book_id", order="idx", size="length(text)", table="paras", limit=PACK_CHARS)}
+select g as book_id, cast(count(distinct part) as bigint) as n_chunks, cast(count(*) as bigint) as n_paragraphs, md5(string_agg(text, '|' order by o)) as texts_md5
+from packed join paras on book_id = g and idx = o group by 1""")
+def chunk_roundtrip(spark, sf_dir):
+    """Chunks written as JSON for people, and read back."""
+    told = paragraphs.inspection_payload(paragraphs.chunks(_paragraphs(spark, sf_dir), PACK_CHARS))
+    parts = paragraphs.from_inspection(told).select("book_id", "chunk_index", F.explode("paragraphs").alias("p"))
+    listed = F.array_sort(F.collect_list("p"))
+    return parts.groupBy("book_id").agg(
+        F.count_distinct("chunk_index").alias("n_chunks"),
+        F.count(F.lit(1)).alias("n_paragraphs"),
+        F.md5(F.array_join(F.transform(listed, lambda p: p["text"]), "|")).alias("texts_md5"),
+    )
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def anti_todo(spark, sf_dir):
     return gates.pending(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")

@@ -60,6 +60,7 @@ def test_archives(spark, tmp_path):
     (folder / "pg14-h.zip").write_bytes(b"broken")
     rights = {r.book_id: r.rights for r in archive.archive_rights(archive.archives(spark, str(folder))).collect()}
     assert rights == {"11": "Public domain in the USA.", "12": None, "14": None}
+    assert sorted(r.book_id for r in archive.pages(archive.archives(spark, str(folder))).collect()) == ["11", "12"]
 
 
 def test_rights_keep_empty_apart_from_missing(spark):
@@ -152,6 +153,19 @@ def test_the_whole_flow(spark, tmp_path):
     assert paragraphs.chunks(numbered.where("book_id = '11'")).count() == 2
     mirror, index = flow.to_index(records, enricher, embed, "stub", store)
     assert mirror.where("enriched = 1").count() == index.count() == len(got)
+    none = spark.createDataFrame([], "book_id string, status string")
+    silent = tables.Store(str(tmp_path / "again"))
+    flow.to_index(records, enricher, embed, "stub", silent, status=none)
+    status = spark.read.parquet(str(tmp_path / "again/status"))
+    assert [tuple(r) for r in status.collect()] == [("11", "completed")]
+    mute, _ = flow.to_index(records, lambda *a: 1 / 0, embed, "stub", tables.Store(str(tmp_path / "third")), status=written(status, str(tmp_path / "marks")))
+    assert mute.where("enriched = 1").count() == 0  # a completed book is not asked about
+    chunked = paragraphs.chunks(numbered)
+    back = paragraphs.from_inspection(paragraphs.inspection_payload(chunked))
+    assert back.columns == chunked.columns and back.exceptAll(chunked).isEmpty() and chunked.exceptAll(back).isEmpty()
+    dump = paragraphs.payload_dump(chunked)
+    tables.write_json(dump, str(tmp_path / "dump"))
+    assert spark.read.json(str(tmp_path / "dump")).selectExpr("sum(size(payloads)) as n").first().n == chunked.count()
     again = spark.read.parquet(f"{tmp_path}/enriched").limit(1)
     for old, n in ((index, len(got)), (index.withColumnRenamed("summary_vec", "other"), 1), (None, 1)):
         rows, fresh = flow.refreshed(mirror, old, again, embed)
