@@ -265,7 +265,8 @@ def identify(
     phrases are as long as they are. The score is the runner-up's part in both costs
     (0.5: a tie). A null text, one without letters, or a model without
     languages gives ``und`` and score 0. Only the text decides. No shuffle
-    beyond the sample's; repeated rows and further columns pass through.
+    beyond the sample's; repeated rows and further columns pass through, and a
+    column named as ``out`` is replaced.
     """
     labelled = labelled_text(learn_from, id_col, text_col, lang_col, docs_per_lang, chars_per_lang)
     name = hashlib.sha256(repr(sorted(labelled.items())).encode("utf-8", "surrogatepass")).hexdigest()

@@ -704,6 +704,17 @@ def test_phrases_against_a_search_in_the_labelled_text(monkeypatch, block, lanes
     assert found[10].argmin() == 2
 
 
+def test_language_ties_repeats_and_clashing_names(spark):
+    docs = frame(spark, [(1, "ab cd", None, None), (1, "ab cd", None, None), (2, None, None, None)])
+    docs = docs.withColumn("language", F.lit("own")).withColumn("_q_language", F.lit(7))
+    learned = frame(spark, [(5, "ab cd ef", "bb", None), (6, "ab cd ef", "aa", None)])
+    found = language_id.identify(docs, learned)
+    assert found.columns == docs.columns
+    got = sorted((x.doc_id, x.language.lang, x.language.score, x["_q_language"]) for x in found.collect())
+    assert got == [(1, "aa", 0.5, 7), (1, "aa", 0.5, 7), (2, "und", 0.0, 7)]
+    assert language_id.known(docs.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.lit(0))).columns == docs.columns
+
+
 def test_scripts_of_many_letters_stay_apart():
     """Two languages whose letters are all rare ones: the same symbol for all would make them one."""
     r = random.Random(9)
