@@ -15,7 +15,7 @@ from quire.sources.tables import written
 PART = "_part"
 
 
-def upsert_into(path: str, keys: list[str], order: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+def upsert_into(path: str, keys: list[str], order: list[str], parts: int = 16) -> Callable[[DataFrame, int], None]:
     """A batch writer that keeps the newest row per key, by ``order``, in the table under ``path``.
 
     The table is partitioned by a hash of the keys; a batch reads and replaces
@@ -33,6 +33,7 @@ def upsert_into(path: str, keys: list[str], order: list[str], parts: int = 64) -
             return
         before = table(spark, path, batch.schema).where(F.col(PART).isin(hit))
         whole = written(latest(before.unionByName(fresh), keys, order), f"{path}-merged/{number % 2}")
+        whole = whole.repartition(PART)  # one file a part
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
     return write
