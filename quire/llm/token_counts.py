@@ -87,7 +87,9 @@ def _cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> None:
+def fill_cache(
+    docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text", digests: DataFrame | None = None
+) -> None:
     """Encode the distinct texts of ``docs`` that the cache has no count for, and append their counts to it.
 
     The cache is a Parquet table of ``digest, n_tokens``, partitioned by
@@ -96,14 +98,16 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
     with a map-side combine. Where those are few, Spark broadcasts their
     digests and drops all other texts where they are read. Writers may run side
     by side: a text that both count is one row when it is read. A run that is
-    lost before its commit leaves the cache as it was.
+    lost before its commit leaves the cache as it was. ``digests`` are those of
+    the texts (``digest``) where they have been made already.
     """
     spark = docs.sparkSession
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     own = tokenizer_digest(tokenizer_path)
     texts = docs.select(text_key(F.col(text_col)).alias("digest"), F.coalesce(text_col, F.lit("")).alias("content"))
     known = _cache(spark, cache_path, own).select("digest")
-    misses = save(texts.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    asked = (texts if digests is None else digests).select("digest").distinct()
+    misses = save(asked.join(known, "digest", "left_anti"), "misses")
     wanted = texts.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
     counted = wanted.mapInPandas(_encode(tokenizer_path), "digest binary, n_tokens long")
     with tidy(spark):
@@ -121,13 +125,14 @@ def token_counts(
     get their count; empty and null texts have 0 bytes and 0 tokens, or what
     the tokenizer gives for nothing. Further columns are ignored.
     """
-    fill_cache(docs, tokenizer_path, cache_path, text_col)
-    known = _cache(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
     rows = docs.select(
         F.col(id_col),
         text_key(F.col(text_col)).alias("digest"),
         F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"),
     )
+    rows = save(rows, "digests")
+    fill_cache(docs, tokenizer_path, cache_path, text_col, rows)
+    known = _cache(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
     return rows.join(known, "digest").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
