@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
-from quire.operators import enrich, gates, paragraphs, relational, scenes, search, upsert
+from quire.operators import enrich, gates, paragraphs, relational, scenes, search, upsert, vector_index
 from quire.plans import flow
-from quire.sources import archive, catalog, tables
+from quire.sources import archive, catalog, layout, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -232,6 +232,35 @@ def neighbors_of_all(spark, sf_dir):
     return relational.windows(_scenes(spark, sf_dir)).select("scene_id", F.array_join("around", ",").alias("around"))
 
 
+# -- the same from the table laid out for lookups; the scenes of every twentieth book are asked for at once
+
+
+def _laid_out(spark, sf_dir):
+    rows = _scenes(spark, sf_dir)
+    laid = layout.SceneTable(spark, tables.scratch(spark, "scenes"), rows.schema, rows_per_part=max(100, rows.count() // 64))
+    laid.build(rows, buckets=16)
+    return laid, rows.where(F.col("book_id").cast("long") % 20 == 0).select("scene_id")
+
+
+@query(f"with {SCENES} select scene_id, book_id, pos, dominant_tone, text from scenes where cast(book_id as bigint) % 20 = 0")
+def laid_out_get(spark, sf_dir):
+    laid, ids = _laid_out(spark, sf_dir)
+    return laid.get_each(ids).select("scene_id", "book_id", "pos", "dominant_tone", "text")
+
+
+@query(f"""with {SCENES} select s.scene_id, string_agg(o.scene_id, ',' order by o.pos) as around
+from scenes s join scenes o on o.book_id = s.book_id and o.pos between s.pos - 2 and s.pos + 1 where cast(s.book_id as bigint) % 20 = 0 group by 1""")
+def laid_out_neighbors(spark, sf_dir):
+    laid, ids = _laid_out(spark, sf_dir)
+    return laid.neighbors_each(ids, 2, 1).select("scene_id", F.array_join("around", ",").alias("around"))
+
+
+@query(f"with {SCENES} select scene_id, book_id, pos from scenes where dominant_tone = 'assistant' and prev_tone in ('user', 'system')")
+def laid_out_find(spark, sf_dir):
+    laid, _ = _laid_out(spark, sf_dir)
+    return laid.find(order=False, dominant_tone="assistant", prev_tone=["user", "system"]).select("scene_id", "book_id", "pos")
+
+
 @query(f"with {SCENES} select cast(count(*) as bigint) as n from scenes where dominant_tone = 'user'")
 def count_filtered(spark, sf_dir):
     return relational.count(_scenes(spark, sf_dir), dominant_tone="user")
@@ -352,7 +381,7 @@ def stream_upsert(spark, sf_dir):
     events.repartition(4, F.xxhash64("event_id")).write.parquet(arriving)
     stream = ingest.start(spark, arriving, events.schema, path, f"{path}-marks", keys, ["ts", "event_id"], files_per_batch=1)
     stream.awaitTermination()
-    return ingest.table(spark, path, events.schema).select(*keys, "event_id")
+    return ingest.table(spark, path, events.schema, keys, ["ts", "event_id"]).table().select(*keys, "event_id")
 
 
 @query("""select user_id, event_type, arg_max(event_id, event_id) as event_id from events group by 1, 2""")
@@ -675,6 +704,37 @@ def combined_search(spark, sf_dir):
     return _hits(search.reranked_each(pool, _vectors(spark, sf_dir, REVERSED), terms, 5))
 
 
+# -- the stored index: built from every second vector, the others and a third of those again upserted
+
+
+def _index(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"), F.col("label").cast("int").alias("label"))
+    kind = rows.schema["row"].dataType.simpleString()
+    dim = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    index = vector_index.VectorIndex(spark, tables.scratch(spark, "index"), kind, dim, "label int")
+    index.build(rows.where("row % 2 = 0").withColumn("v", F.when(F.col("row") % 3 == 0, F.reverse("v")).otherwise(F.col("v"))))
+    index.upsert(rows.where("row % 2 = 1 or row % 3 = 0"))
+    return index
+
+
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='', k=10)} select query, scene_id, round(score, 6) as score from best")
+def index_search(spark, sf_dir):
+    return _hits(_index(spark, sf_dir).search(_queries(spark, sf_dir, [(0, 1.0)]), 10))
+
+
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='where v.label = 4', k=10)} select query, scene_id, round(score, 6) as score from best")
+def index_search_filtered(spark, sf_dir):
+    return _hits(_index(spark, sf_dir).search(_queries(spark, sf_dir, [(0, 1.0)]), 10, where=F.col("label") == 4))
+
+
+@query(f"with {VECTORS}, {BEST.format(vector='sv', direction='q', queries='q0', where='', k=50)}, {RERANKED.format(direction='m', queries='away')} select query, scene_id, round(score, 6) as score from final")
+def index_combined(spark, sf_dir):
+    """The pool from the stored index, reranked by directions away from shunned terms."""
+    pool = _index(spark, sf_dir).search(_queries(spark, sf_dir, [(0, 1.0)]), search.pool_size(5))
+    terms = _queries(spark, sf_dir, [(0, 0.7), (1, 0.3), (2, -0.5)])
+    return _hits(search.reranked_each(pool, _vectors(spark, sf_dir, REVERSED), terms, 5))
+
+
 @query(f"""with {SCENES} select s.scene_id, e.vec_id, len(e.embedding) as dim,
   round(sqrt(list_sum(list_transform(cast(e.embedding as double[]), lambda x: x * x))), 6) as norm
 from scenes s join embeddings e on e.vec_id = cast(s.book_id as bigint)""")

@@ -5,45 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quire.operators.upsert import latest
-from quire.sources.tables import written
+from quire.sources.parts import ROWS_PER_PART, RangedTable
 
-PART = "_part"
 
+def upsert_into(path: str, keys: list[str], order: list[str], rows_per_part: int = ROWS_PER_PART) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the newest row per key, by ``order``, in the ranged table under ``path``.
 
-def upsert_into(path: str, keys: list[str], order: list[str], parts: int = 16) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest row per key, by ``order``, in the table under ``path``.
-
-    The table is partitioned by a hash of the keys; a batch reads and replaces
-    only the parts that its keys fall into. The newest row stays whatever batch
-    it came with, so late rows change nothing and a batch that is run again
-    writes the same rows again.
+    A batch rewrites the key ranges that it falls into, once, and then becomes
+    the table's next version. The newest row stays whatever batch it came with,
+    so late rows change nothing, and a batch that is run again, because the
+    writer broke before or after that, makes the same rows again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-        fresh = written(latest(batch, keys, order).withColumn(PART, part), f"{path}-batch/{number}")
-        hit = [r[0] for r in fresh.select(PART).distinct().collect()]  # ``parts`` numbers at most
-        if not hit:
-            return
-        before = table(spark, path, batch.schema).where(F.col(PART).isin(hit))
-        whole = written(latest(before.unionByName(fresh), keys, order), f"{path}-merged/{number % 2}")
-        whole = whole.repartition(PART)  # one file a part
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+        RangedTable(batch.sparkSession, path, batch.schema, keys, order, rows_per_part).upsert(batch)
 
     return write
 
 
-def table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """The table that batches are merged into, with its part numbers; empty before the first batch."""
-    empty = spark.createDataFrame([], schema).withColumn(PART, F.lit(0))
-    empty.write.mode("append").partitionBy(PART).parquet(path)
-    return spark.read.schema(empty.schema).parquet(path)
+def table(spark: SparkSession, path: str, schema: str | StructType, keys: list[str], order: list[str]) -> RangedTable:
+    """The table that batches are merged into; empty before the first batch."""
+    return RangedTable(spark, path, schema, keys, order)
 
 
 def start(

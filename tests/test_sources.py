@@ -254,7 +254,7 @@ def test_stream_upserts(spark, tmp_path):
         for _ in range(2):  # a second start finds nothing new
             ingest.start(spark, source, "k string, ts int, v int", path, str(tmp_path / "mark"), ["k"], ["ts"]).awaitTermination()
     wanted = [("a", 2), ("b", 1), ("c", 1), ("d", 1)]
-    read = lambda: sorted((r.k, r.v) for r in ingest.table(spark, path, "k string, ts int, v int").collect())
+    read = lambda: sorted((r.k, r.v) for r in ingest.table(spark, path, "k string, ts int, v int", ["k"], ["ts"]).table().collect())
     assert read() == wanted
     ingest.upsert_into(path, ["k"], ["ts"])(spark.createDataFrame(batches[2], "k string, ts int, v int"), 2)  # the same batch again
     assert read() == wanted
