@@ -29,22 +29,31 @@ def stitched(labels: DataFrame) -> DataFrame:
     opens = F.coalesce(F.col("open_start_index"), F.lit(False))
     ends = F.coalesce(F.col("open_end_index"), F.lit(False))
     first = ~(opens & F.coalesce(F.lag(ends).over(book), F.lit(False)))
-    grouped = (
-        labels.withColumn("_first", first.cast("int"))
-        .withColumn("_group", F.sum("_first").over(book.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("book_id", "_group")
-        .agg(
-            F.min_by("start_paragraph_index", "ord").alias("_start"),
-            F.max_by("end_paragraph_index", "ord").alias("end"),
-            F.min_by("title", "ord").alias("title"),
-            F.min_by(opens, F.col("ord")).alias("_open"),
-            F.max_by(ends, F.col("ord")).alias("_broken"),
-            F.count(F.lit(1)).alias("_n"),
-        )
+    grouped = labels.withColumn("_first", first.cast("int")).withColumn(
+        "_group", F.sum("_first").over(book.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return grouped.select(
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("_group")) - 1
+    return joined(grouped).withColumn("scene", number).select(*STITCHED)
+
+
+STITCHED = ["book_id", "scene", "start", "end", "title", "stitch_status"]
+
+
+def joined(grouped: DataFrame) -> DataFrame:
+    """``book_id, _group`` and the scene that the ranges of each such group make; a group is summed up in every task that has rows of it."""
+    opens = F.coalesce(F.col("open_start_index"), F.lit(False))
+    ends = F.coalesce(F.col("open_end_index"), F.lit(False))
+    found = grouped.groupBy("book_id", "_group").agg(
+        F.min_by("start_paragraph_index", "ord").alias("_start"),
+        F.max_by("end_paragraph_index", "ord").alias("end"),
+        F.min_by("title", "ord").alias("title"),
+        F.min_by(opens, F.col("ord")).alias("_open"),
+        F.max_by(ends, F.col("ord")).alias("_broken"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    return found.select(
         "book_id",
-        (F.row_number().over(Window.partitionBy("book_id").orderBy("_group")) - 1).alias("scene"),
+        "_group",
         F.when(F.col("_open"), F.greatest(F.col("_start") - 1, F.lit(0))).otherwise(F.col("_start")).alias("start"),
         "end",
         "title",
@@ -56,16 +65,22 @@ def stitched(labels: DataFrame) -> DataFrame:
     )
 
 
+BIN = 256  # paragraphs
+
+
 def scene_text(scenes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``book_id, scene, text_html, word_count``: the paragraphs from start to end of each scene, those that exist.
 
-    The range join is an equi-join on the scene's expanded paragraph numbers;
-    a range whose end lies before its start holds none.
+    Scenes and paragraphs meet in bins of ``BIN`` paragraphs, so a scene costs
+    its bins and not its length, and what lies beyond the book's last paragraph
+    costs nothing. A range whose end lies before its start holds none.
     """
-    wanted = scenes.where(F.col("end") >= F.col("start")).select(
-        "book_id", "scene", F.explode(F.sequence(F.col("start"), F.col("end"))).alias("idx")
-    )
-    found = wanted.join(paragraphs.select("book_id", F.col("idx").cast("long").alias("idx"), "text"), ["book_id", "idx"])
+    held = paragraphs.select("book_id", F.col("idx").cast("long").alias("idx"), "text")
+    last = held.groupBy("book_id").agg(F.max("idx").alias("_last"))
+    cut = scenes.join(last, "book_id").select("book_id", "scene", F.col("start").alias("_s"), F.least("end", "_last").alias("_e"))
+    bins = F.sequence(F.floor(F.col("_s") / BIN), F.floor(F.col("_e") / BIN))
+    wanted = cut.where("_e >= _s").withColumn("_bin", F.explode(bins))
+    found = wanted.join(held.withColumn("_bin", F.floor(F.col("idx") / BIN)), ["book_id", "_bin"]).where("idx between _s and _e")
     body = F.concat_ws(
         "</p><p>", F.transform(F.array_sort(F.collect_list(F.struct("idx", strip(F.col("text")).alias("t")))), lambda x: x["t"])
     )

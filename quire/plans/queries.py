@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
-from quire.operators import enrich, gates, paragraphs, relational, scenes, search, upsert, vector_index
+from quire.operators import enrich, gates, paragraphs, relational, scenes, search, spread, upsert, vector_index
 from quire.plans import flow
 from quire.sources import archive, catalog, layout, tables
 from quire.streaming import ingest
@@ -135,8 +135,12 @@ def batch_scenes(spark, sf_dir):
 
 def _ranges(spark, sf_dir):
     """A labelled range for every paragraph of a document, some of them open at their ends, some noise."""
+    return _ranges_of(_paragraphs(spark, sf_dir))
+
+
+def _ranges_of(numbered):
     n = F.length("text")
-    return _paragraphs(spark, sf_dir).select(
+    return numbered.select(
         "book_id",
         F.col("idx").alias("ord"),
         F.col("idx").cast("long").alias("start_paragraph_index"),
@@ -178,6 +182,45 @@ def scene_text_range_join(spark, sf_dir):
     return made.select("book_id", F.col("scene").cast("long").alias("scene"), F.md5("text_html").alias("html_md5"), "word_count")
 
 
+# -- whole sources as books: groups that are larger than a task
+
+
+def _by_source(spark, sf_dir):
+    """The paragraphs of all documents of a source, numbered as one book."""
+    docs = _t(spark, sf_dir, "documents")
+    cut = paragraphs.lines(docs, "doc_id", "text").withColumn("doc_id", F.col("book_id").cast("long"))
+    rows = cut.join(docs.select("doc_id", "source"), "doc_id").select("source", F.struct("doc_id", "para").alias("at"), "text")
+    return spread.numbered(rows, "source", "at", "idx", range_rows=SPREAD_ROWS)
+
+
+SPREAD_ROWS = 50_000
+BY_SOURCE = f"""{LINES}, src as (select source as book_id, row_number() over (partition by source order by doc_id, para) - 1 as idx, l.text
+  from lines l join documents d on cast(d.doc_id as varchar) = l.book_id where l.text <> '')"""
+
+
+@query(f"with {BY_SOURCE} select book_id, cast(idx as bigint) as idx, md5(text) as text_md5 from src")
+def source_paragraphs(spark, sf_dir):
+    return _by_source(spark, sf_dir).select(F.col("source").alias("book_id"), "idx", F.md5("text").alias("text_md5"))
+
+
+@query(f"""with {BY_SOURCE}, {PACKED.format(group="book_id", order="idx", size="length(text)", table="src", limit=PACK_CHARS)}
+select g as book_id, cast(o as bigint) as idx, cast(part as bigint) as part, cast(max(part) over (partition by g) as bigint) as part_count from packed""")
+def source_parts(spark, sf_dir):
+    rows = _by_source(spark, sf_dir).withColumnRenamed("source", "book_id")
+    return spread.packed(rows, "book_id", "idx", F.length("text"), PACK_CHARS, SPREAD_ROWS)
+
+
+SOURCE_SCENES = STITCHED.replace(LINES, BY_SOURCE).replace("from paras)", "from src)")
+
+
+@query(f"""with {SOURCE_SCENES} select book_id || '-' || scene as scene_id, lag(book_id || '-' || scene) over w as prev_scene_id, lead(book_id || '-' || scene) over w as next_scene_id,
+  cast(s as bigint) as start, cast(e as bigint) as "end", title, stitch_status from stitched window w as (partition by book_id order by scene)""")
+def source_scenes(spark, sf_dir):
+    labels = _ranges_of(_by_source(spark, sf_dir).withColumnRenamed("source", "book_id"))
+    made = spread.linked(spread.stitched(scenes.without_noise(labels), SPREAD_ROWS))
+    return made.select("scene_id", "prev_scene_id", "next_scene_id", "start", "end", "title", "stitch_status")
+
+
 @query(f"with {SCENES} select book_id, pos, scene_id, prev_scene_id, next_scene_id from scenes")
 def scene_ids_prev_next(spark, sf_dir):
     return _scenes(spark, sf_dir).select("book_id", "pos", "scene_id", "prev_scene_id", "next_scene_id")
