@@ -31,3 +31,5 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 #: Retries: the longest pause in seconds, and how often a model is asked.
 BACKOFF_CAP = 30
 ATTEMPTS = 10
+#: Calls of a model that a task makes at a time.
+THREADS = 6

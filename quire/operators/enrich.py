@@ -132,9 +132,13 @@ def reset(scenes: DataFrame, *facets: str) -> DataFrame:
     return out
 
 
-def indexed(scenes: DataFrame, embed: Callable) -> DataFrame:
-    """Scenes that have a summary, with vectors of it and of their descriptors (the summary again if there are none)."""
+def indexed(scenes: DataFrame, embed: Callable, embedding: Callable = embedded) -> DataFrame:
+    """Scenes that have a summary, with vectors of it and of their descriptors (the summary again if there are none).
+
+    ``embedding`` makes the vectors of a column: ``hooks.embedded``, or one that
+    remembers them (``sources.tables.remembered``).
+    """
     ready = scenes.where(indexable(F.col("summary")))
     terms = F.array_join("descriptors", ", ")
     ready = ready.withColumn("_terms", F.when(F.coalesce(terms, F.lit("")) != "", terms).otherwise(F.col("summary")))
-    return embedded(embedded(ready, "summary", "summary_vec", embed), "_terms", "descriptors_vec", embed).drop("_terms")
+    return embedding(embedding(ready, "summary", "summary_vec", embed), "_terms", "descriptors_vec", embed).drop("_terms")

@@ -48,6 +48,7 @@ def to_scenes(
     asks for chunks that have no valid one. A book of which a chunk got no
     valid answer gives no scenes; it is listed as ``unlabelled`` with what was
     wrong. Scenes and the list of excluded books keep the books of earlier runs.
+    The answers of books whose scenes are stored are dropped.
     """
     books = metadata.join(rights.withColumnRenamed("book_id", "ID"), "ID", "left")
     if done is not None:
@@ -73,11 +74,13 @@ def to_scenes(
     excluded = (
         gated.where("reason is not null").unionByName(other).unionByName(broken.withColumn("reason", F.lit("unlabelled")))
     )
-    return store.books(scenes.records(labels, titled, metadata), "scenes"), store.books(excluded, "excluded")
+    made = store.books(scenes.records(labels, titled, metadata), "scenes"), store.books(excluded, "excluded")
+    store.clear("answers", gates.pending(answers.select("book_id").distinct(), broken, "book_id"))
+    return made
 
 
 def to_index(
-    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Store, status: DataFrame | None = None
+    records: DataFrame, enricher: Callable, embed: Callable, model: str, store: Store, status: DataFrame | None = None, embedder: str = "1"
 ) -> tuple[DataFrame, DataFrame]:
     """(relational mirror of all scenes, indexed scenes): facets are asked for where they are missing.
 
@@ -85,6 +88,8 @@ def to_index(
     without a valid one stay as they were; the table ``facets`` names the failure.
     Books that ``status`` calls completed are not asked about; with it given,
     the table ``status`` has those whose scenes are all enriched now as well.
+    Texts that ``embedder``, the version of ``embed``, has seen are not embedded
+    again. The answers of books without a failure are dropped.
     """
     positioned = relational.mirror(records).select("scene_id", "pos")
     open_scenes = enrich.todo(records).join(positioned, "scene_id")
@@ -102,7 +107,11 @@ def to_index(
     if status is not None:
         whole = gates.pending(full.select("book_id").distinct(), enrich.todo(full), "book_id")
         store(tables.written(tables.marked(status, whole), f"{store.folder}/status-next"), "status")
-    return relational.mirror(full), store(enrich.indexed(full, embed), "index")
+    vectors = tables.remembered(f"{store.folder}/vectors", embedder)
+    made = relational.mirror(full), store(enrich.indexed(full, embed, vectors), "index")
+    open_books = batches.join(facets.where("failure is not null"), "scene_id").select("book_id")
+    store.clear("enrichments", gates.pending(batches.select("book_id").distinct(), open_books, "book_id"))
+    return made
 
 
 def reset_books(records: DataFrame, status: DataFrame, store: Store, *facets: str, books: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:

@@ -247,11 +247,16 @@ def facet_in_filter(spark, sf_dir):
     return relational.find(_scenes(spark, sf_dir), order=False, dominant_tone=["user", "system"]).select("scene_id", "dominant_tone")
 
 
-@query(f"with {SCENES} select book_id, cast(count(*) as bigint) as n, cast(0 as bigint) as n_met from scenes group by 1")
+@query(f"""with {SCENES}, told as (select book_id, cast(case when pos % 2 = 0 then null when pos % 3 = 0 then '' else dominant_tone end as varchar) as tone from scenes)
+select book_id, cast(count(*) as bigint) as n, cast(0 as bigint) as n_met, cast(count(*) filter (tone = '') as bigint) as n_blank,
+  cast(count(*) filter (tone in ('user', 'assistant')) as bigint) as n_listed from told group by 1""")
 def facet_empty_in(spark, sf_dir):
-    """Per book, the scenes and those that an empty list of tones lets through: none."""
-    met = F.count_if(relational.condition({"dominant_tone": []})).alias("n_met")
-    return _scenes(spark, sf_dir).groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), met)
+    """Per book, the scenes and those that lists of tones let through: an empty one, one of nulls, one with a blank, one of tones and a null."""
+    tone = F.when(F.col("pos") % 2 == 0, None).when(F.col("pos") % 3 == 0, "").otherwise(F.col("dominant_tone"))
+    met = lambda values: F.count_if(relational.condition({"dominant_tone": values}))
+    return _scenes(spark, sf_dir).withColumn("dominant_tone", tone).groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("n"), (met([]) + met([None]) + met(None)).alias("n_met"), met([None, ""]).alias("n_blank"), met(["user", None, "assistant"]).alias("n_listed")
+    )
 
 
 @query(f"with {SCENES} select scene_id, book_id, pos from scenes order by book_id, pos, scene_id limit 25")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.hooks import embedded
 from quire.operators.gates import pending
 from quire.operators.upsert import merged, write_books
 
@@ -46,39 +49,59 @@ def written(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Files of a task count as soon as the task has ended, not with the last task of the job.
+BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 class Store:
-    """Named tables of a folder, each given back as read from there."""
+    """Named tables of a folder, each given back as read from there.
+
+    ``codec`` names the form of what checkpoints hold: those of another codec
+    are not looked at.
+    """
 
-    def __init__(self, folder: str, every: int = 1000):
-        self.folder, self.every = folder, every
+    def __init__(self, folder: str, every: int = 1000, codec: str = "1"):
+        self.folder, self.every, self.codec = folder, every, codec
 
     def __call__(self, rows: DataFrame, name: str) -> DataFrame:
         return written(rows, f"{self.folder}/{name}")
 
+    def _checkpoint(self, name: str) -> str:
+        return f"{self.folder}/{name}/codec={self.codec}"
+
     def resumed(self, inputs: DataFrame, name: str, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """What ``make`` gives for ``inputs``, from the named table as far as an earlier run has got.
+        """What ``make`` gives for ``inputs``, from the named checkpoint as far as an earlier run has got.
 
-        Only inputs without a row there, by ``keys``, or with a ``failure`` are
-        made, ``every`` of them at a time; each slice is appended before the
-        next one starts, so a run that breaks loses one slice at most. The
-        result has a row for each input; a failure is there until it succeeds.
+        Only inputs without a row there, by ``keys`` (``book_id`` among them),
+        or with a ``failure`` are made, by one job whose tasks have ``every`` of
+        them each. A task's rows count when it ends, so a run that breaks loses
+        what its open tasks had. The result has a row for each input; a failure
+        is there until it succeeds.
         """
-        spark, path = inputs.sparkSession, f"{self.folder}/{name}"
-        schema = make(inputs.limit(0)).schema
-        spark.createDataFrame([], schema).write.mode("append").parquet(path)
-        done = lambda: spark.read.schema(schema).parquet(path).where("failure is null")
-        left = written(pending(inputs, done(), keys), f"{path}-pending")
-        slices = -(-left.count() // self.every)
-        failed = []
-        for i in range(slices):
-            made = make(left.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i))
-            made = written(made, f"{path}-slices/{i}")
-            made.where("failure is null").write.mode("append").parquet(path)
-            failed.append(made.where("failure is not null"))
-        whole = done().join(inputs.select(*keys), keys, "left_semi").dropDuplicates(keys)
-        for rows in failed:
-            whole = whole.unionByName(rows)
-        return whole
+        spark, path = inputs.sparkSession, self._checkpoint(name)
+        schema = make(inputs.limit(0)).withColumn("_run", F.lit(0).cast("long")).schema
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("book_id").parquet(path)
+        kept = lambda: spark.read.schema(schema).parquet(path)
+        left = written(pending(inputs, kept().where("failure is null"), keys), f"{self.folder}/{name}-pending")
+        tasks = -(-left.count() // self.every)
+        if tasks:
+            made = make(left.repartition(tasks, *keys)).withColumn("_run", F.lit(time.time_ns()))
+            made.write.options(**BY_TASK).mode("append").partitionBy("book_id").parquet(path)
+        rest = [c for c in schema.names if c not in (*keys, "_run")]
+        last = F.max_by(F.struct(*rest), F.struct(F.col("failure").isNull(), "_run")).alias("_last")
+        whole = kept().join(inputs.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
+        return whole.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+    def clear(self, name: str, books: DataFrame) -> None:
+        """Deletes what the named checkpoint has of ``books`` (``book_id``), of any codec: their results are stored elsewhere."""
+        spark = books.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        rows = spark.read.schema("codec string, book_id string").parquet(f"{self.folder}/{name}")
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        gone = rows.select("book_id", folder.alias("folder")).join(books.select("book_id"), "book_id", "left_semi").select("folder").distinct()
+        for row in gone.toLocalIterator():  # a folder at a time
+            path = hadoop.Path(spark._jvm.java.net.URI(row.folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def books(self, rows: DataFrame, name: str) -> DataFrame:
         """The named table with the books of ``rows`` written anew; what it has of other books stays."""
@@ -92,6 +115,31 @@ def stored(folder: str, every: int = 1000) -> Store:
     return Store(folder, every)
 
 
+def remembered(path: str, version: str) -> Callable:
+    """``hooks.embedded`` with a memory under ``path``: a text that the model of that ``version`` has embedded once is not embedded again.
+
+    Vectors are kept by digest of the text and by version; equal texts of a
+    table are embedded once, and those of a task count when it ends.
+    """
+    where = f"{path}/model-{hashlib.sha256(version.encode()).hexdigest()[:16]}"
+
+    def embedded_once(rows: DataFrame, text: str, out: str, embed: Callable, **options) -> DataFrame:
+        spark = rows.sparkSession
+        digest = F.when(F.col(text).isNotNull(), F.sha2(text, 256))
+        kept = ensure(spark, where, "_digest string, _vector array<float>")
+        fresh = rows.select(digest.alias("_digest"), F.col(text).alias("_text")).where("_digest is not null").dropDuplicates(["_digest"])
+        fresh = written(pending(fresh, kept, "_digest"), scratch(spark, "texts"))
+        if not fresh.isEmpty():
+            made = embedded(fresh, "_text", "_vector", embed, **options).select("_digest", "_vector")
+            made.write.options(**BY_TASK).mode("append").parquet(where)
+        # two scans of one path are one to Spark, also where files came in between, unless their options differ
+        found = spark.read.schema(kept.schema).option("readAt", time.time_ns()).parquet(where)
+        found = found.dropDuplicates(["_digest"]).withColumnRenamed("_vector", out)
+        return rows.withColumn("_digest", digest).join(found, "_digest", "left").drop("_digest")
+
+    return embedded_once
+
+
 def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
     """Records of JSON files with ``_file``; what cannot be parsed comes as null fields and its text in ``corrupt``."""
     full = f"{schema}, {corrupt} string"
