@@ -73,15 +73,23 @@ def packed(items: DataFrame, group: list[str], order: str, size: Column, limit:
 
 
 def chunks(paragraphs: DataFrame, limit: int = CHUNK_CHARS, lookback: int = LOOKBACK) -> DataFrame:
-    """Chunks of numbered paragraphs: parts of chapters with the ``lookback`` paragraphs before their first one."""
-    before = Window.partitionBy("book_id").orderBy("idx").rowsBetween(-lookback, -1)
-    held = paragraphs.withColumn("_before", F.collect_list(F.struct("idx", "text")).over(before))
-    dealt = packed(paragraphs, ["book_id", "chapter"], "idx", F.length("text"), limit)
-    own = held.join(dealt, ["book_id", "chapter", "idx"])
-    grouped = own.groupBy("book_id", "chapter", "part", "part_count").agg(
-        F.first("heading", ignorenulls=True).alias("chapter_heading"),
-        F.min_by("_before", "idx").alias("context"),
-        F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("paragraphs"),
+    """Chunks of numbered paragraphs: parts of chapters with the ``lookback`` paragraphs before their first one.
+
+    Which paragraphs a chunk has, and which stand before it, is settled by
+    numbers; the texts are joined once, those before a chunk for that chunk only.
+    """
+    chunk = ["book_id", "chapter", "part", "part_count"]
+    own = packed(paragraphs, ["book_id", "chapter"], "idx", F.length("text"), limit)
+    first = own.groupBy(*chunk).agg(F.min("idx").alias("_first")).where("_first > 0")
+    ahead = F.sequence(F.greatest(F.col("_first") - lookback, F.lit(0)), F.col("_first") - 1)
+    before = first.select(*chunk, F.explode(ahead).alias("idx"), F.lit(False).alias("_own"))
+    members = own.withColumn("_own", F.lit(True)).select(*before.columns).unionByName(before if lookback > 0 else before.limit(0))
+    item = F.struct("idx", "text")
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, item)))
+    grouped = members.join(paragraphs.select("book_id", "idx", "heading", "text"), ["book_id", "idx"]).groupBy(*chunk).agg(
+        F.first(F.when(F.col("_own"), F.col("heading")), ignorenulls=True).alias("chapter_heading"),
+        listed(~F.col("_own")).alias("context"),
+        listed(F.col("_own")).alias("paragraphs"),
     )
     place = Window.partitionBy("book_id").orderBy("chapter", "part")
     return grouped.withColumn("chunk_index", F.row_number().over(place) - 1).select(
