@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +52,8 @@ class Parts:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return 0, []
-        last = made.agg(F.max("version")).first()[0]
-        parts = made.where(F.col("version") == last).first().parts if last else []
-        return last or 0, [Part(*p) for p in parts]
+        last, parts = made.agg(F.max("version"), F.max_by("parts", "version")).first()
+        return last or 0, [Part(*p) for p in parts or []]
 
     def read(self, parts: Sequence[Part]) -> DataFrame:
         """The rows of some parts; only their folders are looked at."""
@@ -78,8 +77,9 @@ class Parts:
         return self.spark.read.schema(StructType([*self.schema, StructField(PART, IntegerType())])).parquet(f"{self.path}/{folder}")
 
     def commit(self, version: int, parts: Sequence[Part]) -> None:
-        row = (version, [(p.part, p.folder, p.rows, p.low, p.stats) for p in parts])
-        self.spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        row = json.dumps({"version": version, "parts": [asdict(p) for p in parts]})
+        told = self.spark.range(1).select(F.from_json(F.lit(row), VERSIONS).alias("v")).select("v.*")
+        told.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
     def forget(self, keep: int = 2) -> int:
         """Deletes the folders that none of the ``keep`` newest versions has; how many. No older version can be read after it."""
