@@ -35,20 +35,45 @@ def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    up = list(range(n))
+class _Forest:
+    """Components of numbered nodes, each named by its least node."""
 
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in {(min(x), max(x)) for x in zip(self.up[a].tolist(), self.up[b].tolist()) if x[0] != x[1]}:
+            i, j = self._top(i), self._top(j)
+            self.up[max(i, j)] = min(i, j)
+        while (flat := self.up[self.up]).tobytes() != self.up.tobytes():
+            self.up = flat
+
+    def _top(self, i: int) -> int:
+        while self.up[i] != i:
+            i = int(self.up[i])
         return i
 
-    for i, j in zip(a.tolist(), b.tolist()):
-        i, j = top(i), top(j)
-        if i != j:
-            up[max(i, j)] = min(i, j)
-    return np.array([top(i) for i in range(n)])
+    def link(self, hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Joins the nodes of rows and columns wherever ``hit`` is set.
+
+        Each row joins the least component among its columns and each column
+        that among its rows, until a row has one component in all its columns;
+        so no list of pairs is made, however dense the matrix.
+        """
+        some = hit.any(axis=1)
+        hit, rows = hit[some], rows[some]
+        none = len(self.up)
+        while len(rows):
+            at = np.where(hit, self.up[columns].astype(np.int32)[None, :], np.int32(none))
+            least = at.min(axis=1)
+            split = ((at != least[:, None]) & hit).any(axis=1) | (self.up[rows] != least)
+            hit, rows, least = hit[split], rows[split], least[split]
+            if not len(rows):
+                break
+            self.join(rows, least)
+            at = np.where(hit, self.up[rows].astype(np.int32)[:, None], np.int32(none)).min(axis=0)
+            met = at < none
+            self.join(columns[met], at[met])
 
 
 def _compare(threshold: float, tile: int):
@@ -66,7 +91,9 @@ def _compare(threshold: float, tile: int):
         node_a, node_b = left["node"].to_numpy(), right["node"].to_numpy()
         copies_a, copies_b = left["n"].to_numpy(), right["n"].to_numpy()
         links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        own_a = np.arange(len(a))
+        own_b = own_a if same else len(a) + np.arange(len(b))
+        forest = _Forest(len(a) if same else len(a) + len(b))
         for at in range(0, len(a), tile):
             s = slice(at, at + tile)
             cos = (a[s] @ b.T) / (na[s, None] * nb[None, :])
@@ -76,15 +103,11 @@ def _compare(threshold: float, tile: int):
             links_a[s] += hit @ copies_b
             if not same:
                 links_b += copies_a[s] @ hit
-            i, j = np.nonzero(hit)
-            found.append((i + at, j))
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            forest.link(hit, own_a[s], own_b)
         if same:
-            root = _roots(len(a), i, j)
-            return pd.DataFrame({"node": node_a, "peer": node_a[root], "links": links_a})
-        root = _roots(len(a) + len(b), i, j + len(a))
+            return pd.DataFrame({"node": node_a, "peer": node_a[forest.up], "links": links_a})
         nodes = np.concatenate([node_a, node_b])
-        return pd.DataFrame({"node": nodes, "peer": nodes[root], "links": np.concatenate([links_a, links_b])})
+        return pd.DataFrame({"node": nodes, "peer": nodes[forest.up], "links": np.concatenate([links_a, links_b])})
 
     return run
 

@@ -6,10 +6,12 @@ import re
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import lexical_search, manifest, quality_rules
+from quire.llm import embedding_dedup, lexical_search, manifest, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, slot int, f string, row string, quality string"
 
@@ -203,3 +205,29 @@ def test_terms_do_not_depend_on_slices(monkeypatch):
     whole = lexical_search.terms(text)
     monkeypatch.setattr(lexical_search, "SLICE", 5)
     assert lexical_search.terms(text) == whole and lexical_search.terms("É-a_B 9".encode()) == Counter(["É".encode(), b"a", b"b", b"9"])
+
+
+# -- dense cells of embedding near-dedup
+
+
+def test_forest_against_a_search():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = r.integers(1, 30, 2)
+        hit, forest = r.random((n, m)) < r.choice([0.02, 0.05, 0.1, 0.5]), embedding_dedup._Forest(n + m)
+        for at in range(0, n, 7):
+            forest.link(hit[at : at + 7], np.arange(n)[at : at + 7], n + np.arange(m))
+        least, before = np.arange(n + m), None
+        while before is None or (before != least).any():
+            before = least.copy()
+            for i, j in zip(*np.nonzero(hit)):
+                least[i] = least[n + j] = min(least[i], least[n + j])
+        assert (least == forest.up).all()
+
+
+def test_a_dense_block_keeps_no_pairs():
+    r = np.random.default_rng(2)
+    x = r.normal(size=16) + r.normal(size=(3000, 16)) * 0.02
+    block = pd.DataFrame({"side": 0, "same": True, "node": np.arange(3000) + 7, "v": list(x), "n": 1})
+    found = embedding_dedup._compare(0.93, 256)(block)
+    assert set(found["peer"]) == {7} and (found["links"] == 2999).all()
