@@ -1,6 +1,7 @@
 """Manifest, quality rules and lexical search against plain versions on awkward tables."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -231,3 +232,21 @@ def test_a_dense_block_keeps_no_pairs():
     block = pd.DataFrame({"side": 0, "same": True, "node": np.arange(3000) + 7, "v": list(x), "n": 1})
     found = embedding_dedup._compare(0.93, 256)(block)
     assert set(found["peer"]) == {7} and (found["links"] == 2999).all()
+
+
+# -- the queries
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_quality_rules", "op13_lexical_search"])
+def test_query_agrees_with_its_sql(spark, name):
+    import duckdb
+
+    from quire.llm.queries import ORACLE_SQL, QUERIES
+
+    data, db = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
+    found = QUERIES[name](spark, data)
+    wanted = db.sql(f"select {', '.join(found.columns)} from ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, wanted))

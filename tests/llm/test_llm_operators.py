@@ -803,5 +803,5 @@ def test_embedding_dedup(spark):
 def test_queries_have_the_agreed_columns(spark):
     from quire.llm.queries import ORACLE_SQL, QUERIES
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
