@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text, vectors
+from quire.functions import hooks, text, vectors
 from quire.operators import enrich, gates, paragraphs, relational, scenes, search, spread, upsert, vector_index
 from quire.plans import flow
 from quire.sources import archive, catalog, layout, tables
@@ -672,6 +672,74 @@ def facets_checked(spark, sf_dir):
     return enrich.ask(batches, _careless_enricher, None).select("scene_id", "failure", "dominant_tone")
 
 
+# -- what is kept between runs: files of scenes, marks of books, vectors of texts, checkpoints
+
+
+@query(f"""with {SCENES} select scene_id, book_id, cast(pos as bigint) as pos, dominant_tone, prev_tone, md5(text) as text_md5, false as broken from scenes""")
+def scene_files(spark, sf_dir):
+    """All scenes written as one JSON file set a book, and read back from there with the book of the folder."""
+    path = tables.scratch(spark, "scene-files")
+    tables.write_json(_scenes(spark, sf_dir).select("scene_id", "book_id", "pos", "dominant_tone", "prev_tone", "text"), path)
+    rows = tables.read_json(spark, path, "scene_id string, book_id string, pos long, dominant_tone string, prev_tone string, text string", lines=True)
+    return rows.select("scene_id", "book_id", "pos", "dominant_tone", "prev_tone", F.md5("text").alias("text_md5"), F.col("_corrupt_record").isNotNull().alias("broken"))
+
+
+@query("""with told as (select distinct conv_id from conversations),
+marks as (select cast(conv_id as varchar) as book_id, case when conv_id % 3 = 0 then 'completed' else 'open' end as status from told where conv_id % 2 = 0 or conv_id % 3 = 0)
+select book_id, status from marks where cast(book_id as bigint) % 5 <> 0""")
+def status_marks(spark, sf_dir):
+    """Every second book is marked open, then every third completed; the marks of every fifth are taken away."""
+    books = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id")).distinct()
+    every = lambda n: books.where(F.col("book_id").cast("long") % n == 0)
+    opened = tables.marked(spark.createDataFrame([], "book_id string, status string"), every(2), "open")
+    return tables.unmarked(tables.marked(opened, every(3)), every(5))
+
+
+@query(f"""with {SCENES}, told as (select scene_id, book_id, pos % 2 = 0 as enriched, case when pos % 3 = 0 then '' when pos % 3 = 1 then 'One.' end as summary from scenes)
+select scene_id, not (enriched and coalesce(summary, '') <> '') as to_enrich, coalesce(summary, '') <> '' as to_index from told
+where cast(book_id as bigint) % 4 <> 0""")
+def enrichment_gates(spark, sf_dir):
+    """Which scenes are still to be enriched, which may be indexed; the books of every fourth number are completed and passed over."""
+    rows = _scenes(spark, sf_dir).select("scene_id", "book_id", (F.col("pos") % 2 == 0).alias("enriched"), F.when(F.col("pos") % 3 == 0, "").when(F.col("pos") % 3 == 1, "One.").alias("summary"))
+    done = rows.where(F.col("book_id").cast("long") % 4 == 0).select("book_id").distinct()
+    rows = gates.pending(rows, done, "book_id")
+    missing = enrich.todo(rows).select("scene_id", F.lit(True).alias("to_enrich"))
+    ready = gates.indexable(F.col("summary")).alias("to_index")
+    return rows.select("scene_id", ready).join(missing, "scene_id", "left").select("scene_id", F.coalesce("to_enrich", F.lit(False)).alias("to_enrich"), "to_index")
+
+
+def _counting_embedder(texts: list[str]) -> list[list[float]]:
+    """Length, blanks and vowels of each text."""
+    return [[float(len(t)), float(t.count(" ")), float(sum(t.count(c) for c in "aeiou"))] for t in texts]
+
+
+@query(f"""with {SCENES} select scene_id, round(cast(length(text) as double), 3) as n, cast(length(text) - length(replace(text, ' ', '')) as double) as blanks,
+  cast(length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) as double) as vowels from scenes""")
+def vectors_remembered(spark, sf_dir):
+    """Vectors of all scenes' texts from a memory that has those of every second scene already."""
+    rows, memory = _scenes(spark, sf_dir).select("scene_id", "pos", "text"), tables.remembered(tables.scratch(spark, "vectors"), "counts")
+    memory(rows.where("pos % 2 = 0"), "text", "v", _counting_embedder).write.format("noop").mode("overwrite").save()
+    made = memory(rows, "text", "v", _counting_embedder)
+    return made.select("scene_id", *[F.get("v", F.lit(k)).cast("double").alias(c) for k, c in enumerate(("n", "blanks", "vowels"))])
+
+
+@query(f"""with {LINES}, {PACKED.format(group="book_id", order="idx", size="length(text)", table="paras", limit=PACK_CHARS)},
+chunks as (select g as book_id, cast(row_number() over (partition by g order by part) - 1 as bigint) as chunk_index, count(*) as n from packed group by g, part)
+select book_id, chunk_index, n % 3 = 0 as failed from chunks where cast(book_id as bigint) % 2 = 1""")
+def answers_resumed(spark, sf_dir):
+    """A labeller's answers by way of a checkpoint: first those to every third book, then to all; the even books' are cleared."""
+    payloads = paragraphs.labelling_payload(paragraphs.chunks(_paragraphs(spark, sf_dir), PACK_CHARS)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    store, keys = tables.Store(tables.scratch(spark, "answers"), every=500), ["book_id", "chunk_index", "payload"]
+    make = lambda rows: hooks.answered(rows, _careless_labeller, flow.LABELS, gates.uncovered, attempts=2)
+    book = F.col("book_id").cast("long")
+    store.resumed(payloads.where(book % 3 == 0), "told", keys, make)
+    made = store.resumed(payloads, "told", keys, make)
+    told = store(made.select("book_id", "chunk_index", F.col("failure").isNotNull().alias("failed")), "answers")
+    store.clear("told", told.where(book % 2 == 0))
+    left = store.kept(spark, "told", made.schema).select("book_id", "chunk_index").distinct()
+    return told.join(left, ["book_id", "chunk_index"], "left_semi")
+
+
 # -- vectors: embeddings stand for summaries, reversed ones for descriptors; every row whose id is divisible by 20 is a query
 
 

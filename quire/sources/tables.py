@@ -80,28 +80,37 @@ class Store:
         """
         spark, path = inputs.sparkSession, self._checkpoint(name)
         schema = make(inputs.limit(0)).withColumn("_run", F.lit(0).cast("long")).schema
-        spark.createDataFrame([], schema).write.mode("append").partitionBy("book_id").parquet(path)
-        kept = lambda: spark.read.schema(schema).parquet(path)
-        left = written(pending(inputs, kept().where("failure is null"), keys), f"{self.folder}/{name}-pending")
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/gen=0")
+        left = written(pending(inputs, self.kept(spark, name, schema).where("failure is null"), keys), f"{self.folder}/{name}-pending")
         tasks = -(-left.count() // self.every)
         if tasks:
             made = make(left.repartition(tasks, *keys)).withColumn("_run", F.lit(time.time_ns()))
-            made.write.options(**BY_TASK).mode("append").partitionBy("book_id").parquet(path)
+            made.write.options(**BY_TASK).parquet(f"{path}/gen={time.time_ns()}")
         rest = [c for c in schema.names if c not in (*keys, "_run")]
         last = F.max_by(F.struct(*rest), F.struct(F.col("failure").isNull(), "_run")).alias("_last")
-        whole = kept().join(inputs.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
+        whole = self.kept(spark, name, schema).join(inputs.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
         return whole.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
+    def kept(self, spark: SparkSession, name: str, schema) -> DataFrame:
+        """What the named checkpoint has now of the columns of ``schema``."""
+        return spark.read.schema(schema).parquet(self._checkpoint(name)).select(*schema.names)
+
     def clear(self, name: str, books: DataFrame) -> None:
-        """Deletes what the named checkpoint has of ``books`` (``book_id``), of any codec: their results are stored elsewhere."""
-        spark = books.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        rows = spark.read.schema("codec string, book_id string").parquet(f"{self.folder}/{name}")
-        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-        gone = rows.select("book_id", folder.alias("folder")).join(books.select("book_id"), "book_id", "left_semi").select("folder").distinct()
-        for row in gone.toLocalIterator():  # a folder at a time
-            path = hadoop.Path(spark._jvm.java.net.URI(row.folder))
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Drops what the named checkpoint has of ``books`` (``book_id``), whose results are stored elsewhere, and all of other codecs.
+
+        What stays is written anew before the rest is deleted; a break between
+        leaves rows twice, which changes no result.
+        """
+        spark, path, now = books.sparkSession, self._checkpoint(name), f"gen={time.time_ns()}"
+        rows = spark.read.parquet(path).drop("gen")
+        rows.join(books.select("book_id").distinct(), "book_id", "left_anti").select(*rows.columns).write.parquet(f"{path}/{now}")
+        top = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        own = top.suffix(f"/codec={self.codec}")
+        gone = [s.getPath() for s in files.listStatus(top) if s.getPath().getName() != own.getName()]
+        gone += [s.getPath() for s in files.listStatus(own) if s.getPath().getName() != now]
+        for old in gone:  # a folder for each run
+            files.delete(old, True)
 
     def books(self, rows: DataFrame, name: str) -> DataFrame:
         """The named table with the books of ``rows`` written anew; what it has of other books stays."""
@@ -140,10 +149,13 @@ def remembered(path: str, version: str) -> Callable:
     return embedded_once
 
 
-def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
-    """Records of JSON files with ``_file``; what cannot be parsed comes as null fields and its text in ``corrupt``."""
+def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record", lines: bool = False) -> DataFrame:
+    """Records of JSON files with ``_file``; what cannot be parsed comes as null fields and its text in ``corrupt``.
+
+    A file is one record or a list of them; with ``lines``, as ``write_json`` makes it, a record a line.
+    """
     full = f"{schema}, {corrupt} string"
-    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", corrupt).json(path)
+    rows = spark.read.schema(full).option("multiLine", not lines).option("columnNameOfCorruptRecord", corrupt).json(path)
     return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
@@ -155,7 +167,7 @@ def scene_files(spark: SparkSession, folder: str, schema: str, ids: list[str] |
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON file set per book; nulls are written, other books' files stay."""
+    """One JSON file set per book, a record a line; nulls are written, other books' files stay."""
     writer = rows.repartition("book_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("ignoreNullFields", "false").partitionBy("book_id").json(path)
 
