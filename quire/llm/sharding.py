@@ -71,7 +71,7 @@ def shard(
     Returns ``id_col, size, text_crc32, shard, slot``. A row's size is its
     UTF-8 bytes plus 16; its class is the power of two below that. The key is
     the class, a hash of the text and one of the id, so a group of equal texts
-    stays together but is cut like anything else when it is large. About
+    lies together in that order, and is cut wherever a shard's bytes end. About
     ``sample`` keys, drawn by size, come to the driver; their quantiles, and
     the borders of the classes, cut the key space into ranges, several per
     shard. A range of over twice its share is cut again from a denser sample.
