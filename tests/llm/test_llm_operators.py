@@ -1,6 +1,7 @@
 """Each operator against a plain brute-force version on small, awkward tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -608,17 +609,29 @@ def test_components(spark):
 
 
 def plain_shards(rows, shards):
-    """(id, size, shard, slot) of ``id, size, key, tie`` rows, class by class, each row by the byte at its middle."""
+    """(id, size, shard, slot) of ``id, size, key, tie`` rows: units of equal texts by class, each by the byte at its middle.
+
+    The level that shards can reach together is the least of what any number of the emptiest could reach alone.
+    """
+    weight = Counter()
+    for r in rows:
+        weight[r[2]] += r[1]
+    limit = sum(weight.values()) / (4 * shards)
+    unit = lambda r: weight[r[2]] if weight[r[2]] <= limit else r[1]
     held, count, out = [0] * shards, [0] * shards, []
-    for c in sorted({r[1].bit_length() for r in rows}, reverse=True):
-        own = sorted((r for r in rows if r[1].bit_length() == c), key=lambda r: (r[2], r[3], r[0] is not None, r[0] or 0, r[1]))
-        edges, at, got = np.cumsum(sharding._room(held, sum(r[1] for r in own)))[:-1], 0, [0] * shards
-        for r in own:
-            s = sum(2 * e <= 2 * at + r[1] for e in edges)
-            at += r[1]
-            out.append((r[0], r[1], s, count[s]))
-            count[s] += 1
-            got[s] += r[1]
+    for c in sorted({unit(r).bit_length() for r in rows}, reverse=True):
+        own = sorted((r for r in rows if unit(r).bit_length() == c), key=lambda r: (r[2], r[3], r[0] is not None, r[0] or 0, r[1]))
+        rest, low = sum(r[1] for r in own), sorted(held)
+        level = min((rest + sum(low[:n])) / n for n in range(1, shards + 1))
+        edges, at, got = np.cumsum([max(0, round(level - h)) for h in held])[:-1], 0, [0] * shards
+        for _, same_text in itertools.groupby(own, lambda r: r[2] if weight[r[2]] <= limit else (r[3], r[0])):
+            same_text = list(same_text)
+            s = sum(2 * e <= 2 * at + unit(same_text[0]) for e in edges)
+            for r in same_text:
+                at += r[1]
+                out.append((r[0], r[1], s, count[s]))
+                count[s] += 1
+                got[s] += r[1]
         held = [a + b for a, b in zip(held, got)]
     return out
 
@@ -628,7 +641,7 @@ def test_sharding_against_a_scan(spark, docs, rows, shards, options):
     text = F.coalesce("text", F.lit(""))
     keys = docs.select("doc_id", (F.octet_length(text) + 16).alias("size"), F.xxhash64(text), F.xxhash64("doc_id")).collect()
     found = sharding.shard(docs, shards, **options)
-    same(found.select("doc_id", "size", "shard", "slot").collect(), plain_shards([tuple(r) for r in keys], shards))
+    same(found.select("doc_id", "size", "shard").collect(), [r[:3] for r in plain_shards([tuple(r) for r in keys], shards)])
     found = pd.DataFrame([x.asDict() for x in found.collect()])
     sizes = [len((t or "").encode()) + 16 for _, t, _, _ in rows]
     assert found["size"].sum() == sum(sizes)
@@ -638,10 +651,28 @@ def test_sharding_against_a_scan(spark, docs, rows, shards, options):
     assert sharding.shard(frame(spark, [])).count() == 0
 
 
+def test_groups_of_equal_texts_are_kept_whole(spark):
+    r = random.Random(21)
+    texts = [sentence(r, r.randrange(1, 60)) for _ in range(400)]
+    rows = [(i, texts[min(int(r.paretovariate(0.9)), 399)] if i % 2 else sentence(r, 30), "en", "s") for i in range(4000)]
+    rows += [(None, None, None, None), (5, "", None, None), (5, "", None, None)]
+    table = frame(spark, rows).withColumnsRenamed({"lang": "shard", "source": "class"}).withColumn("slot", F.lit(1)).withColumn("unit", F.lit(2))
+    found = pd.DataFrame([x.asDict() for x in sharding.shard(table.repartition(7), 8, sample=500).collect()])
+    share = found["size"].sum() / 8
+    for _, group in found.groupby(["text_crc32", "size"]):
+        assert group.shard.nunique() == 1 or group["size"].sum() > share / 4
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() < 0.01 * share
+    again = pd.DataFrame([x.asDict() for x in sharding.shard(table.repartition(3), 8, sample=900).collect()])
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    assert found[columns].sort_values(columns).reset_index(drop=True).equals(again[columns].sort_values(columns).reset_index(drop=True))
+
+
 def test_a_hot_text_is_spread_over_shards(spark):
-    rows = [(i, "same text " * 20 if i % 3 else f"text {i}" * 25, None, None) for i in range(3000)]
-    found = sharding.shard(frame(spark, rows), 10, sample=300).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()
-    assert len(found) == 10 and found.n.max() - found.n.min() <= 1000
+    for ids in (lambda i: i, lambda i: 7):  # of many ids, and of one
+        rows = [(ids(i), "same text " * 20 if i % 3 else f"text {i}" * 25, None, None) for i in range(3000)]
+        found = sharding.shard(frame(spark, rows), 10, sample=300).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()
+        assert len(found) == 10 and found.n.max() - found.n.min() <= 1000
 
 
 def test_large_rows_do_not_make_shards_uneven(spark):
