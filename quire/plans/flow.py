@@ -114,16 +114,22 @@ def to_index(
     return made
 
 
-def reset_books(records: DataFrame, status: DataFrame, store: Store, *facets: str, books: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
+def reset_books(
+    records: DataFrame, status: DataFrame, store: Store, *facets: str, books: list[str] | DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, int]:
     """(records with the named facets cleared, status without the marks of their books, number of scenes cleared).
 
-    All books, or those of ``books``. Both tables are written to the store.
+    All books, or those of ``books``, ids or a table with ``book_id``; ids that
+    have no scenes change nothing. Both tables are written to the store.
     """
-    chosen = F.lit(True) if books is None else F.col("book_id").isin(books)
-    cleared = enrich.reset(records.where(chosen), *facets)
-    n = cleared.count()
-    marks = tables.unmarked(status, records.where(chosen).select("book_id").distinct())
-    return store(cleared.unionByName(records.where(~chosen)), "reset-scenes"), store(marks, "reset-status"), n
+    if isinstance(books, list):
+        books = records.sparkSession.createDataFrame([(b,) for b in books], "book_id string")
+    chosen = records if books is None else records.join(books.select("book_id").distinct(), "book_id", "left_semi")
+    rest = records.limit(0) if books is None else records.join(books.select("book_id").distinct(), "book_id", "left_anti")
+    n = chosen.count()
+    marks = tables.unmarked(status, chosen.select("book_id").distinct())
+    cleared = enrich.reset(chosen.select(*records.columns), *facets).unionByName(rest.select(*records.columns))
+    return store(cleared, "reset-scenes"), store(marks, "reset-status"), n
 
 
 def refreshed(mirror: DataFrame, index: DataFrame | None, records: DataFrame, embed: Callable) -> tuple[DataFrame, DataFrame]:

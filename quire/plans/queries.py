@@ -6,16 +6,19 @@ in reading order (a turn's role is its tone), embeddings for scene vectors.
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import hooks, text, vectors
 from quire.operators import enrich, gates, paragraphs, relational, scenes, search, spread, upsert, vector_index
 from quire.plans import flow
-from quire.sources import archive, catalog, layout, tables
+from quire.sources import archive, books, catalog, layout, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -538,9 +541,9 @@ def enrichment_applied(spark, sf_dir):
 # -- the catalog: parts stand for books, several rows to a book; models: stubs that answer wrongly now and then
 
 
-def _catalog(spark, sf_dir):
+def _catalog_rows(spark, sf_dir):
     parts = _t(spark, sf_dir, "part")
-    rows = parts.select(
+    return parts.select(
         (F.col("p_partkey") % 500).cast("string").alias("Text#"),
         F.col("p_name").alias("Title"),
         F.concat("p_brand", F.lit(", Ann, 1802-1870; "), "p_type", F.lit(", Bo [Translator]")).alias("Authors"),
@@ -549,7 +552,10 @@ def _catalog(spark, sf_dir):
         F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd").alias("Issued"),
         "p_partkey",
     )
-    return catalog.last_wins(rows, "p_partkey")
+
+
+def _catalog(spark, sf_dir):
+    return catalog.last_wins(_catalog_rows(spark, sf_dir), "p_partkey")
 
 
 def _flat(books):
@@ -740,6 +746,137 @@ def answers_resumed(spark, sf_dir):
     return told.join(left, ["book_id", "chunk_index"], "left_semi")
 
 
+@query(f"with {CATALOG} select * from books")
+def catalog_csv(spark, sf_dir):
+    """The catalog as CSV files with quotes, commas and line ends in their fields, the rows of a book in several of them."""
+    path, rows = tables.scratch(spark, "catalog"), _catalog_rows(spark, sf_dir)
+    quoted = rows.withColumn("Title", F.concat(F.lit('"'), "Title", F.lit('",\n,"')))
+    quoted.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").select(*catalog.COLUMNS).write.csv(path, header=True, quote='"', escape='"')
+    made = _flat(catalog.metadata(catalog.read(spark, path)))
+    return made.withColumn("Title", F.regexp_extract("Title", '^"(.*)",\n,"$', 1))
+
+
+#: An archive's file names, pages and lines: each third document has chapters, each third headings, each third neither.
+ARCHIVED = """told as (select cast(doc_id as varchar) as book_id, doc_id, text, source from documents where doc_id % 7 <> 0),
+cut as (select doc_id, book_id, unnest(string_split(text, chr(10))) as t, unnest(range(len(string_split(text, chr(10))))) as para from told),
+clean as (select doc_id, book_id, para, case when doc_id % 3 = 2 then 0 else para // 5 end as unit,
+  trim(regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '{white}+', ' ', 'g')) as t from cut)"""
+
+
+def _archives(spark, sf_dir):
+    """Documents as zipped pages, a line a paragraph, every third one in Latin-1 as far as its letters allow; some files have other names."""
+
+    @F.pandas_udf("binary")
+    def zipped(pages: pd.Series, latin: pd.Series) -> pd.Series:
+        return pd.Series([_zip_of(page, wanted) for page, wanted in zip(pages, latin)])
+
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = F.col("doc_id") % 3
+    open_unit = lambda i: F.when((kind == 2) | (i % 5 != 0), "").otherwise(
+        F.concat(F.when(kind == 0, F.when(i > 0, "</div>").otherwise("")).otherwise(""), F.when(kind == 0, '<div class="chapter">').otherwise(""), F.lit("<h2>Part "), (i / 5).cast("int").cast("string"), F.lit("</h2>"))
+    )
+    lines = F.transform(F.split(escape(F.col("text")), "\n"), lambda t, i: F.concat(open_unit(i), F.lit("<p class='x'>"), t, F.lit("</p>")))
+    body = F.concat(F.array_join(lines, "\n"), F.when(kind == 0, "</div>").otherwise(""))
+    mark = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit('<meta name="dc.rights" content=" '), F.coalesce("source", F.lit("")), F.lit(' ">'))).otherwise("")
+    page = F.concat(mark, F.lit("<body><section id='pg-header'><p>cut</p></section><!-- no -->"), F.coalesce(body, F.lit("")), F.lit("</body></html>"))
+    name = F.concat(F.lit("/books/pg"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, "-x.zip").otherwise("-h.zip"))
+    files = _t(spark, sf_dir, "documents").select(name.alias("path"), zipped(page, F.col("doc_id") % 3 == 1).alias("content"))
+    return archive.named(files)
+
+
+def _zip_of(page: str, latin: bool) -> bytes:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("cover.txt", "no page")
+        try:
+            z.writestr("book.html", ("<html><meta charset='ISO-8859-1'>" + page).encode("latin-1" if latin else "ascii"))
+        except UnicodeEncodeError:
+            z.writestr("book.html", "<html><meta charset='utf-8'>" + page)
+    return held.getvalue()
+
+
+@query(f"""with {ARCHIVED.format(white=WHITE)}, kept as (select *, dense_rank() over (partition by doc_id order by unit) - 1 as segment from clean where t <> '')
+select book_id, cast(segment as int) as segment, case when doc_id % 3 < 2 then 'Part ' || unit end as heading,
+  cast(row_number() over (partition by doc_id, unit order by para) - 1 as int) as para, md5(t) as text_md5 from kept""")
+def archive_paragraphs(spark, sf_dir):
+    """The paragraphs of all archives whose names have the form of a book's, by chapters, headings or none."""
+    found = archive.paragraphs(archive.pages(_archives(spark, sf_dir)))
+    return found.select("book_id", "segment", "heading", "para", F.md5("text").alias("text_md5"))
+
+
+@query("select cast(doc_id as varchar) as book_id, case when doc_id % 5 > 0 then trim(coalesce(source, '')) end as rights from documents where doc_id % 7 <> 0")
+def archive_rights(spark, sf_dir):
+    return archive.archive_rights(_archives(spark, sf_dir))
+
+
+@query(f"""with {LINES}, {PACKED.format(group="book_id", order="idx", size="length(text)", table="paras", limit=PACK_CHARS)},
+texts as (select g as book_id, cast(count(distinct part) as bigint) as n_chunks, md5(string_agg(text, '|' order by o)) as texts_md5 from packed join paras on book_id = g and idx = o group by 1)
+select cast(d.doc_id as varchar) as "ID", 'https://www.gutenberg.org/ebooks/' || d.doc_id as "Link", coalesce(lang, '') as "Title",
+  case when source <> '' then source end as "Author", cast(null as varchar) as "Translator", array_to_string(list_sort(list_distinct(['é', 'book'])), '|') as "Subjects",
+  cast(null as varchar) as "Date", '' as "Language", coalesce(n_chunks, 0) as n_chunks, texts_md5
+from documents d left join texts on book_id = cast(d.doc_id as varchar)""")
+def book_roundtrip(spark, sf_dir):
+    """Every document as a book by way of a shelf of JSON lines: first every third one, then all, of which only the rest is made."""
+    docs, path = _t(spark, sf_dir, "documents"), tables.scratch(spark, "shelf")
+    key = F.col("doc_id").cast("string")
+
+    def make(ids):
+        own = docs.withColumn("book_id", key).join(ids, "book_id", "left_semi")
+        rows = own.select(
+            key.alias("Text#"), F.col("lang").alias("Title"), F.col("source").alias("Authors"), F.lit("é; book;").alias("Subjects"),
+            F.lit(None).cast("string").alias("Language"), F.lit("").alias("Issued"), "doc_id",
+        )
+        parts = paragraphs.chunks(paragraphs.numbered(paragraphs.lines(own, "doc_id", "text")), PACK_CHARS)
+        return catalog.metadata(catalog.last_wins(rows, "doc_id")), parts
+
+    ids = docs.select(key.alias("book_id"))
+    books.recalled(ids.where(F.col("book_id").cast("long") % 3 == 0), path, make)
+    metadata, chunks = books.recalled(ids, path, make)
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", F.array_join(F.transform("paragraphs", lambda p: p["text"]), "|").alias("t"))))
+    texts = chunks.groupBy(F.col("book_id").alias("ID")).agg(F.count(F.lit(1)).alias("n_chunks"), F.md5(F.array_join(F.transform(listed, lambda c: c["t"]), "|")).alias("texts_md5"))
+    return _flat(metadata).join(texts, "ID", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+@query(f"""with {SCENES} select scene_id, case when conv % 2 = 1 then dominant_tone end as dominant_tone, case when conv % 2 = 1 then 'One.' end as summary,
+  conv % 2 = 1 as enriched, case when conv % 2 = 1 then 'completed' end as status, (select count(*) from scenes where cast(book_id as bigint) % 2 = 0) as n_reset
+from (select *, cast(book_id as bigint) as conv from scenes)""")
+def books_reset(spark, sf_dir):
+    """Tone and summary of the even books' scenes are cleared, and with them the marks of those books."""
+    rows = _records(spark, sf_dir).drop("dominant_tone").join(_scenes(spark, sf_dir).select("scene_id", "dominant_tone"), "scene_id")
+    rows = rows.withColumns({"summary": F.lit("One."), "enriched": F.lit(True), "enrich_model": F.lit("stub")})
+    told = rows.select("book_id").distinct()
+    status = tables.marked(spark.createDataFrame([], "book_id string, status string"), told)
+    even = told.where(F.col("book_id").cast("long") % 2 == 0)
+    made, marks, n = flow.reset_books(rows, status, tables.Store(tables.scratch(spark, "reset")), "tone", "enriched", books=even)
+    return made.join(marks, "book_id", "left").select("scene_id", "dominant_tone", "summary", "enriched", "status", F.lit(n).cast("long").alias("n_reset"))
+
+
+@query(f"""with {SCENES}, told as (select *, cast(book_id as bigint) as conv from scenes)
+select scene_id, case when conv % 2 = 0 then 'new' else 'old' end as had, cast(case when conv % 2 = 0 then length(text) + 1 else length(text) end as double) as n
+from told where not (conv % 2 = 0 and pos % 3 = 0)
+union all select scene_id, 'kept', cast(length(text) as double) from told where conv % 2 = 0 and pos % 3 = 0""")
+def index_refreshed(spark, sf_dir):
+    """The even books' scenes come anew with longer summaries, every third without one: those keep their vector in the index."""
+    old = _records(spark, sf_dir).withColumn("summary", F.col("text"))
+    longer = F.when(F.col("pos") % 3 != 0, F.concat("text", F.lit(".")))
+    new = old.where(F.col("book_id").cast("long") % 2 == 0).withColumn("summary", longer)
+    rows, index = flow.refreshed(relational.mirror(old.limit(0)), None, old, _counting_embedder)
+    rows, index = flow.refreshed(rows, index, new, _counting_embedder)
+    had = F.when(F.col("book_id").cast("long") % 2 != 0, "old").when(F.col("summary").isNull(), "kept").otherwise("new")
+    return index.select("scene_id", F.get("summary_vec", F.lit(0)).cast("double").alias("n")).join(rows.select("scene_id", had.alias("had")), "scene_id")
+
+
+@query("""select cast(conv_id as varchar) as book_id, case when conv_id % 3 = 0 then 'rights' else 'other' end as reason, case when conv_id % 3 = 0 then 'second' else 'first' end as detail
+from (select distinct conv_id from conversations) where conv_id % 2 = 0 or conv_id % 3 = 0""")
+def exclusion_log(spark, sf_dir):
+    """Every second book is excluded, then every third for another reason; a book has the last one."""
+    told = _t(spark, sf_dir, "conversations").select("conv_id").distinct()
+    store = tables.Store(tables.scratch(spark, "log"))
+    row = lambda n, reason, detail: told.where(F.col("conv_id") % n == 0).select(F.col("conv_id").cast("string").alias("book_id"), F.lit(reason).alias("reason"), F.lit(detail).alias("detail"))
+    store.books(row(2, "other", "first"), "excluded")
+    return store.books(row(3, "rights", "second"), "excluded")
+
+
 # -- vectors: embeddings stand for summaries, reversed ones for descriptors; every row whose id is divisible by 20 is a query
 
 

@@ -12,10 +12,10 @@ COLUMNS = ["Text#", "Title", "Authors", "Subjects", "Language", "Issued"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows as strings; of rows with one ``Text#`` the last in the file stays."""
+    """Catalog rows as strings; of rows with one ``Text#`` the last stays: in the last file by path, then by place in it."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    # a multi-line file is one split, so its rows have rising numbers
-    return last_wins(raw.withColumn("_n", F.monotonically_increasing_id()), "_n")
+    # a multi-line file is never split, so within a file rows have rising numbers
+    return last_wins(raw.withColumn("_n", F.struct("_metadata.file_path", F.monotonically_increasing_id())), "_n")
 
 
 def last_wins(rows: DataFrame, order: str) -> DataFrame:
