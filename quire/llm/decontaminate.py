@@ -7,17 +7,18 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import fresh, save, text_key
 
 WINDOW = 13
+LOG_BITS = 29  # a filter has at most two to this many bits
 #: A-Z to a-z; bytes that are neither ASCII letters or digits nor part of a longer character become blanks.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -40,15 +41,83 @@ def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
     return {b" " + b" ".join(found[i : i + size]) + b" " for i in range(max(1, len(found) - size + 1))} if found else set()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items that have text, a block of about ``block_bytes`` of it at a time: the driver never holds more than one."""
+def _held(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item, text`` of the items that have text."""
     held = items.where(F.octet_length(text_col) > 0)
-    held = held.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-    n_bytes = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-n_bytes // block_bytes))
-    for b in range(n):
-        part = held if n == 1 else held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield sorted((r["item"], r["text"]) for r in part.toLocalIterator())
+    return held.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+
+
+def _block(held: DataFrame) -> list[tuple[str, str]]:
+    return sorted((r["item"], r["text"]) for r in held.select("item", "text").toLocalIterator())
+
+
+def _window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` words, from the hashes of the words."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for k in range(n if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def _word_hashes(cut: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in cut), np.uint64, len(cut))
+
+
+PROBES = 4
+
+
+def _probe(hashes: np.ndarray, k: int, log_bits: int) -> np.ndarray:
+    """The ``k``-th bit of a filter of two to the ``log_bits`` that stands for each hash."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return ((hashes + np.uint64(k) * step) & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+
+
+SEGMENT = 16  # two to this many bits of the filter are made by one group
+
+
+def _filter(held: DataFrame, size: int, log_bits: int) -> tuple[list[int], np.ndarray]:
+    """(lengths of the items' windows, filter bits in which each window is set), put together from segments made in tasks."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["text"]:
+                cut = words(text)
+                n = min(size, len(cut))
+                if n:
+                    found = _window_hashes(_word_hashes(cut), n)
+                    at = np.unique(np.concatenate([_probe(found, k, log_bits) for k in range(PROBES)]))
+                    yield pd.DataFrame({"n": n, "segment": at >> SEGMENT, "bit": at & ((1 << SEGMENT) - 1)})
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << SEGMENT, np.uint8)
+        own[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "held": [np.packbits(own, bitorder="little").tobytes()]})
+
+    told = save(held.mapInPandas(bits, "n int, segment long, bit int").distinct(), "filter-bits")
+    lengths = sorted(r["n"] for r in told.select("n").distinct().collect())
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    width = 1 << (SEGMENT - 3)
+    for r in told.select("segment", "bit").distinct().groupBy("segment").applyInPandas(packed, "segment long, held binary").toLocalIterator():
+        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["held"], np.uint8)
+    return lengths, out
+
+
+def stretches(cut: list[bytes], lengths: list[int], bits: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, word after the last) of the runs of words in which all windows that the filter lets through lie."""
+    hashes, log_bits = _word_hashes(cut), int(len(bits) * 8).bit_length() - 1
+    edges = np.zeros(len(cut) + 1, np.int64)
+    for n in lengths:
+        found = _window_hashes(hashes, n)
+        at = np.arange(len(found))
+        for k in range(PROBES):
+            probe = _probe(found[at], k, log_bits)
+            at = at[(bits[probe >> 3] >> (probe & 7).astype(np.uint8)) & 1 == 1]
+        edges[at] += 1
+        edges[at + n] -= 1
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edges[:-1]) > 0).astype(np.int8), [0]])))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
 def _automaton(block: list[tuple[str, str]], name: str, size: int) -> ahocorasick.Automaton:
@@ -117,26 +186,32 @@ def scan(
     task that reads the row: no shuffle. ``spans`` are the maximal runs of hit
     words as byte offsets in the original text; ``items`` the ids met.
 
-    Test items of more than ``block_bytes`` of text go block by block, each
-    with an automaton and a pass over the texts of its own: the driver, a
-    broadcast and a worker hold one block at a time, whatever the number of
-    items. A pass keeps only what it hits, by a digest of the text, and the
-    passes are joined to the rows at the end.
+    Test items of more than ``block_bytes`` of text don't fit one automaton.
+    Then, too, the texts are scanned once: a Bloom filter over the hashes of
+    all windows (16 bits a window of average words, at most 64 MB, made in
+    tasks) picks the stretches of words that may hold one, and those stretches
+    are saved. A block of items at a time, by hash, has its automaton, which
+    reads the stretches alone and decides; the driver, a broadcast and a worker
+    hold one block. A larger test set makes more passes over the stretches,
+    never over the texts; a filter fuller than meant lets longer stretches
+    through and changes no result. The hits are joined to the rows by a digest
+    of the text.
 
     Null and empty texts have no words; items without words have no windows; a
     null item id is written as an empty string; items with equal ids count
     once; a column named as ``out`` is replaced.
     """
     spark = docs.sparkSession
-    blocks = _blocks(items, item_id_col, item_text_col, block_bytes)
-    first, second = next(blocks), next(blocks, None)
+    held = _held(items, item_id_col, item_text_col)
+    n_bytes = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-n_bytes // block_bytes))
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "spans", "items"]
 
     def sent(block: list[tuple[str, str]]):
         return hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest(), spark.sparkContext.broadcast(block)
 
-    if second is None:
-        name, block = sent(first)
+    if n_blocks == 1:
+        name, block = sent(_block(held))
 
         @F.pandas_udf(FOUND)
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -147,18 +222,36 @@ def scan(
 
         return docs.withColumn(out, found(F.col(text_col)))
 
+    held = save(held.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int")), "items", by="block")
+    lengths, bits = _filter(held, size, min(LOG_BITS, max(SEGMENT, int(n_bytes * 16 // 6).bit_length())))
+    sent_bits = spark.sparkContext.broadcast(bits)
+
+    def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for u, t in zip(pdf["uid"], pdf["text"]):
+                cut = words(t)
+                rows += [(u, a, b" " + b" ".join(cut[a:b]) + b" ") for a, b in stretches(cut, lengths, sent_bits.value)]
+            yield pd.DataFrame(rows, columns=["uid", "first", "line"])
+
     texts = docs.select(text_key(F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
+    lines = save(texts.mapInPandas(picked, "uid binary, first int, line binary"), "stretches")
+    sent_bits.unpersist()
     passes = []
-    for nth, own in enumerate(chain([first, second], blocks)):
-        name, block = sent(own)
+    for nth in range(n_blocks):
+        name, block = sent(_block(held.where(F.col("block") == nth)))
 
         def met(batches: Iterator[pd.DataFrame], name=name, block=block) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 a = _automaton(block.value, name, size)
-                rows = [(u, x[0], x[1], list(x[2])) for u, t in zip(pdf["uid"], pdf["text"]) for x in hits(_line(t)[0], a)]
+                rows = [
+                    (u, at + x[0], at + x[1], list(x[2]))
+                    for u, at, line in zip(pdf["uid"], pdf["first"], pdf["line"])
+                    for x in hits(bytes(line).decode("latin-1"), a)
+                ]
                 yield pd.DataFrame(rows, columns=["uid", "first", "last", "names"])
 
-        passes.append(save(texts.mapInPandas(met, "uid binary, first int, last int, names array<string>").distinct(), f"hits-{nth}"))
+        passes.append(save(lines.mapInPandas(met, "uid binary, first int, last int, names array<string>").distinct(), f"hits-{nth}"))
         block.unpersist()
     every = reduce(DataFrame.unionByName, passes).groupBy("uid").agg(F.collect_list(F.struct("first", "last", "names")).alias("hits"))
     uid, held = fresh("_q_uid", docs), fresh("_q_hits", docs)

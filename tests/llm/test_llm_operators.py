@@ -836,3 +836,17 @@ def test_queries_have_the_agreed_columns(spark):
 
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stretches_hold_all_windows(spark):
+    """Whatever the filter lets through, no window is lost; a full one lets all through, an empty one nothing."""
+    cut = decontaminate.words(sentence(random.Random(3), 200))
+    assert decontaminate.stretches(cut, [2, 13], np.full(1 << 13, 255, np.uint8)) == [(0, 200)]
+    assert decontaminate.stretches(cut, [2, 13], np.zeros(1 << 13, np.uint8)) == []
+    assert decontaminate.stretches([], [1], np.full(1 << 13, 255, np.uint8)) == []
+    text = lambda a, b: b" ".join(cut[a:b]).decode()
+    items = spark.createDataFrame([("x", text(20, 60)), ("y", text(100, 102)), ("z", "never seen " * 20), ("n", None)], "item string, text string")
+    lengths, bits = decontaminate._filter(items, 13, 18)
+    assert lengths == [2, 13] and len(bits) == 1 << 15
+    assert decontaminate.stretches(cut, lengths, bits) == [(20, 60), (100, 102)]
+    assert decontaminate.stretches(decontaminate.words(text(30, 42)), lengths, bits) == []
