@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,23 @@ from pyspark.sql import types as T
 from quire.llm.common import save
 
 RESULT = "seq_shard int, seq long, slot int, doc_id {}, part int, start long, n_units long, source string, residual long"
+KEYED = RESULT + ", row_hash long"
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def _cut(text: str, starts: list[int], capacity: int) -> Iterator[str]:
+    """The parts of a text of ``capacity`` words that begin with the words of the given numbers, which rise."""
+    wanted, begin, end = iter(starts), None, 0
+    start = next(wanted, None)
+    for i, word in enumerate(WORD.finditer(text)):
+        if begin is not None and i == start + capacity:
+            yield text[begin:end]
+            begin, start = None, next(wanted, None)
+        if i == start:
+            begin = word.start()
+        end = word.end()
+    if begin is not None:
+        yield text[begin:end]
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int = 1) -> list[int]:
@@ -78,6 +97,24 @@ def pack(
     apart. Ids may be of any type, and null ids are kept as null. An empty table gives no rows; further
     columns are ignored.
     """
+    return _pack(docs, capacity, per_source, units_per_shard, id_col, text_col, source_col, cluster).drop("row_hash")
+
+
+def _row_hash(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _pack(
+    docs: DataFrame,
+    capacity: int,
+    per_source: int,
+    units_per_shard: int,
+    id_col: str,
+    text_col: str,
+    source_col: str | None,
+    cluster: F.Column | None,
+) -> DataFrame:
+    """The rows of ``pack`` with ``row_hash``, the hash of id and text of the row that a piece is of."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = F.translate(F.lower(text), "\t\n\r\f\x0b", " " * 5)
     folded = F.trim(F.regexp_replace(blank, " {2,}", " "))
@@ -87,7 +124,7 @@ def pack(
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
         (cluster if cluster is not None else F.lit(None).cast("long")).alias("given"),
         folded.alias("folded"),
-        F.xxhash64(F.col(id_col), text).alias("h"),
+        _row_hash(id_col, text_col).alias("h"),
     )
     rows = held.select(
         "doc_id",
@@ -124,9 +161,42 @@ def pack(
         out = []
         for p, b in zip(pieces, chosen):
             slot = count[b] = count.get(b, -1) + 1
-            out.append((int(pdf["shard"].iloc[0]), b, slot, p[2], p[3], p[4], p[0], p[5], capacity - held[b]))
-        out = pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
+            out.append((int(pdf["shard"].iloc[0]), b, slot, p[2], p[3], p[4], p[0], p[5], capacity - held[b], p[6]))
+        out = pd.DataFrame(out, columns=[x.split()[0] for x in KEYED.split(", ")])
         return out.astype({"doc_id": "Int64"}) if whole_ids else out
 
     dealt = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(packed, RESULT.format(kind.simpleString()))
+    return dealt.groupBy("shard").applyInPandas(packed, KEYED.format(kind.simpleString()))
+
+
+def pack_texts(
+    docs: DataFrame,
+    capacity: int = 2048,
+    per_source: int = 4,
+    units_per_shard: int = 400_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str | None = "source",
+    cluster: F.Column | None = None,
+) -> DataFrame:
+    """``pack`` with the ``text`` of each piece, from its first word to its last, as it stands in the document.
+
+    ``docs`` is read twice and must give the same rows both times. Each text
+    moves once, to the list of its document's pieces; rows of one id and text
+    have the same pieces' texts, so one of them is enough.
+    """
+    pieces = save(_pack(docs, capacity, per_source, units_per_shard, id_col, text_col, source_col, cluster), "pieces")
+    starts = pieces.groupBy("row_hash", "doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_hash(id_col, text_col).alias("row_hash"))
+
+    @F.pandas_udf("array<string>")
+    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([list(_cut(t, [int(s) for s in at], capacity)) for t, at in zip(text, starts)], dtype=object)
+
+    same = (F.col("t.row_hash") == F.col("p.row_hash")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id"))
+    held = texts.alias("t").join(starts.alias("p"), same)
+    held = held.select("p.row_hash", "p.doc_id", F.explode(F.arrays_zip("p.starts", cut("t.text", "p.starts").alias("texts"))).alias("x"))
+    held = held.select("row_hash", "doc_id", F.col("x.starts").alias("start"), F.col("x.texts").alias("text"))
+    held = held.dropDuplicates(["row_hash", "doc_id", "start"])
+    same = (F.col("a.row_hash") == F.col("b.row_hash")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.start") == F.col("b.start"))
+    return pieces.alias("a").join(held.alias("b"), same, "left").select("a.*", "b.text").drop("row_hash")

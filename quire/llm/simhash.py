@@ -24,7 +24,10 @@ SLICE = 1 << 20  # bytes of a text that are cut into words at once
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 BANDS = 20
 ROWS = 5  # least hashes of a band; texts of similarity 0.8 share none of 20 such bands once in 2,900 times
-BEFORE = 2  # rows that each row of a bucket is compared with
+BINS = 256  # bytes of a sketch
+SIGMAS = 4.5  # standard deviations by which a sketch may underrate a pair; more happen once in 290,000 times
+HELD = 1 << 22  # hashes that a task keeps of the texts it compared last
+BEFORE = 2  # rows that each row of a bucket is compared with at first
 
 
 def _word_blocks(text: str | None) -> Iterator[list[bytes]]:
@@ -160,19 +163,44 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), r.integers(0, 1 << 64, n, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A number for each band of ``ROWS`` least hashes of a set of shingles, as signed longs."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set of shingles under each of ``BANDS * ROWS`` hash functions."""
     times, plus = _draws()
     least = np.full(len(times), ~np.uint64(0))
     for at in range(0, len(hashes), 4096):
         h = hashes[at : at + 4096]
         for i in range(len(times)):
             least[i] = min(least[i], (h * times[i] + plus[i]).min())
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A number for each band of ``ROWS`` least hashes, as signed longs."""
     raw = least.tobytes()
     step = 8 * ROWS
     return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A byte for each of ``BINS`` ranges of hashes: it stands for the least of a set of shingles in it, 0 for none."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(own // np.uint64((1 << BITS) // BINS), return_index=True)
+    out[bins.astype(np.int64)] = own[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+@F.pandas_udf(T.DoubleType())
+def _sigmas(one: pd.Series, other: pd.Series, similarity: pd.Series) -> pd.Series:
+    """By how many standard deviations the similarity of two sketches is below ``similarity``; 0 if there is nothing to tell by."""
+    if one.empty:
+        return pd.Series(dtype=np.float64)
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), BINS) for x in (one, other))
+    n = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    s = similarity.to_numpy()
+    short = s - ((a == b) & (a > 0)).sum(axis=1) / n
+    return pd.Series(short / np.sqrt(np.maximum(s * (1 - s), 1e-9) / n))
+
+
 def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by bucket: each row's node with those of up to ``BEFORE`` rows before it in its bucket."""
     last = pd.DataFrame({"bucket": [], "node": []}, dtype=np.int64)
@@ -186,6 +214,42 @@ def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = both.tail(BEFORE).reset_index(drop=True)
 
 
+def _apart(nodes: DataFrame, joined: DataFrame, shared: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``src < dst`` of candidates that are in different components of ``joined`` and can have ``similarity`` by their sizes.
+
+    Candidates are the rows of ``shared`` (``bucket, node``) with one bucket, the
+    nodes of one fingerprint, and those of two ``linked`` fingerprints. Buckets
+    whose nodes are all in one component are left out. In each other one, nodes
+    outside its largest component meet all others of it, so a pair within the largest is never made, and at most as many
+    pairs are made in vain as there are pairs of different components. Sketches
+    then tell which of them are far from ``similarity``, so
+    that texts that only share a passage are not compared in full.
+    """
+    rooted = nodes.where("n > 0").select("node", "fp", "n", "sketch").join(joined, "node", "left")
+    rooted = save(rooted.withColumn("root", F.coalesce("root", "node")), "first-components")
+    ends = save(rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")), "fingerprint-components")
+    side = lambda x: ends.select(F.col("fp").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+    crossed = linked.join(side("src"), "src").join(side("dst"), "dst")
+    crossed = crossed.where("least(src_low, dst_low) <> greatest(src_high, dst_high)")
+    crossed = crossed.withColumn("bucket", F.xxhash64("src", "dst"))
+    prints = crossed.select("bucket", F.col("src").alias("fp")).union(crossed.select("bucket", F.col("dst").alias("fp")))
+    prints = prints.union(ends.where("low <> high").select(F.xxhash64("fp").alias("bucket"), "fp"))
+    placed = shared.select("bucket", "node").join(rooted, "node").select("bucket", "node", "n", "root", "sketch")
+    placed = placed.union(prints.join(rooted, "fp").select("bucket", "node", "n", "root", "sketch"))
+    groups = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    mains = groups.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mains = mains.where("roots > 1").select("bucket", F.col("main.root").alias("main"))
+    apart = save(placed.join(mains, "bucket"), "buckets-apart")
+    one = apart.where("root <> main").select("bucket", *[F.col(c).alias(f"src_{c}") for c in ("node", "n", "root", "sketch")])
+    met = one.join(apart, "bucket").where(
+        (F.col("src_root") != F.col("root"))
+        & (F.least("src_n", "n") / F.greatest("src_n", "n") >= similarity)
+        & ((F.col("root") == F.col("main")) | (F.col("src_node") < F.col("node")))
+    )
+    met = met.where(_sigmas("src_sketch", "sketch", F.lit(similarity)) <= SIGMAS)
+    return met.select(F.least("src_node", "node").alias("src"), F.greatest("src_node", "node").alias("dst")).distinct()
+
+
 def similar(
     docs: DataFrame,
     similarity: float,
@@ -205,14 +269,16 @@ def similar(
     for case and white space are merged before. Within a bucket each row meets the
     two before it in the order of the next band, and the bucket's leader, the
     text whose buckets have the most rows in all: that is the middle of a
-    group whose outer texts are only like the middle. So a large bucket costs
-    in proportion to its rows, and streams through its task. Each candidate is
-    verified on the whole texts, so no link is wrong; what can be missed are
-    texts that share no band, or that in buckets of four and more never meet
-    and are not linked over others either.
+    group whose outer texts are only like the middle. Most of a group is then
+    one component. What is still apart meets in a second pass: all pairs of a
+    bucket, of a fingerprint and of linked fingerprints whose components differ
+    and whose sizes allow ``similarity`` (``_apart``). So the work of a large
+    bucket follows its rows and the pairs that really differ, and no candidate
+    is left out. Each is verified on the whole texts, so no link is wrong; what
+    can be missed are texts that share no band, or whose sketches are ``SIGMAS`` off.
     """
 
-    @F.pandas_udf("struct<node: long, fp: long, bands: array<long>>")
+    @F.pandas_udf("struct<node: long, fp: long, bands: array<long>, n: long, sketch: binary>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
@@ -220,14 +286,18 @@ def similar(
             h = _hashes(t, shingle, whole)
             fp = _majority(h)
             node = int.from_bytes(whole.digest(), "big", signed=True)
-            out.append((node, fp - (fp >> 63 << 64), bands(np.unique(h)) if len(h) else []))
-        return pd.DataFrame(out, columns=["node", "fp", "bands"])
+            own = np.unique(h)
+            least = least_hashes(own)
+            out.append((node, fp - (fp >> 63 << 64), bands(least) if len(own) else [], len(own), sketch(own)))
+        return pd.DataFrame(out, columns=["node", "fp", "bands", "n", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.select("id", text_key(F.col("text")).alias("text_key"), marks("text").alias("m"))
-    marked = save(marked.select("id", "text_key", "m.node", "m.fp", "m.bands"), "marks")
+    marked = save(marked.select("id", "text_key", "m.node", "m.fp", "m.bands", "m.n", "m.sketch"), "marks")
     nodes = marked.groupBy("node").agg(
-        F.min("id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
+        F.min("id").alias("least"),
+        F.min("text_key").alias("text_key"),
+        *[F.first(c).alias(c) for c in ("fp", "bands", "n", "sketch")],
     )
     nodes = save(nodes, "nodes")
     # texts of one fingerprint meet the least of them, and those of linked fingerprints meet one another
@@ -235,7 +305,8 @@ def similar(
     firsts = save(firsts, "fingerprints")
     within = nodes.where("size(bands) > 0").join(firsts, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
     ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node")) for x in ("src", "dst")]
-    near = links(firsts.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst")
+    linked = save(links(firsts.select("fp"), radius), "fingerprint-links")
+    near = linked.join(ends[0], "src").join(ends[1], "dst")
     near = near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")).union(within)
     turned = F.expr("transform(bands, (x, i) -> struct(x as bucket, bands[(i + 1) % size(bands)] as next))")
     dealt = nodes.select("node", F.explode(turned).alias("b")).select("b.bucket", "b.next", "node")
@@ -249,25 +320,42 @@ def similar(
     pairs = ranked.mapInPandas(_beside, "src long, dst long").union(led).union(near)
     pairs = save(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
 
-    met = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    met = nodes.select("node", "text_key").join(met, "node", "left_semi")
-    texts = rows.select(text_key(F.col("text")).alias("text_key"), "text").join(met, "text_key")
-    texts = save(texts.select("node", "text").dropDuplicates(["node"]), "pair-texts")
-
-    @F.pandas_udf("boolean")
-    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
-        out, last, a = [], None, None
-        for t, u in zip(one, other):
-            if t is not last:
-                last, a = t, shingle_set(t, shingle)
-            b = shingle_set(u, shingle)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both) >= similarity)
-        return pd.Series(out, dtype=bool)
-
-    both = pairs.join(texts.withColumnsRenamed({"node": "src", "text": "one"}), "src")
-    both = both.join(texts.withColumnsRenamed({"node": "dst", "text": "other"}), "dst")
-    joined = components(both.where(alike("one", "other")).select("src", "dst"))
+    @F.pandas_udf(T.BooleanType())
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(node: int, text: str) -> np.ndarray:
+            nonlocal held
+            if node not in sets:
+                sets[node] = shingle_set(text, shingle)
+                held += len(sets[node])
+                while held > HELD and len(sets) > 1:
+                    held -= len(sets.pop(next(iter(sets))))
+            return sets[node]
+
+        for columns in batches:
+            out = []
+            for src, one, dst, other in zip(*columns):
+                a, b = of(src, one), of(dst, other)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(both / (len(a) + len(b) - both) >= similarity)
+            yield pd.Series(out, dtype=bool)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+        met = nodes.select("node", "text_key").join(met, "node", "left_semi")
+        texts = rows.select(text_key(F.col("text")).alias("text_key"), "text").join(met, "text_key")
+        texts = save(texts.select("node", "text").dropDuplicates(["node"]), "pair-texts")
+        both = pairs.join(texts.withColumnsRenamed({"node": "src", "text": "one"}), "src")
+        both = both.join(texts.withColumnsRenamed({"node": "dst", "text": "other"}), "dst")
+        return save(both.where(alike("src", "one", "dst", "other")).select("src", "dst"), "similar-links")
+
+    found = verified(pairs)
+    joined = components(found)
+    more = save(_apart(nodes, joined, shared, linked, similarity).join(pairs, ["src", "dst"], "left_anti"), "pairs-apart")
+    if not more.isEmpty():
+        joined = components(found.union(verified(more)))
     rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = save(rooted.select("node", "root").join(least, "root"), "similar-groups")

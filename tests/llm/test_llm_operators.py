@@ -552,6 +552,39 @@ def test_simhash_links_are_all_found(spark):
     assert pairs == wanted
 
 
+def test_texts_of_packed_pieces(spark):
+    """Null, blank and long texts, an id with two texts, rows that repeat, null ids, a clashing column, an empty table."""
+    texts = [(1, " a  b\tc d\n\ne f g "), (1, "other words of one id here"), (1, "other words of one id here"), (2, None), (3, " \n"), (None, "no id at all"), (4, "\u00e9\u00a0x " * 20)]
+    docs = frame(spark, [(i, t, None, None) for i, t in texts]).withColumn("row_hash", F.lit("clash"))
+    found = packing.pack_texts(docs, capacity=3).collect()
+    assert [c for c in packing.pack_texts(docs, capacity=3).columns if c != "text"] == packing.pack(docs, capacity=3).columns
+    want = []
+    for i, t in texts:
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", t or "")]
+        for p in range(0, len(words), 3):
+            part = words[p : p + 3]
+            want.append((i, p, len(part), t[part[0][0] : part[-1][1]]))
+    order = lambda rows: sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
+    assert order((x.doc_id, x.start, x.n_units, x.text) for x in found) == order(want)
+    assert packing.pack_texts(frame(spark, [])).count() == 0
+
+
+def test_candidates_that_are_apart(spark):
+    """Two groups in one bucket, linked by one pair that neither neighbours nor leaders would meet."""
+    r = random.Random(3)
+    rows = [(100 * g + i, 1, g * 1000 + i, 100) for g in range(2) for i in range(40)]
+    sketches = {n: simhash.sketch(np.unique(np.array([r.getrandbits(64) for _ in range(100)], np.uint64))) for n, *_ in rows}
+    sketches[139] = sketches[39]
+    nodes = spark.createDataFrame([(n, 5, k, sketches[n]) for n, _, _, k in rows], "node long, fp long, n long, sketch binary")
+    joined = spark.createDataFrame([(100 * g + i, 100 * g) for g in range(2) for i in range(40)], "node long, root long")
+    shared = spark.createDataFrame([(7, n) for n, *_ in rows], "bucket long, node long")
+    none = spark.createDataFrame([], "src long, dst long")
+    found = {(x.src, x.dst) for x in simhash._apart(nodes, joined, shared, none, 0.8).collect()}
+    assert found == {(39, 139)}
+    one = joined.withColumn("root", F.lit(0).cast("long"))
+    assert simhash._apart(nodes, one, shared, none, 0.8).count() == 0
+
+
 def test_similar_texts_against_brute_force(spark):
     """Chains and a large group of edited copies; pairs of similarity 0.8 or more, and pairs just below."""
     r = random.Random(6)

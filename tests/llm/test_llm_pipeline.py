@@ -57,6 +57,10 @@ def test_run_against_brute_force(spark, tmp_path):
     got = {}
     for p in found:
         got[p.doc_id] = got.get(p.doc_id, 0) + p.n_units
+        assert len(p.text.split()) == p.n_units
+    whole = {i: " ".join(x.text for x in sorted(found, key=lambda x: x.start) if x.doc_id == i) for i in got}
+    uncut = {i: t for i, t in kept if i < 50 and i != 2}
+    assert all(whole[i].split() == t.split() for i, t in uncut.items() if sizes.get(i) == len(t.split()))
     assert got == sizes and 70 not in got and 80 not in got and 61 in got
 
 
