@@ -27,7 +27,10 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of texts whose sets of five-word shingles have similarity 0.8 or more.
 
-    Candidates are fingerprints within three bits and texts that share a band of least hashes; each is verified.
+    Multi-index hashing of fingerprints alone would lose links, since texts at
+    0.8 differ in ten bits on average, so this stage takes as candidates both
+    the fingerprints within three bits and the texts that share a band of least
+    hashes; each is verified on the whole texts.
     """
     small_batches(spark)
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
@@ -46,14 +49,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 2,048 words, a row per piece of a document.
-
-    The texts that the pieces are of, as the stages before left them, are the
-    temporary view ``packed_documents``: words ``start`` to ``start + n_units``
-    of the text of ``doc_id`` are a piece.
-    """
-    docs.createOrReplaceTempView("packed_documents")
-    return packing.pack(docs)
+    """Sequences of up to 2,048 words, a row per piece of a document with the piece's text as the stages before left it."""
+    small_batches(spark)
+    return packing.pack_texts(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
