@@ -183,20 +183,25 @@ def pack_texts(
 
     ``docs`` is read twice and must give the same rows both times. Each text
     moves once, to the list of its document's pieces; rows of one id and text
-    have the same pieces' texts, so one of them is enough.
+    have pieces with the same texts, so one of the rows is enough.
     """
     pieces = save(_pack(docs, capacity, per_source, units_per_shard, id_col, text_col, source_col, cluster), "pieces")
-    starts = pieces.groupBy("row_hash", "doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_hash(id_col, text_col).alias("row_hash"))
+    key = lambda h, i: F.concat(h.cast("string"), F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")))
+    fields = [c for c in pieces.columns if c != "row_hash"]
+    lists = pieces.groupBy(key(F.col("row_hash"), F.col("doc_id")).alias("key")).agg(F.collect_list(F.struct(*fields)).alias("pieces"))
+    # one key for the rows that repeat and for the join, so that texts are moved once
+    texts = docs.select(key(_row_hash(id_col, text_col), F.col(id_col)).alias("key"), F.col(text_col).alias("text"))
 
     @F.pandas_udf("array<string>")
     def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([list(_cut(t, [int(s) for s in at], capacity)) for t, at in zip(text, starts)], dtype=object)
-
-    same = (F.col("t.row_hash") == F.col("p.row_hash")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id"))
-    held = texts.alias("t").join(starts.alias("p"), same)
-    held = held.select("p.row_hash", "p.doc_id", F.explode(F.arrays_zip("p.starts", cut("t.text", "p.starts").alias("texts"))).alias("x"))
-    held = held.select("row_hash", "doc_id", F.col("x.starts").alias("start"), F.col("x.texts").alias("text"))
-    held = held.dropDuplicates(["row_hash", "doc_id", "start"])
-    same = (F.col("a.row_hash") == F.col("b.row_hash")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.start") == F.col("b.start"))
-    return pieces.alias("a").join(held.alias("b"), same, "left").select("a.*", "b.text").drop("row_hash")
+        out = []
+        for t, at in zip(text, starts):
+            rising = sorted({int(s) for s in at})
+            parts = dict(zip(rising, _cut(t, rising, capacity)))
+            out.append([parts[int(s)] for s in at])
+        return pd.Series(out, dtype=object)
+
+    held = texts.dropDuplicates(["key"]).join(lists, "key")
+    held = held.select("pieces", cut("text", F.col("pieces.start")).alias("texts"))
+    held = held.select(F.explode(F.arrays_zip("pieces", "texts")).alias("x"))
+    return held.select(*[F.col(f"x.pieces.{c}").alias(c) for c in fields], F.col("x.texts").alias("text"))
