@@ -45,6 +45,21 @@ def test_page_text():
     assert archive.page_text("<body><!-- c --><p> a </p>\n<p>b<i>c</i></p></body>") == "a\nb\nc"
 
 
+def test_charsets_are_those_declared():
+    of = lambda page, charset: archive.decoded(zipped("x.html", page.encode(charset)))
+    for page, charset in (
+        ("<meta charset='utf-8'><p>From ASCII, caf\xe9, to ISO-8859-1", "utf-8"),
+        ("<meta charset='ISO-8859-1'><p>caf\xe9 in ascii or utf-8", "latin-1"),
+        ('<?xml version="1.0" encoding="UTF-8"?><title>ascii caf\xe9', "utf-8"),
+        ('<meta http-equiv="Content-Type" content="text/html; charset=us-ascii"><p>utf-8', "ascii"),
+        ("<title>iso-8859-1</title>caf\xe9", "latin-1"),
+        ("<p>&lt;meta charset='ascii'&gt;</p><meta charset=utf-8>caf\xe9", "utf-8"),
+    ):
+        assert of(page, charset) == page
+    with pytest.raises(UnicodeDecodeError):
+        of("<meta charset='us-ascii'>caf\xe9", "utf-8")
+
+
 def test_archives(spark, tmp_path):
     folder = tmp_path / "zips"
     folder.mkdir()
