@@ -398,8 +398,14 @@ def subjects_set(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(text.subjects(line), "|").alias("subjects"))
 
 
-@query("""with one as (select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) as t from documents)
-select doc_id, md5(case when t <> '' then regexp_replace(upper(substr(t, 1, 1)) || substr(t, 2), '[ .]+$', '') || '.' end) as summary_md5 from one""")
+#: DuckDB's upper() gives one letter for one; these have several (``ß``: ``SS``), or were given a capital later than its tables.
+CAPITALS = {chr(c): chr(c).upper() for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1}
+CAPITALS |= {chr(a): chr(b) for a, b in ((0x19B, 0xA7DC), (0x264, 0xA7CB), (0x1C8A, 0x1C89), (0xA7CD, 0xA7CC), (0xA7DB, 0xA7DA), *((c, c - 32) for c in range(0x10D70, 0x10D86)))}
+UPPER_FIRST = "coalesce(map([{0}], [{1}])[substr(t, 1, 1)], upper(substr(t, 1, 1)))".format(*(", ".join(f"'{c}'" for c in x) for x in (CAPITALS, CAPITALS.values())))
+
+
+@query(f"""with one as (select doc_id, trim(regexp_replace(text, '{WHITE}+', ' ', 'g')) as t from documents)
+select doc_id, md5(case when t <> '' then regexp_replace({UPPER_FIRST} || substr(t, 2), '[ .]+$', '') || '.' end) as summary_md5 from one""")
 def summary_normalise(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.summary(F.col("text"))).alias("summary_md5"))
 

@@ -40,6 +40,23 @@ def test_dates_subjects_positions(spark):
     assert column(spark, ["84-12", "84", "a-b", "1-2-3", None], text.position) == [12, None, None, 3, None]
 
 
+def test_summary_agrees_with_its_sql_on_letters_of_several_capitals(spark, tmp_path):
+    import duckdb
+
+    from quire.plans import queries
+
+    firsts = [*queries.CAPITALS, "a", "\u00e9", "\u01c6", "\u03c2", "1", "\U00010428", "i", "\u0131", "\u00ff", "\u00b5"]
+    texts = [*(f"\u00a0\u2003{c}x\u0085\u3000y .. " for c in firsts), "\u2028", " . ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = db.sql(queries.ORACLE_SQL["summary_normalise"]).fetchall()
+    found = queries.summary_normalise(spark, str(tmp_path)).collect()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in found) and len(found) == len(texts)
+    assert docs.where("text like '%\u00dfx%'").select(text.summary(F.col("text"))).first()[0] == "SSx y."
+
+
 def test_summary_and_descriptors(spark):
     texts = ["aBC  dEF", " x. . ", "", "  ", "Done.", ".", None]
     assert column(spark, texts, text.summary) == ["ABC dEF.", "X.", None, None, "Done.", ".", None]
