@@ -75,25 +75,36 @@ def packed(items: DataFrame, group: list[str], order: str, size: Column, limit:
 def chunks(paragraphs: DataFrame, limit: int = CHUNK_CHARS, lookback: int = LOOKBACK) -> DataFrame:
     """Chunks of numbered paragraphs: parts of chapters with the ``lookback`` paragraphs before their first one.
 
-    Which paragraphs a chunk has, and which stand before it, is settled by
-    numbers; the texts are joined once, those before a chunk for that chunk only.
+    Where chunks begin is settled by numbers: a row that marks each beginning is
+    sorted in among the book's paragraphs, which so learn their chunk, and what
+    stands before it, on the one way to their book.
     """
     chunk = ["book_id", "chapter", "part", "part_count"]
-    own = packed(paragraphs, ["book_id", "chapter"], "idx", F.length("text"), limit)
-    first = own.groupBy(*chunk).agg(F.min("idx").alias("_first")).where("_first > 0")
-    ahead = F.sequence(F.greatest(F.col("_first") - lookback, F.lit(0)), F.col("_first") - 1)
-    before = first.select(*chunk, F.explode(ahead).alias("idx"), F.lit(False).alias("_own"))
-    members = own.withColumn("_own", F.lit(True)).select(*before.columns).unionByName(before if lookback > 0 else before.limit(0))
-    item = F.struct("idx", "text")
-    listed = lambda which: F.array_sort(F.collect_list(F.when(which, item)))
-    grouped = members.join(paragraphs.select("book_id", "idx", "heading", "text"), ["book_id", "idx"]).groupBy(*chunk).agg(
-        F.first(F.when(F.col("_own"), F.col("heading")), ignorenulls=True).alias("chapter_heading"),
-        listed(~F.col("_own")).alias("context"),
-        listed(F.col("_own")).alias("paragraphs"),
-    )
+    rows = paragraphs.where("book_id is not null").select("book_id", "chapter", "heading", "idx", "text")
+    # sizes ask for the headings too: with the same columns on both ways the shuffle that numbered the paragraphs is made once
+    sizes = rows.select("book_id", "chapter", "idx", F.length(F.coalesce("text", "heading")).alias("_n"))
+    own = packed(sizes, ["book_id", "chapter"], "idx", F.col("_n"), limit)
+    begins = own.groupBy(*chunk).agg(F.min("idx").alias("idx"))
     place = Window.partitionBy("book_id").orderBy("chapter", "part")
-    return grouped.withColumn("chunk_index", F.row_number().over(place) - 1).select(
-        "book_id", "chunk_index", F.col("chapter").alias("chapter_index"), "chapter_heading", "part", "part_count", "context", "paragraphs"
+    begins = begins.withColumn("chunk_index", F.row_number().over(place) - 1)
+    marks = begins.select("book_id", "idx", F.struct("part", "part_count", "chunk_index").alias("_chunk"))
+    book = Window.partitionBy("book_id").orderBy("idx", F.col("_chunk").isNull())
+    running = book.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.unionByName(marks, allowMissingColumns=True).select(
+        "book_id", "chapter", "heading", "idx", "text", F.col("_chunk").isNull().alias("_paragraph"),
+        F.last("_chunk", ignorenulls=True).over(running).alias("_chunk"),
+        F.lag(F.col("_chunk").isNotNull()).over(book).alias("_first"),
+    )
+    item = F.struct("idx", "text")
+    before = F.collect_list(item).over(Window.partitionBy("book_id").orderBy("idx").rowsBetween(-lookback, -1)) if lookback > 0 else F.array_remove(F.array(item), item)
+    near = F.filter(before, lambda p: p["idx"] >= F.col("idx") - lookback)
+    placed = marked.where("_paragraph").withColumn("_before", F.when(F.col("_first"), near))
+    return placed.groupBy("book_id", "chapter", "_chunk").agg(
+        F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("idx"))).alias("chapter_heading"),
+        F.first("_before", ignorenulls=True).alias("context"),
+        F.array_sort(F.collect_list(item)).alias("paragraphs"),
+    ).select(
+        "book_id", "_chunk.chunk_index", F.col("chapter").alias("chapter_index"), "chapter_heading", "_chunk.part", "_chunk.part_count", "context", "paragraphs"
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.hooks import embedded
 from quire.operators.gates import pending
@@ -76,23 +77,36 @@ class Store:
         or with a ``failure`` are made, by one job whose tasks have ``every`` of
         them each. A task's rows count when it ends, so a run that breaks loses
         what its open tasks had. The result has a row for each input; a failure
-        is there until it succeeds.
+        is there until it succeeds. It reads the inputs of this run, so it is to
+        be stored before the next one.
+
+        Inputs are worked out and written once, and shuffled once on the way to
+        their tasks. The checkpoint has a digest of all keys (``_key``); texts
+        among the keys are not kept there beside it.
         """
         spark, path = inputs.sparkSession, self._checkpoint(name)
-        schema = make(inputs.limit(0)).withColumn("_run", F.lit(0).cast("long")).schema
+        digest = F.sha2(F.to_json(F.struct(*keys)), 256)
+        schema = make(inputs.limit(0)).withColumns({"_run": F.lit(0).cast("long"), "_key": F.lit("")}).schema
+        texts = [k for k in keys if k != "book_id" and schema[k].dataType.simpleString() == "string"]
+        schema = T.StructType([f for f in schema if f.name not in texts])
         spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/gen=0")
-        left = written(pending(inputs, self.kept(spark, name, schema).where("failure is null"), keys), f"{self.folder}/{name}-pending")
-        tasks = -(-left.count() // self.every)
+        told = written(inputs.withColumn("_key", digest), f"{self.folder}/{name}-inputs")
+        had = self.kept(spark, name, schema).where("failure is null").select("_key").distinct()
+        tasks = -(-pending(told.select("_key"), had, "_key").count() // self.every)
         if tasks:
-            made = make(left.repartition(tasks, *keys)).withColumn("_run", F.lit(time.time_ns()))
+            # those that are done go the same way, so a task knows which of its inputs to leave out
+            both = told.select("_key", F.struct(*inputs.columns).alias("_row")).unionByName(had, allowMissingColumns=True)
+            left = both.repartition(tasks, "_key").groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.count_if(F.col("_row").isNull()).alias("_had"))
+            left = left.where("_had = 0").select("_row.*")
+            made = make(left).withColumns({"_run": F.lit(time.time_ns()), "_key": digest}).select(*schema.names)
             made.write.options(**BY_TASK).parquet(f"{path}/gen={time.time_ns()}")
-        rest = [c for c in schema.names if c not in (*keys, "_run")]
+        rest = [c for c in schema.names if c not in (*keys, "_run", "_key")]
         last = F.max_by(F.struct(*rest), F.struct(F.col("failure").isNull(), "_run")).alias("_last")
-        whole = self.kept(spark, name, schema).join(inputs.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
+        whole = told.groupBy("_key").agg(*[F.first(k).alias(k) for k in keys]).join(self.kept(spark, name, schema).groupBy("_key").agg(last), "_key")
         return whole.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
     def kept(self, spark: SparkSession, name: str, schema) -> DataFrame:
-        """What the named checkpoint has now of the columns of ``schema``."""
+        """What the named checkpoint has now of the columns of ``schema``; those that are not kept, as texts among the keys, are null."""
         return spark.read.schema(schema).parquet(self._checkpoint(name)).select(*schema.names)
 
     def clear(self, name: str, books: DataFrame) -> None:

@@ -157,3 +157,32 @@ def test_archives_that_keep_arriving(spark, tmp_path, monkeypatch):
     assert run() == {("1", 2): "new"}
     assert {r.book_id for r in archives.books(spark, path).table().collect()} == {"1", "2", "4"}
     assert latest(archives.books(spark, path).table(), ["book_id"], ["modified"]).count() == 3
+
+
+def test_checkpoints_keep_no_payloads_and_chunks_move_texts_once(spark, tmp_path):
+    from quire.operators import paragraphs
+
+    docs = spark.createDataFrame([(i, "\n".join("w" * (1 + (i * j) % 40) for j in range(60))) for i in range(30)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    numbered = paragraphs.numbered(paragraphs.lines(spark.read.parquet(str(tmp_path / "docs")), "doc_id", "text"))
+    made = paragraphs.chunks(numbered, 200, 2)
+    rows = sorted((r.book_id, r.chunk_index, [p.idx for p in r.context], [p.idx for p in r.paragraphs]) for r in made.collect())
+    texts = {(r.book_id, r.idx): r.text for r in numbered.collect()}
+    for book, _, context, own in rows:
+        assert context == list(range(max(0, own[0] - 2), own[0])) and (len(own) == 1 or sum(len(texts[book, i]) for i in own) <= 200)
+    assert sorted((b, i) for b, _, _, own in rows for i in own) == sorted(texts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = paragraphs.chunks(numbered, 200, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("Join" in line for line in plan.splitlines()) == 0  # texts meet their chunks by sorting, not by a join for each paragraph
+    store = tables.Store(str(tmp_path / "store"), every=50)
+    payloads = paragraphs.labelling_payload(made)
+    make = lambda rows: rows.withColumns({"answer": F.upper("payload"), "failure": F.lit(None).cast("string")})
+    keys = ["book_id", "chunk_index", "payload"]
+    found = store.resumed(payloads, "told", keys, make)
+    assert found.where("answer = upper(payload)").count() == payloads.count() == len(rows)
+    assert "payload" not in spark.read.parquet(str(tmp_path / "store/told/codec=1")).columns
+    changed = payloads.withColumn("payload", F.concat("payload", F.lit(" ")))
+    assert store.resumed(changed, "told", keys, make).where("answer = upper(payload)").count() == len(rows)
