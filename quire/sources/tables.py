@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quire.functions.hooks import embedded
 from quire.operators.gates import pending
-from quire.operators.upsert import merged, write_books
+from quire.operators.upsert import merged
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -127,11 +127,17 @@ class Store:
             files.delete(old, True)
 
     def books(self, rows: DataFrame, name: str) -> DataFrame:
-        """The named table with the books of ``rows`` written anew; what it has of other books stays."""
-        spark, path = rows.sparkSession, f"{self.folder}/{name}"
-        spark.createDataFrame([], rows.schema).write.mode("append").partitionBy("book_id").parquet(path)
-        write_books(rows, path)
-        return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+        """The named table with the books of ``rows`` written anew; what it has of other books stays.
+
+        Nothing is rewritten: rows are appended as one making, and of a book
+        the last making counts. So there is a folder for each run, not for each book.
+        """
+        spark, path, now = rows.sparkSession, f"{self.folder}/{name}", time.time_ns()
+        spark.createDataFrame([], rows.schema).write.mode("append").parquet(f"{path}/making=0")
+        rows.write.parquet(f"{path}/making={now}")
+        found = spark.read.schema(T.StructType([*rows.schema, T.StructField("making", T.LongType())])).parquet(path)
+        last = found.groupBy(F.struct("book_id").alias("_book")).agg(F.max("making").alias("making"))
+        return found.withColumn("_book", F.struct("book_id")).join(last, ["_book", "making"], "left_semi").select(*rows.columns)
 
 
 def stored(folder: str, every: int = 1000) -> Store:
@@ -181,9 +187,17 @@ def scene_files(spark: SparkSession, folder: str, schema: str, ids: list[str] |
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON file set per book, a record a line; nulls are written, other books' files stay."""
-    writer = rows.repartition("book_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("ignoreNullFields", "false").partitionBy("book_id").json(path)
+    """One JSON file set per book, a record a line; nulls are written, other books' files stay.
+
+    Where nothing is there yet, each task puts its books' files in place when
+    it ends; replacing books of a path that is there is the driver's work, a book at a time.
+    """
+    spark = rows.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = top.getFileSystem(spark._jsc.hadoopConfiguration()).exists(top)
+    writer = rows.repartition("book_id").write.option("ignoreNullFields", "false").partitionBy("book_id")
+    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if there else writer.mode("append").options(**BY_TASK)
+    writer.json(path)
 
 
 def write_small(value, path: str) -> None:

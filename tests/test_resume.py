@@ -186,3 +186,23 @@ def test_checkpoints_keep_no_payloads_and_chunks_move_texts_once(spark, tmp_path
     assert "payload" not in spark.read.parquet(str(tmp_path / "store/told/codec=1")).columns
     changed = payloads.withColumn("payload", F.concat("payload", F.lit(" ")))
     assert store.resumed(changed, "told", keys, make).where("answer = upper(payload)").count() == len(rows)
+
+
+def test_tables_of_books_have_a_folder_for_each_run(spark, tmp_path):
+    store, rows = tables.Store(str(tmp_path)), lambda *r: spark.createDataFrame(list(r), "book_id string, n int")
+    store.books(rows(*[(str(i), i) for i in range(40)], (None, 1), ("3", 4)), "t")
+    found = store.books(rows(("3", 9), ("x", 1), (None, 2)), "t")
+    assert sorted((r.book_id or "", r.n) for r in found.collect()) == sorted([*[(str(i), i) for i in range(40) if i != 3], ("3", 9), ("x", 1), ("", 2)])
+    assert len([x for x in os.listdir(tmp_path / "t") if x[0] not in "._"]) == 3  # an empty one, and one a run
+
+
+def test_json_files_of_books_are_put_in_place_by_tasks(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "j"), lambda *r: spark.createDataFrame(list(r), "book_id string, n int")
+    asked = []
+    writer = type(rows(("a", 1)).write)
+    whole = writer.mode
+    monkeypatch.setattr(writer, "mode", lambda self, m: asked.append(m) or whole(self, m))
+    tables.write_json(rows(("a", 1), ("b", 1)), path)
+    tables.write_json(rows(("b", 2)), path)
+    assert [m for m in asked if m] == ["append", "overwrite"]
+    assert sorted((r.book_id, r.n) for r in tables.read_json(spark, path, "book_id string, n int", lines=True).collect()) == [("a", 1), ("b", 2)]
