@@ -45,6 +45,16 @@ def test_page_text():
     assert archive.page_text("<body><!-- c --><p> a </p>\n<p>b<i>c</i></p></body>") == "a\nb\nc"
 
 
+def test_pages_go_to_python_in_bounded_pieces(spark):
+    page = "<h2>a</h2>" + "<p>xxxxx</p>" * 4
+    pieces = list(archive.cut_pages(((str(i), page) for i in range(7)), chars=40))
+    assert [len(p) for p in pieces] == [8, 8, 8, 4] and sum(pieces, []) == sum(archive.cut_pages((str(i), page) for i in range(7)), [])
+    assert list(archive.cut_pages([("1", None)])) == [[]]
+    pages = spark.range(1000).selectExpr("id as page_id", f"'{page}' as html")
+    assert archive.paragraphs(pages, "page_id").count() == 4000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= archive.BATCH
+
+
 def test_charsets_are_those_declared():
     of = lambda page, charset: archive.decoded(zipped("x.html", page.encode(charset)))
     for page, charset in (
