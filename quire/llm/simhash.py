@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ BINS = 256  # bytes of a sketch
 SIGMAS = 4.5  # standard deviations by which a sketch may underrate a pair; more happen once in 290,000 times
 HELD = 1 << 22  # hashes that a task keeps of the texts it compared last
 BEFORE = 2  # rows that each row of a bucket is compared with at first
+WIDTH = 1.03  # sizes of sets are dealt to bins, each so many times as wide as the one below
 
 
 def _word_blocks(text: str | None) -> Iterator[list[bytes]]:
@@ -214,18 +215,64 @@ def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = both.tail(BEFORE).reset_index(drop=True)
 
 
-def _apart(nodes: DataFrame, joined: DataFrame, shared: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``src < dst`` of candidates that are in different components of ``joined`` and can have ``similarity`` by their sizes.
+def _bin(size) -> F.Column:
+    return F.floor(F.log(size) / F.log(F.lit(WIDTH)))
+
+
+def _meeting(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``src < dst`` of nodes with different roots whose sets can have ``similarity``; none that have it is left out.
+
+    ``sets`` has a row ``node, n, root, h`` for each of the ``n`` shingles of a
+    node. Of these only shingles that two roots have can be shared. In an order
+    common to all sets, the rarest first, what two sets share lies at or after the
+    first shingle they share, so both must have enough left there (``rest``)
+    for their sizes. That leaves each set a few of its rarest shingles to meet
+    others by, each for a range of sizes. Rows outside the root that has the most
+    rows of a shingle look for the others of it. Sets that differ from a
+    large group by shingles of their own are left with none.
+    """
+    least = lambda n: F.lit(similarity) * n - 1e-6
+    roots = sets.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    known = sets.join(roots.where("low <> high").select("h", "df"), "h")
+    order = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("h"))
+    lead = known.withColumn("rest", F.row_number().over(order)).where(F.col("rest") >= least(F.col("n")))
+    lead = save(lead.select("h", "node", "n", "root", "rest", _bin(F.col("n")).alias("bin")), "rare-shingles")
+    mains = lead.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
+    mains = mains.groupBy("h").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mains = mains.where("roots > 1").select("h", F.col("main.root").alias("main"))
+    one = lead.join(mains, "h").where("root <> main").select("h", "main", *[F.col(c).alias(f"src_{c}") for c in ("node", "n", "root", "rest")])
+    # a set of src_n with src_rest left meets sets of up to this size
+    most = F.least(F.col("src_n") / similarity, F.col("src_rest") * (1 + similarity) / similarity - F.col("src_n")) + 1e-3
+    one = one.withColumn("bin", F.explode(F.sequence(_bin(least(F.col("src_n"))), _bin(F.greatest(most, least(F.col("src_n")))))))
+    met = one.join(lead, ["h", "bin"]).where(
+        (F.col("src_root") != F.col("root"))
+        & (F.least("src_rest", "rest") >= F.lit(similarity / (1 + similarity)) * (F.col("src_n") + F.col("n")) - 1e-6)
+        & ((F.col("root") == F.col("main")) | (F.col("src_node") < F.col("node")))
+    )
+    return met.select(F.least("src_node", "node").alias("src"), F.greatest("src_node", "node").alias("dst")).distinct()
+
+
+def _apart(
+    nodes: DataFrame,
+    joined: DataFrame,
+    shared: DataFrame,
+    linked: DataFrame,
+    similarity: float,
+    sets: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Pairs ``src < dst`` of candidates that are in different components of ``joined`` and can have ``similarity``.
 
     Candidates are the rows of ``shared`` (``bucket, node``) with one bucket, the
     nodes of one fingerprint, and those of two ``linked`` fingerprints. Buckets
-    whose nodes are all in one component are left out. In each other one, nodes
-    outside its largest component meet all others of it, so a pair within the largest is never made, and at most as many
-    pairs are made in vain as there are pairs of different components. Sketches
-    then tell which of them are far from ``similarity``, so
-    that texts that only share a passage are not compared in full.
+    whose nodes are all in one component are left out. ``sets`` gives the
+    shingles ``node, h`` of a table of nodes: with it, all nodes of the other
+    buckets meet by their rarest shingles (``_meeting``), and no pair that has
+    ``similarity`` is left out. Without it, nodes outside a bucket's largest
+    component meet all others of the bucket that are of a fitting size, and their
+    sketches tell which are far from ``similarity``.
     """
-    rooted = nodes.where("n > 0").select("node", "fp", "n", "sketch").join(joined, "node", "left")
+    kept = ["node", "n", "root"] + ([] if sets else ["sketch"])
+    rooted = nodes.where("n > 0").select("fp", *[c for c in kept if c != "root"]).join(joined, "node", "left")
     rooted = save(rooted.withColumn("root", F.coalesce("root", "node")), "first-components")
     ends = save(rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")), "fingerprint-components")
     side = lambda x: ends.select(F.col("fp").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
@@ -234,13 +281,17 @@ def _apart(nodes: DataFrame, joined: DataFrame, shared: DataFrame, linked: DataF
     crossed = crossed.withColumn("bucket", F.xxhash64("src", "dst"))
     prints = crossed.select("bucket", F.col("src").alias("fp")).union(crossed.select("bucket", F.col("dst").alias("fp")))
     prints = prints.union(ends.where("low <> high").select(F.xxhash64("fp").alias("bucket"), "fp"))
-    placed = shared.select("bucket", "node").join(rooted, "node").select("bucket", "node", "n", "root", "sketch")
-    placed = placed.union(prints.join(rooted, "fp").select("bucket", "node", "n", "root", "sketch"))
+    placed = shared.select("bucket", "node").join(rooted, "node").select("bucket", *kept)
+    placed = placed.union(prints.join(rooted, "fp").select("bucket", *kept))
+    if sets:
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        apart = save(placed.join(mixed, "bucket", "left_semi").select(*kept).distinct(), "nodes-apart")
+        return _meeting(save(sets(apart).join(apart, "node"), "shingles-apart"), similarity)
     groups = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     mains = groups.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     mains = mains.where("roots > 1").select("bucket", F.col("main.root").alias("main"))
     apart = save(placed.join(mains, "bucket"), "buckets-apart")
-    one = apart.where("root <> main").select("bucket", *[F.col(c).alias(f"src_{c}") for c in ("node", "n", "root", "sketch")])
+    one = apart.where("root <> main").select("bucket", *[F.col(c).alias(f"src_{c}") for c in kept])
     met = one.join(apart, "bucket").where(
         (F.col("src_root") != F.col("root"))
         & (F.least("src_n", "n") / F.greatest("src_n", "n") >= similarity)
@@ -270,15 +321,15 @@ def similar(
     two before it in the order of the next band, and the bucket's leader, the
     text whose buckets have the most rows in all: that is the middle of a
     group whose outer texts are only like the middle. Most of a group is then
-    one component. What is still apart meets in a second pass: all pairs of a
-    bucket, of a fingerprint and of linked fingerprints whose components differ
-    and whose sizes allow ``similarity`` (``_apart``). So the work of a large
-    bucket follows its rows and the pairs that really differ, and no candidate
-    is left out. Each is verified on the whole texts, so no link is wrong; what
-    can be missed are texts that share no band, or whose sketches are ``SIGMAS`` off.
+    one component. What is still apart meets in a second pass (``_apart``): the
+    texts of buckets, fingerprints and linked fingerprints whose components
+    differ meet by their rarest shingles, which finds all pairs of them that have
+    ``similarity``. So the work of a large bucket follows its rows, and no
+    candidate is left out. Each is verified on the whole texts, so no link is
+    wrong; what can be missed are texts that share no band.
     """
 
-    @F.pandas_udf("struct<node: long, fp: long, bands: array<long>, n: long, sketch: binary>")
+    @F.pandas_udf("struct<node: long, fp: long, bands: array<long>, n: long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
@@ -288,16 +339,16 @@ def similar(
             node = int.from_bytes(whole.digest(), "big", signed=True)
             own = np.unique(h)
             least = least_hashes(own)
-            out.append((node, fp - (fp >> 63 << 64), bands(least) if len(own) else [], len(own), sketch(own)))
-        return pd.DataFrame(out, columns=["node", "fp", "bands", "n", "sketch"])
+            out.append((node, fp - (fp >> 63 << 64), bands(least) if len(own) else [], len(own)))
+        return pd.DataFrame(out, columns=["node", "fp", "bands", "n"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.select("id", text_key(F.col("text")).alias("text_key"), marks("text").alias("m"))
-    marked = save(marked.select("id", "text_key", "m.node", "m.fp", "m.bands", "m.n", "m.sketch"), "marks")
+    marked = save(marked.select("id", "text_key", "m.node", "m.fp", "m.bands", "m.n"), "marks")
     nodes = marked.groupBy("node").agg(
         F.min("id").alias("least"),
         F.min("text_key").alias("text_key"),
-        *[F.first(c).alias(c) for c in ("fp", "bands", "n", "sketch")],
+        *[F.first(c).alias(c) for c in ("fp", "bands", "n")],
     )
     nodes = save(nodes, "nodes")
     # texts of one fingerprint meet the least of them, and those of linked fingerprints meet one another
@@ -342,18 +393,27 @@ def similar(
                 out.append(both / (len(a) + len(b) - both) >= similarity)
             yield pd.Series(out, dtype=bool)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-        met = nodes.select("node", "text_key").join(met, "node", "left_semi")
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        met = nodes.select("node", "text_key").join(some, "node", "left_semi")
         texts = rows.select(text_key(F.col("text")).alias("text_key"), "text").join(met, "text_key")
-        texts = save(texts.select("node", "text").dropDuplicates(["node"]), "pair-texts")
+        return texts.select("node", "text").dropDuplicates(["node"])
+
+    def sets(some: DataFrame) -> DataFrame:
+        return texts_of(some).select("node", F.explode(shingles("text")).alias("h"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = save(texts_of(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()), "pair-texts")
         both = pairs.join(texts.withColumnsRenamed({"node": "src", "text": "one"}), "src")
         both = both.join(texts.withColumnsRenamed({"node": "dst", "text": "other"}), "dst")
         return save(both.where(alike("src", "one", "dst", "other")).select("src", "dst"), "similar-links")
 
     found = verified(pairs)
     joined = components(found)
-    more = save(_apart(nodes, joined, shared, linked, similarity).join(pairs, ["src", "dst"], "left_anti"), "pairs-apart")
+    more = save(_apart(nodes, joined, shared, linked, similarity, sets).join(pairs, ["src", "dst"], "left_anti"), "pairs-apart")
     if not more.isEmpty():
         joined = components(found.union(verified(more)))
     rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

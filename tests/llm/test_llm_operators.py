@@ -585,6 +585,34 @@ def test_candidates_that_are_apart(spark):
     assert simhash._apart(nodes, one, shared, none, 0.8).count() == 0
 
 
+def test_sets_that_are_apart_meet_by_rare_shingles(spark):
+    """A bucket with a large component and as many sets just too far from it: all pairs of similarity 0.8, few others."""
+    r = random.Random(4)
+    base = [r.getrandbits(62) for _ in range(146)]
+    own, root = {}, {}
+    for i in range(240):
+        gone = 5 * r.randrange(3) if i < 120 else r.randrange(18, 30)
+        own[i] = {*r.sample(base, 146 - gone), *(r.getrandbits(62) for _ in range(gone))}
+        root[i] = 0 if i < 120 else i
+    for i in range(120, 160):  # near to one of the component, to another outside it, or of another size
+        near = sorted(own[i - 120 if i % 2 else i + 60])
+        own[i] = {*r.sample(near, r.randrange(110, 147)), *(r.getrandbits(62) for _ in range(r.randrange(12)))}
+    nodes = spark.createDataFrame([(i, 9, len(h)) for i, h in own.items()], "node long, fp long, n long")
+    joined = spark.createDataFrame([x for x in root.items() if x[0] < 120], "node long, root long")
+    shared = spark.createDataFrame([(7, i) for i in own], "bucket long, node long")
+    hashes = spark.createDataFrame([(i, x) for i, h in own.items() for x in h], "node long, h long")
+    none = spark.createDataFrame([], "src long, dst long")
+    sets = lambda some: hashes.join(some, "node", "left_semi")
+    pairs = [(i, j) for j in own for i in range(j) if root[i] != root[j]]
+    alike = {(i, j) for i, j in pairs if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    found = {(x.src, x.dst) for x in simhash._apart(nodes, joined, shared, none, 0.8, sets).collect()}
+    assert alike and alike <= found <= set(pairs)
+    outer = {(i, j) for i, j in found if j >= 220}  # far from all others: these sets met 120 each before
+    assert len(outer) <= 20, len(outer)
+    same_root = joined.union(nodes.where("node >= 120").select("node", F.lit(0).cast("long")))
+    assert simhash._apart(nodes, same_root, shared, none, 0.8, sets).count() == 0
+
+
 def test_similar_texts_against_brute_force(spark):
     """Chains and a large group of edited copies; pairs of similarity 0.8 or more, and pairs just below."""
     r = random.Random(6)
