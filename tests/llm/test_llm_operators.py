@@ -365,6 +365,35 @@ def test_toxicity_finds_held_out_words(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """Long toxic texts that no bound leaves out, several tasks, and words that only one of them has."""
+    r = random.Random(8)
+    rows = [(i, sentence(r, 30) + (" vileword" if i % 3 == 0 else ""), "en", "s") for i in range(300)]
+    long = [(i, (t + " ") * 200 if i % 3 == 0 else t, x, y) for i, t, x, y in rows]
+    assert all(len(t) > 16_000 for i, t, _, _ in long if i % 3 == 0)
+    marks = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    network, limits = toxicity.fit(frame(spark, long), marks)
+    found = {x.doc_id: x.toxicity.flagged for x in toxicity.score(frame(spark, rows), (network, limits)).collect()}
+    assert set(limits) == {"en"} and np.mean([found[i] == (i % 3 == 0) for i in found]) > 0.95
+    ids = toxicity.hashed_words(long[0][1], network.buckets)
+    once = toxicity.windows_once(ids, 3)
+    assert len(once) < 50 and network.score(once) == pytest.approx(network.score(ids), abs=1e-6)
+    mixed = toxicity.hashed_words(" ".join(r.choice("abcde") + r.choice("xy") for _ in range(5000)), network.buckets)
+    assert network.score(toxicity.windows_once(mixed, 3)) == pytest.approx(network.score(mixed), abs=1e-6)
+    shapes = [(len(mixed), 1), (0, 0), (40, 1)]
+    whole = network.gradients([mixed[:n] for n, _ in shapes], np.array([y for _, y in shapes]))
+    old, toxicity.PIECE = toxicity.PIECE, 7
+    parts = network.gradients([toxicity.windows_once(mixed[:n], 3) for n, _ in shapes], np.array([y for _, y in shapes]))
+    toxicity.PIECE = old
+    assert parts[0] == pytest.approx(whole[0], abs=1e-5) and np.allclose(parts[1][-2], whole[1][-2], atol=1e-5)
+    tasks = [(int(n % 2), 0, [n % 7, 8 + k, 9] * 3) for k in range(3) for n in range(40)]
+    table = spark.createDataFrame(tasks, "label int, part int, ids array<int>").repartitionByRange(3, F.col("ids")[1])
+    net = toxicity.Network(buckets=16)
+    was = net.emb.copy()
+    toxicity._pass_over(table, {-1: net}, {0: 1.0, 1: 1.0}, 1, 0.01)
+    assert set(np.flatnonzero((net.emb != was).any(axis=1))) == set(range(11)) - {7}
+
+
 def test_network_against_plain_loops_and_numeric_gradients():
     net = toxicity.Network(buckets=50, dim=3, widths=(1, 3), filters=2)
     for name in ("emb", "bias", "top", "base"):
